@@ -131,3 +131,95 @@ FROM hexed h LEFT JOIN busy b ON h.hour = b.hour GROUP BY h.hex_id"""),
     AS persistence_ratio
 FROM feat0 f JOIN station_mode sm USING (hex_id) JOIN vehicle_mode vm USING (hex_id)"""),
     ]
+
+
+def weekly_ctes() -> list[tuple[str, str]]:
+    return [
+        ("weekly", """SELECT hex_id, CAST(date_trunc('week', date) AS DATE) AS week,
+  CAST(count(*) AS BIGINT) AS count FROM hexed GROUP BY hex_id, CAST(date_trunc('week', date) AS DATE)"""),
+        ("wx", "SELECT *, row_number() OVER (PARTITION BY hex_id ORDER BY week) - 1 AS x FROM weekly"),
+        ("ols", """SELECT hex_id, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx,
+  sum(x * count) AS sxy, sum(count) AS sy, max(week) AS last_week FROM wx GROUP BY hex_id"""),
+        ("ols2", f"""SELECT *,
+  CASE WHEN (n * sxx - sx * sx) = 0 THEN {d(0.0)}
+       ELSE CAST(n * sxy - sx * sy AS DOUBLE) / CAST(n * sxx - sx * sx AS DOUBLE) END AS b1
+FROM ols"""),
+        ("trend", f"""SELECT hex_id,
+  CASE WHEN n < 3 OR sy = 0 THEN {d(0.0)}
+       ELSE b1 / (CAST(sy AS DOUBLE) / CAST(n AS DOUBLE)) END AS growth_rate FROM ols2"""),
+    ]
+
+
+def forecast_ctes(weeks_ahead: int = 2) -> list[tuple[str, str]]:
+    return [("forecast", f"""SELECT hex_id, CAST(step AS INTEGER) AS step,
+  CAST(last_week + CAST(7 * step AS INTEGER) AS DATE) AS week,
+  CASE WHEN n < 3 THEN greatest(CAST(sy AS DOUBLE) / CAST(n AS DOUBLE), {d(0.0)})
+       ELSE greatest(b1 * CAST(n - 1 + step AS DOUBLE)
+                     + (CAST(sy AS DOUBLE) - b1 * CAST(sx AS DOUBLE)) / CAST(n AS DOUBLE), {d(0.0)})
+  END AS forecast_count
+FROM ols2, (SELECT unnest(generate_series(1, {int(weeks_ahead)})) AS step) s""")]
+
+
+def pct_rank(col: str) -> str:
+    return (f"CAST(2 * (rank() OVER (ORDER BY {col}) - 1) + count(*) OVER (PARTITION BY {col}) + 1"
+            f" AS DOUBLE) / CAST(2 * count(*) OVER () AS DOUBLE)")
+
+
+def cis_expr(ws: float, wj: float, wb: float, wp: float) -> str:
+    return (f"(((({d(ws)} * score_severity + {d(wj)} * score_junction) + {d(wb)} * score_busy_hour)"
+            f" + {d(wp)} * score_persistence) * {d(100.0)})")
+
+
+def tier_case(col: str = "congestion_impact_score") -> tuple[str, str]:
+    tier = (f"CASE WHEN {col} >= 75 THEN 'Critical' WHEN {col} >= 50 THEN 'High' "
+            f"WHEN {col} >= 25 THEN 'Medium' ELSE 'Low' END")
+    idx = (f"CAST(CASE WHEN {col} >= 75 THEN 0 WHEN {col} >= 50 THEN 1 "
+           f"WHEN {col} >= 25 THEN 2 ELSE 3 END AS INTEGER)")
+    return tier, idx
+
+
+def hot_ctes() -> list[tuple[str, str]]:
+    w = S.CIS_WEIGHTS
+    tier, idx = tier_case()
+    k = (f"least(least(avg_severity / {d(3.0)}, {d(1.0)}) * ({d(1.0)} + junction_fraction * {d(0.5)}),"
+         f" {d(0.85)})")
+    return feature_ctes() + weekly_ctes() + [
+        ("cells", f"""SELECT f.*, coalesce(t.growth_rate, {d(0.0)}) AS growth_rate
+FROM features f LEFT JOIN trend t USING (hex_id)"""),
+        ("scored0", f"""SELECT *,
+  {pct_rank('severity_weighted_count')} AS score_severity,
+  {pct_rank('junction_fraction')} AS score_junction,
+  {pct_rank('busy_hour_fraction')} AS score_busy_hour,
+  {pct_rank('persistence_ratio')} AS score_persistence FROM cells"""),
+        ("scored", f"SELECT *, {cis_expr(w['severity'], w['junction'], w['busy_hour'], w['persistence'])}"
+                   " AS congestion_impact_score FROM scored0"),
+        ("tiered", f"SELECT *, {idx} AS cluster, {tier} AS tier, {k} AS k_frac FROM scored"),
+        ("flow", f"""SELECT *,
+  {rint_round('k_frac * ' + d(100.0), 1)} AS capacity_loss_pct,
+  {rint_round(d(40.0) + ' * (' + d(1.0) + ' - k_frac)', 1)} AS effective_speed_kmh FROM tiered"""),
+        ("hot", f"""SELECT * EXCLUDE (k_frac, dv),
+  CAST({rint_round('dv * ' + d(10.0) + ' * ' + d(2.5 / 60) + ' * (avg_severity / ' + d(1.5) + ') * '
+                   + d(50.0), 0)} AS BIGINT) AS daily_delay_cost_inr,
+  CAST({rint_round('dv * ' + d(10.0) + ' * ' + d(2.5 / 60) + ' * (avg_severity / ' + d(1.5) + ') * '
+                   + d(50.0), 0)} AS BIGINT) * 365 AS annual_delay_cost_inr
+FROM (SELECT *,
+  {rint_round('capacity_loss_pct / ' + d(100.0) + ' * ' + d(2.5) + ' * persistence_ratio', 2)}
+    AS shockwave_queue_km,
+  greatest(CAST(violation_count AS DOUBLE) / CAST(greatest((SELECT n_days FROM span), 1) AS DOUBLE),
+           {d(0.0)}) AS dv
+  FROM flow)"""),
+    ]
+
+
+def action_sql() -> str:
+    return f"""CASE WHEN concat_ws('; ',
+    CASE WHEN junction_fraction >= {d(0.5)} THEN {q(S.ACTION_JUNCTION)} END,
+    CASE WHEN busy_hour_fraction >= {d(0.5)} THEN {q(S.ACTION_BUSY)} END,
+    CASE WHEN persistence_ratio >= {d(0.5)} THEN {q(S.ACTION_CHRONIC)} END,
+    CASE WHEN growth_rate > {d(0.05)} THEN {q(S.ACTION_EMERGING)} END) = ''
+  THEN {q(S.ACTION_DEFAULT)}
+  ELSE concat_ws('; ',
+    CASE WHEN junction_fraction >= {d(0.5)} THEN {q(S.ACTION_JUNCTION)} END,
+    CASE WHEN busy_hour_fraction >= {d(0.5)} THEN {q(S.ACTION_BUSY)} END,
+    CASE WHEN persistence_ratio >= {d(0.5)} THEN {q(S.ACTION_CHRONIC)} END,
+    CASE WHEN growth_rate > {d(0.05)} THEN {q(S.ACTION_EMERGING)} END) END"""

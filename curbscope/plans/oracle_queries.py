@@ -26,3 +26,239 @@ SQL["hex_bin"] = O.with_(_base(), "SELECT hex_id, CAST(count(*) AS BIGINT) AS n
 SQL["busy_hours"] = O.with_(_base(O.busy_ctes()), "SELECT hour, n, cum_share FROM busy")
 
 SQL["hotspot_features"] = O.with_(_base(O.feature_ctes()), "SELECT * FROM features")
+
+# ---------------------------------------------------------------------------
+# scans and scalar functions
+# ---------------------------------------------------------------------------
+_raw_limited = (O.violations_raw_sql("(SELECT * FROM events ORDER BY event_id LIMIT 1000)"))
+SQL["scan_limit"] = O.with_(
+    [("raw", _raw_limited)] + O.base_ctes(RESOLUTION)[1:],
+    "SELECT id, severity, hour, weekday, date, at_junction FROM clean")
+
+SQL["parse_tags"] = O.with_(
+    [("raw", O.violations_raw_sql("events"))],
+    f"SELECT id, violation_type, CAST(to_json({O.tags_sql()}) AS VARCHAR) AS tags_json, "
+    f"CAST(len({O.tags_sql()}) AS INTEGER) AS n_tags FROM raw")
+
+SQL["record_severity"] = O.with_(
+    [("raw", O.violations_raw_sql("events")), ("t", f"SELECT id, {O.tags_sql()} AS tags FROM raw")],
+    f"SELECT id, {O.severity_sql()} AS severity FROM t")
+
+SQL["temporal_features"] = O.with_(_base(), "SELECT id, created_ist, hour, weekday, date FROM clean")
+
+_res_parts = " UNION ALL ".join(
+    f"SELECT {O.hex_cell_sql('latitude', 'longitude', r)} AS hex_id, CAST(count(*) AS BIGINT) AS n, "
+    f"{r} AS resolution FROM clean GROUP BY 1" for r in (7, 8, 10))
+SQL["hex_bin_res"] = O.with_(_base(), _res_parts)
+
+# ---------------------------------------------------------------------------
+# rollup-level aggregates
+# ---------------------------------------------------------------------------
+SQL["observation_span"] = O.with_(_base(O.span_ctes()), "SELECT * FROM span")
+
+SQL["dominant_mode"] = O.with_(_base(O.feature_ctes()), """SELECT s.hex_id,
+  s.v AS dominant_station, v.v AS dominant_vehicle FROM station_mode s JOIN vehicle_mode v USING (hex_id)""")
+
+_tag_long = [("tag_long", """SELECT hex_id, tag, CAST(count(*) AS BIGINT) AS count
+FROM (SELECT hex_id, unnest(tags) AS tag FROM hexed) GROUP BY hex_id, tag""")]
+SQL["tag_breakdown"] = O.with_(_base(_tag_long), "SELECT hex_id, tag, count FROM tag_long")
+
+SQL["tag_breakdown_sorted"] = O.with_(_base(_tag_long), """SELECT hex_id, tag, count,
+  CAST(row_number() OVER (PARTITION BY hex_id ORDER BY count DESC, tag) AS INTEGER) AS position
+FROM tag_long""")
+
+SQL["weekly_counts"] = O.with_(_base(O.weekly_ctes()), "SELECT hex_id, week, count FROM weekly")
+
+SQL["growth_trend"] = O.with_(_base(O.weekly_ctes()), "SELECT hex_id, growth_rate FROM trend")
+
+SQL["forecast_all"] = O.with_(_base(O.weekly_ctes(), O.forecast_ctes()),
+                              "SELECT hex_id, step, week, forecast_count FROM forecast")
+
+SQL["history_forecast"] = O.with_(_base(O.weekly_ctes(), O.forecast_ctes()), """SELECT hex_id, week,
+  avg(CASE WHEN type = 'history' THEN count END) AS history,
+  avg(CASE WHEN type = 'forecast' THEN count END) AS forecast
+FROM (SELECT hex_id, week, CAST(count AS DOUBLE) AS count, 'history' AS type FROM weekly
+      UNION ALL SELECT hex_id, week, forecast_count, 'forecast' FROM forecast)
+GROUP BY hex_id, week""")
+
+_hours = ", ".join(f"CAST(count(*) FILTER (WHERE hour = {h}) AS BIGINT) AS h{h:02d}" for h in range(24))
+SQL["weekday_hour_pivot"] = O.with_(_base(), f"SELECT weekday, {_hours} FROM hexed GROUP BY weekday")
+
+_parking = ", ".join(O.q(t) for t in O.S.PARKING_SEVERITY_WEIGHTS)
+SQL["tag_mix"] = O.with_(_base(_tag_long), f"""SELECT tag, CAST(sum(count) AS BIGINT) AS count
+FROM tag_long WHERE tag IN ({_parking}) GROUP BY tag""")
+
+SQL["hourly_density"] = O.with_(_base(), f"""SELECT hour, hex_id, count,
+  (CAST(lat7 AS DOUBLE) / CAST(count AS DOUBLE)) / {O.d(1e7)} AS lat,
+  (CAST(lon7 AS DOUBLE) / CAST(count AS DOUBLE)) / {O.d(1e7)} AS lon,
+  norm, 255 AS color_r,
+  CAST(floor({O.d(255.0)} * ({O.d(1.0)} - norm * {O.d(0.8)})) AS INTEGER) AS color_g,
+  0 AS color_b, 180 AS color_a,
+  CAST(floor(norm * {O.d(250.0)} + {O.d(40.0)}) AS INTEGER) AS radius
+FROM (SELECT *, greatest(least(CAST(count AS DOUBLE) / CAST(max(count) OVER (PARTITION BY hour) AS DOUBLE),
+                               {O.d(1.0)}), {O.d(0.0)}) AS norm
+      FROM (SELECT hour, hex_id, CAST(count(*) AS BIGINT) AS count,
+                   sum({O.e7('latitude')}) AS lat7, sum({O.e7('longitude')}) AS lon7
+            FROM hexed GROUP BY hour, hex_id))""")
+
+SQL["hourly_totals"] = O.with_(_base(O.busy_ctes()), """SELECT h.hour, h.violations, h.locations,
+  (b.hour IS NOT NULL) AS is_busy
+FROM (SELECT hour, CAST(count(*) AS BIGINT) AS violations, CAST(count(DISTINCT hex_id) AS BIGINT) AS locations
+      FROM hexed GROUP BY hour) h LEFT JOIN busy b ON h.hour = b.hour""")
+
+
+def _stable(x: str) -> str:
+    return O.rint_round(x, 9)
+
+
+_prof = " UNION ALL ".join(f"""SELECT '{name}' AS "column", CAST(count(x) AS BIGINT) AS count,
+  {_stable('avg(x)')} AS mean, {_stable('stddev_samp(x)')} AS std, {_stable('min(x)')} AS min,
+  {_stable('quantile_cont(x, 0.25)')} AS p25, {_stable('quantile_cont(x, 0.5)')} AS p50,
+  {_stable('quantile_cont(x, 0.75)')} AS p75, {_stable('max(x)')} AS max
+FROM (SELECT CAST({expr} AS DOUBLE) AS x FROM clean)""" for name, expr in (
+    ("severity", "severity"), ("hour", "hour"), ("weekday", "weekday"),
+    ("at_junction", "CAST(at_junction AS INTEGER)")))
+SQL["profile_clean"] = O.with_(_base(), _prof)
+
+# ---------------------------------------------------------------------------
+# the cell table (threshold stand-in tier) and views on it
+# ---------------------------------------------------------------------------
+_hot = _base(O.hot_ctes())
+
+
+def _on_hot(final: str, *extra) -> str:
+    ctes = _hot
+    for e in extra:
+        ctes = ctes + e
+    return O.with_(ctes, final)
+
+
+SQL["percentile_scores"] = _on_hot("""SELECT hex_id, score_severity, score_junction, score_busy_hour,
+  score_persistence FROM hot""")
+SQL["cis_scores"] = _on_hot("SELECT hex_id, congestion_impact_score FROM hot")
+SQL["impact_flow"] = _on_hot("SELECT hex_id, capacity_loss_pct, shockwave_queue_km, effective_speed_kmh FROM hot")
+SQL["impact_cost"] = _on_hot("SELECT hex_id, daily_delay_cost_inr, annual_delay_cost_inr FROM hot")
+SQL["recommended_action"] = _on_hot(f"SELECT hex_id, {O.action_sql()} AS recommended_action FROM hot")
+SQL["hotspot_view"] = _on_hot("""SELECT hex_id, dominant_station, tier, violation_count,
+  congestion_impact_score FROM hot WHERE tier IN ('Critical', 'High', 'Medium')""")
+
+_by_cis = "ORDER BY congestion_impact_score DESC, hex_id"
+SQL["hotspot_lookup"] = _on_hot(f"""SELECT hex_id, violation_count, congestion_impact_score, tier, growth_rate,
+  capacity_loss_pct, shockwave_queue_km, effective_speed_kmh, daily_delay_cost_inr, annual_delay_cost_inr
+FROM hot WHERE hex_id = (SELECT hex_id FROM hot {_by_cis} LIMIT 1)""")
+SQL["hotspot_options"] = _on_hot(
+    f"SELECT hex_id, hex_id || ' — ' || dominant_station AS label FROM hot {_by_cis} LIMIT 100")
+
+_colors = O.S.TIER_COLORS
+
+
+def _color(i: int) -> str:
+    arms = " ".join(f"WHEN '{t}' THEN {c[i]}" for t, c in _colors.items())
+    return f"CAST(CASE tier {arms} END AS INTEGER)"
+
+
+SQL["map_layer"] = _on_hot(f"""SELECT hex_id, dominant_station, violation_count, congestion_impact_score, tier,
+  capacity_loss_pct, shockwave_queue_km, daily_delay_cost_inr,
+  {_color(0)} AS color_r, {_color(1)} AS color_g, {_color(2)} AS color_b, {_color(3)} AS color_a,
+  congestion_impact_score * {O.d(30.0)} AS elevation FROM hot""")
+SQL["map_center"] = _on_hot(f"""SELECT {_stable(f'coalesce(avg(latitude), {O.d(12.9716)})')} AS center_lat,
+  {_stable(f'coalesce(avg(longitude), {O.d(77.5946)})')} AS center_lon FROM hot""")
+
+_top25 = [("top25", f"SELECT *, {O.action_sql()} AS recommended_action FROM hot {_by_cis} LIMIT 25")]
+SQL["priority_list"] = _on_hot("""SELECT hex_id, dominant_station, violation_count, congestion_impact_score,
+  tier, recommended_action FROM top25""", _top25)
+SQL["priority_report"] = _on_hot("""SELECT hex_id, dominant_station AS station, violation_count AS violations,
+  congestion_impact_score AS cis, tier, capacity_loss_pct AS lane_loss_pct, shockwave_queue_km AS queue_km,
+  daily_delay_cost_inr AS daily_cost_inr, annual_delay_cost_inr AS annual_cost_inr,
+  junction_fraction AS pct_at_junction, busy_hour_fraction AS pct_busy_hours,
+  persistence_ratio AS persistence, growth_rate AS weekly_growth, recommended_action FROM top25""", _top25)
+
+_weights = sorted(O.S.PARKING_SEVERITY_WEIGHTS.items(), key=lambda kv: -kv[1])
+_weight_rows = " UNION ALL ".join(
+    f"SELECT 'weight' AS option, {O.q(f'{t}: {w}')} AS value, {i + 1} AS position"
+    for i, (t, w) in enumerate(_weights))
+SQL["filter_options"] = _on_hot(f"""SELECT 'tier' AS option, tier AS value,
+  CAST(row_number() OVER (ORDER BY max(congestion_impact_score) DESC, tier) AS INTEGER) AS position
+FROM hot GROUP BY tier
+UNION ALL
+SELECT 'station', dominant_station, CAST(row_number() OVER (ORDER BY dominant_station) AS INTEGER)
+FROM (SELECT DISTINCT dominant_station FROM hot)
+UNION ALL {_weight_rows}""")
+
+SQL["kpis"] = _on_hot(f"""SELECT (SELECT CAST(count(*) AS BIGINT) FROM hexed) AS violations,
+  CAST(count(*) AS BIGINT) AS hotspots,
+  CAST(count(*) FILTER (WHERE tier IN ('Critical', 'High')) AS BIGINT) AS critical_high,
+  {_stable('avg(congestion_impact_score)')} AS avg_cis,
+  CAST(coalesce(sum(daily_delay_cost_inr), 0) AS BIGINT) AS daily_cost_total,
+  CAST(coalesce(sum(annual_delay_cost_inr), 0) AS BIGINT) AS annual_cost_total,
+  {O.rint_round(f'CAST(coalesce(sum(annual_delay_cost_inr), 0) AS DOUBLE) / {O.d(1e7)}', 1)}
+    AS annual_cost_crore,
+  coalesce((SELECT string_agg(printf('%02dh', hour), ', ' ORDER BY hour) FROM busy), '') AS busy_hours
+FROM hot""")
+
+
+def _patrol_sql(budget: int, partition: str | None) -> list[tuple[str, str]]:
+    part = f"PARTITION BY {partition} " if partition else ""
+    key = f"{partition}, " if partition else ""
+    return [
+        ("pc", f"""SELECT *, CASE WHEN tier = 'Critical' THEN 2 ELSE 1 END AS cost,
+  row_number() OVER ({part}{_by_cis}) AS pos FROM hot"""),
+        ("pc2", f"""SELECT *, sum(cost) OVER ({part}{_by_cis}
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM pc"""),
+        ("pc3", f"""SELECT *, min(CASE WHEN cum > {budget} THEN pos END) OVER ({part.strip()}) AS j,
+  min(CASE WHEN cum > {budget} THEN {budget} - (cum - cost) END) OVER ({part.strip()}) AS left_over
+FROM pc2"""),
+        ("pc4", f"""SELECT *, min(CASE WHEN pos > j AND cost = 1 AND left_over = 1 THEN pos END)
+  OVER ({part.strip()}) AS extra FROM pc3"""),
+        ("sched", f"""SELECT {key}CAST(row_number() OVER ({part}{_by_cis}) AS INTEGER) AS priority,
+  hex_id, dominant_station AS station, tier,
+  {O.rint_round('congestion_impact_score', 1)} AS cis,
+  CAST(cost AS INTEGER) AS officers, CAST(cost AS INTEGER) AS hours,
+  {O.rint_round('coalesce(capacity_loss_pct, 0.0)', 1)} AS lane_loss_pct,
+  CAST(coalesce(daily_delay_cost_inr, 0) AS BIGINT) AS est_daily_cost_inr
+FROM pc4 WHERE cum <= {budget} OR pos = extra"""),
+    ]
+
+
+_budget = 5 * 8
+SQL["patrol_schedule"] = _on_hot("SELECT * FROM sched", _patrol_sql(_budget, None))
+SQL["patrol_by_station"] = _on_hot("SELECT * EXCLUDE (dominant_station) FROM sched",
+                                   _patrol_sql(_budget, "dominant_station"))
+SQL["patrol_summary"] = _on_hot(f"""SELECT assigned, total_cis, daily_cost_prevented, {_budget} AS budget,
+  {_stable('random_cis')} AS random_cis,
+  {_stable(f'CASE WHEN random_cis > 0 THEN (total_cis - random_cis) / random_cis * {O.d(100.0)} END')}
+    AS pct_better
+FROM (SELECT CAST(count(*) AS BIGINT) AS assigned,
+        {O.rint_round(f'coalesce(sum(cis), {O.d(0.0)})', 1)} AS total_cis,
+        CAST(coalesce(sum(est_daily_cost_inr), 0) AS BIGINT) AS daily_cost_prevented,
+        (SELECT avg(congestion_impact_score) FROM hot)
+          * CAST(least({_budget}, (SELECT count(*) FROM hot)) AS DOUBLE) AS random_cis
+      FROM sched)""", _patrol_sql(_budget, None))
+
+SQL["tier_labels"] = _on_hot(f"""SELECT cluster, {_stable('mean_cis')} AS mean_cis,
+  CAST(cluster_rank AS INTEGER) AS cluster_rank,
+  ['Critical', 'High', 'Medium', 'Low'][least(cluster_rank, 4)] AS tier
+FROM (SELECT cluster, mean_cis, row_number() OVER (ORDER BY mean_cis DESC, cluster) AS cluster_rank
+      FROM (SELECT cluster, avg(congestion_impact_score) AS mean_cis FROM hot GROUP BY cluster))""")
+
+_w = (10, 40, 30, 20)
+_tot = sum(_w)
+_whatif = [("wi", f"""SELECT *, {O.cis_expr(*(x / _tot for x in _w))} AS whatif_cis,
+  row_number() OVER ({_by_cis}) AS original_rank FROM hot"""),
+           ("wi2", """SELECT *, row_number() OVER (ORDER BY whatif_cis DESC, original_rank) AS new_rank
+FROM wi""")]
+SQL["whatif_rank"] = _on_hot("""SELECT new_rank, hex_id, dominant_station, tier, congestion_impact_score,
+  whatif_cis, original_rank, original_rank - new_rank AS rank_change FROM wi2 WHERE new_rank <= 25""", _whatif)
+SQL["whatif_movers"] = _on_hot("""SELECT new_rank, hex_id, dominant_station, tier, congestion_impact_score,
+  whatif_cis, original_rank - new_rank AS rank_change,
+  CASE WHEN original_rank - new_rank > 0 THEN 'rose' ELSE 'fell' END AS direction,
+  abs(original_rank - new_rank) AS positions
+FROM wi2 WHERE abs(original_rank - new_rank) > 5 ORDER BY new_rank LIMIT 6""", _whatif)
+
+_checked = """hex_id, violation_count, severity_weighted_count, avg_severity, junction_fraction,
+  busy_hour_fraction, active_days, latitude, longitude, dominant_station, dominant_vehicle,
+  persistence_ratio, growth_rate, score_severity, score_junction, score_busy_hour, score_persistence,
+  congestion_impact_score, capacity_loss_pct, shockwave_queue_km, effective_speed_kmh,
+  daily_delay_cost_inr, annual_delay_cost_inr"""
+SQL["hotspot_table"] = _on_hot(f"SELECT {_checked} FROM hot")
+SQL["hotspot_export"] = _on_hot(f"SELECT {_checked}, cluster, tier FROM hot")

@@ -74,3 +74,305 @@ def q_busy_hours(spark, sf_dir):
 @register("hotspot_features")
 def q_hotspot_features(spark, sf_dir):
     return FT.hotspot_features(rollup(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# more scans and scalar functions
+# ---------------------------------------------------------------------------
+from curbscope.functions.tags import parse_tags, record_severity  # noqa: E402
+from curbscope.functions.numeric import rint_round  # noqa: E402
+from curbscope.operators import score as SC  # noqa: E402
+from curbscope.operators import trend as TR  # noqa: E402
+from curbscope.operators import views as V  # noqa: E402
+from curbscope.operators import patrol as P  # noqa: E402
+from curbscope.operators.impact import delay_cost, flow_impact  # noqa: E402
+from curbscope.operators.tier import label_clusters, threshold_tiers  # noqa: E402
+from curbscope.plans.pipeline import build_hotspot_table, HOTSPOT_COLUMNS  # noqa: E402
+from curbscope.sources.violations import limit_rows  # noqa: E402
+
+SCAN_LIMIT_ROWS = 1000
+PATROL_OFFICERS, PATROL_HOURS = 5, 8
+WHATIF_WEIGHTS = (10, 40, 30, 20)
+VIEW_TIERS = ["Critical", "High", "Medium"]
+STABLE_DIGITS = 9   # means of doubles depend on summation order; compare at 1e-9
+
+
+def stable(c):
+    return rint_round(c, STABLE_DIGITS)
+
+
+@register("scan_limit")
+def q_scan_limit(spark, sf_dir):
+    raw = limit_rows(violations_raw(spark, sf_dir), SCAN_LIMIT_ROWS,
+                     order_by=F.col("id").cast("long"))
+    return clean_violations(raw).select("id", "severity", "hour", "weekday", "date", "at_junction")
+
+
+@register("parse_tags")
+def q_parse_tags(spark, sf_dir):
+    raw = violations_raw(spark, sf_dir)
+    tags = parse_tags(F.col("violation_type"))
+    return raw.select("id", "violation_type", F.to_json(tags).alias("tags_json"),
+                      F.size(tags).alias("n_tags"))
+
+
+@register("record_severity")
+def q_record_severity(spark, sf_dir):
+    raw = violations_raw(spark, sf_dir)
+    return raw.select("id", record_severity(parse_tags(F.col("violation_type"))).alias("severity"))
+
+
+@register("temporal_features")
+def q_temporal_features(spark, sf_dir):
+    return clean_violations(violations_raw(spark, sf_dir)).select(
+        "id", "created_ist", "hour", "weekday", "date")
+
+
+@register("hex_bin_res")
+def q_hex_bin_res(spark, sf_dir):
+    clean = clean_violations(violations_raw(spark, sf_dir))
+    parts = []
+    for res in (7, 8, 10):
+        parts.append(add_hex_id(clean, res).groupBy("hex_id")
+                     .agg(F.count(F.lit(1)).alias("n")).withColumn("resolution", F.lit(res)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ---------------------------------------------------------------------------
+# rollup-level aggregates
+# ---------------------------------------------------------------------------
+@register("observation_span")
+def q_observation_span(spark, sf_dir):
+    return B.observation_days(rollup(spark, sf_dir))
+
+
+@register("dominant_mode")
+def q_dominant_mode(spark, sf_dir):
+    return FT.dominant_values(rollup(spark, sf_dir))
+
+
+@register("tag_breakdown")
+def q_tag_breakdown(spark, sf_dir):
+    return FT.tag_breakdown_long(rollup(spark, sf_dir))
+
+
+@register("tag_breakdown_sorted")
+def q_tag_breakdown_sorted(spark, sf_dir):
+    return V.tag_breakdown_sorted(rollup(spark, sf_dir))
+
+
+@register("weekly_counts")
+def q_weekly_counts(spark, sf_dir):
+    return B.weekly_counts(rollup(spark, sf_dir))
+
+
+@register("growth_trend")
+def q_growth_trend(spark, sf_dir):
+    return TR.growth_trend(B.weekly_counts(rollup(spark, sf_dir)))
+
+
+@register("forecast_all")
+def q_forecast_all(spark, sf_dir):
+    return TR.forecast_all(B.weekly_counts(rollup(spark, sf_dir)))
+
+
+@register("history_forecast")
+def q_history_forecast(spark, sf_dir):
+    return TR.history_forecast(B.weekly_counts(rollup(spark, sf_dir)))
+
+
+@register("weekday_hour_pivot")
+def q_weekday_hour_pivot(spark, sf_dir):
+    return V.weekday_hour_pivot(rollup(spark, sf_dir))
+
+
+@register("tag_mix")
+def q_tag_mix(spark, sf_dir):
+    return V.tag_mix(rollup(spark, sf_dir))
+
+
+@register("hourly_density")
+def q_hourly_density(spark, sf_dir):
+    return V.hourly_density(rollup(spark, sf_dir))
+
+
+@register("hourly_totals")
+def q_hourly_totals(spark, sf_dir):
+    r = rollup(spark, sf_dir)
+    return V.hourly_totals(r, B.busy_hours(r))
+
+
+@register("profile_clean")
+def q_profile_clean(spark, sf_dir):
+    prof = V.profile_clean(clean_violations(violations_raw(spark, sf_dir)))
+    return prof.select("column", "count", *[stable(F.col(c)).alias(c) for c in
+                                            ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
+# ---------------------------------------------------------------------------
+# the cell table and everything built on it
+# ---------------------------------------------------------------------------
+def build(spark, sf_dir, tiering="threshold"):
+    return build_hotspot_table(records(spark, sf_dir), tiering=tiering, hexed=True)
+
+
+def hot(spark, sf_dir):
+    """Cell table with the deterministic stand-in tier (oracle-checkable)."""
+    return build(spark, sf_dir).hotspots
+
+
+@register("percentile_scores")
+def q_percentile_scores(spark, sf_dir):
+    return hot(spark, sf_dir).select("hex_id", *SC.SCORE_SOURCES)
+
+
+@register("cis_scores")
+def q_cis_scores(spark, sf_dir):
+    return hot(spark, sf_dir).select("hex_id", "congestion_impact_score")
+
+
+@register("impact_flow")
+def q_impact_flow(spark, sf_dir):
+    return hot(spark, sf_dir).select("hex_id", "capacity_loss_pct", "shockwave_queue_km",
+                                     "effective_speed_kmh")
+
+
+@register("impact_cost")
+def q_impact_cost(spark, sf_dir):
+    return hot(spark, sf_dir).select("hex_id", "daily_delay_cost_inr", "annual_delay_cost_inr")
+
+
+@register("recommended_action")
+def q_recommended_action(spark, sf_dir):
+    return V.with_action(hot(spark, sf_dir)).select("hex_id", "recommended_action")
+
+
+VIEW_COLUMNS = ["hex_id", "dominant_station", "tier", "violation_count",
+                "congestion_impact_score"]
+
+
+@register("hotspot_view")
+def q_hotspot_view(spark, sf_dir):
+    return V.hotspot_view(hot(spark, sf_dir), VIEW_TIERS).select(*VIEW_COLUMNS)
+
+
+@register("hotspot_lookup")
+def q_hotspot_lookup(spark, sf_dir):
+    h = hot(spark, sf_dir)
+    first = V.hotspot_options(h, 1)
+    return V.hotspot_lookup(h, first).select(
+        "hex_id", "violation_count", "congestion_impact_score", "tier", "growth_rate",
+        "capacity_loss_pct", "shockwave_queue_km", "effective_speed_kmh",
+        "daily_delay_cost_inr", "annual_delay_cost_inr")
+
+
+@register("hotspot_options")
+def q_hotspot_options(spark, sf_dir):
+    return V.hotspot_options(hot(spark, sf_dir))
+
+
+@register("map_layer")
+def q_map_layer(spark, sf_dir):
+    return V.map_layer(hot(spark, sf_dir)).drop("latitude", "longitude")
+
+
+@register("map_center")
+def q_map_center(spark, sf_dir):
+    c = V.map_center(hot(spark, sf_dir))
+    return c.select(stable(F.col("center_lat")).alias("center_lat"),
+                    stable(F.col("center_lon")).alias("center_lon"))
+
+
+@register("priority_list")
+def q_priority_list(spark, sf_dir):
+    return V.priority_list(hot(spark, sf_dir)).select(
+        "hex_id", "dominant_station", "violation_count", "congestion_impact_score", "tier",
+        "recommended_action")
+
+
+@register("priority_report")
+def q_priority_report(spark, sf_dir):
+    return V.priority_report(hot(spark, sf_dir))
+
+
+@register("filter_options")
+def q_filter_options(spark, sf_dir):
+    return V.filter_options(hot(spark, sf_dir))
+
+
+@register("kpis")
+def q_kpis(spark, sf_dir):
+    b = build(spark, sf_dir)
+    k = V.kpis(b.hotspots, b.rollup, b.busy)
+    return k.withColumn("avg_cis", stable(F.col("avg_cis")))
+
+
+@register("patrol_schedule")
+def q_patrol_schedule(spark, sf_dir):
+    return P.patrol_schedule(hot(spark, sf_dir), PATROL_OFFICERS, PATROL_HOURS)
+
+
+@register("patrol_by_station")
+def q_patrol_by_station(spark, sf_dir):
+    return P.patrol_by_station(hot(spark, sf_dir), PATROL_OFFICERS, PATROL_HOURS)
+
+
+@register("patrol_summary")
+def q_patrol_summary(spark, sf_dir):
+    h = hot(spark, sf_dir)
+    s = P.patrol_summary(P.patrol_schedule(h, PATROL_OFFICERS, PATROL_HOURS), h,
+                         PATROL_OFFICERS, PATROL_HOURS)
+    return s.select("assigned", "total_cis", "daily_cost_prevented", "budget",
+                    stable(F.col("random_cis")).alias("random_cis"),
+                    stable(F.col("pct_better")).alias("pct_better"))
+
+
+@register("tier_labels")
+def q_tier_labels(spark, sf_dir):
+    lab = label_clusters(hot(spark, sf_dir))
+    return lab.select("cluster", stable(F.col("mean_cis")).alias("mean_cis"),
+                      "cluster_rank", "tier")
+
+
+@register("whatif_rank")
+def q_whatif_rank(spark, sf_dir):
+    return SC.whatif_top(SC.whatif_ranks(hot(spark, sf_dir), *WHATIF_WEIGHTS))
+
+
+@register("whatif_movers")
+def q_whatif_movers(spark, sf_dir):
+    return SC.whatif_movers(SC.whatif_ranks(hot(spark, sf_dir), *WHATIF_WEIGHTS))
+
+
+CHECKED_COLUMNS = [c for c in HOTSPOT_COLUMNS if c not in ("cluster", "tier", "tag_breakdown")]
+
+
+@register("hotspot_table")
+def q_hotspot_table(spark, sf_dir):
+    """The full KMeans build; the tier/cluster/map columns are left out of
+    the checked projection (see ``tier_hotspots`` for the tiers)."""
+    return build(spark, sf_dir, tiering="kmeans").hotspots.select(*CHECKED_COLUMNS)
+
+
+@register("tier_hotspots")
+def q_tier_hotspots(spark, sf_dir):
+    return build(spark, sf_dir, tiering="kmeans").hotspots.select(
+        "hex_id", "cluster", "tier", "congestion_impact_score")
+
+
+@register("hotspot_export")
+def q_hotspot_export(spark, sf_dir):
+    """Write the CSV export (map dropped) to the checkpoint folder and read
+    it back with the table's types."""
+    import uuid
+
+    from curbscope.session import ensure_checkpoint_dir
+    from curbscope.sources.sinks import export_hotspots_csv, read_hotspots_csv
+
+    h = hot(spark, sf_dir)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/export-{uuid.uuid4().hex}"
+    export_hotspots_csv(h, path)
+    return read_hotspots_csv(spark, path, h)

@@ -67,7 +67,7 @@ def read_violations_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_violations(spark: SparkSession, path: str, fmt: str = "csv",
-                    nrows: int | None = None, order_by: str | None = None) -> DataFrame:
+                    nrows: int | None = None, order_by=None) -> DataFrame:
     """Scan raw records; ``nrows`` keeps the first *n* raw rows before any
     cleaning (``order_by`` makes "first" deterministic; without it Spark
     takes rows in scan order)."""
@@ -75,9 +75,10 @@ def read_violations(spark: SparkSession, path: str, fmt: str = "csv",
     return limit_rows(df, nrows, order_by)
 
 
-def limit_rows(df: DataFrame, nrows: int | None, order_by: str | None = None) -> DataFrame:
+def limit_rows(df: DataFrame, nrows: int | None, order_by=None) -> DataFrame:
+    """First ``nrows`` rows (``order_by``: a column name or Column)."""
     if nrows is None:
         return df
-    if order_by:
+    if order_by is not None:
         df = df.orderBy(order_by)
     return df.limit(int(nrows))
