@@ -12,46 +12,89 @@
   raw text
 
 Lists are read with ``from_json`` (single quotes allowed, tabs allowed inside
-quotes, a trailing comma before ``]`` tolerated). Known residue, which falls
-back to the raw text or differs from a full Python-literal reader: backslash
-escapes beyond JSON's, nested lists, dicts, adjacent string literals,
-``True``/``None``/``true`` items and numbers written in non-canonical form.
+quotes, a trailing comma before ``]`` tolerated). Only cheap string tests
+(``btrim``, ``startswith``, ``endswith``, ``contains``) run on every row; no
+regular expressions. Known residue, which falls back to the raw text or
+differs from a full Python-literal reader: backslash escapes beyond JSON's,
+nested lists, dicts, adjacent string literals, ``True``/``None``/``true``
+items and numbers written in non-canonical form.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbscope.schema import PARKING_SEVERITY_WEIGHTS
 
-_WS_EDGES = r"^\s+|\s+$"
+# --- fixed values: characters Python's str.strip() removes -----------------
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+              "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_ws(c: Column) -> Column:
     """Strip leading/trailing whitespace of every kind (not only spaces)."""
-    return F.regexp_replace(c, _WS_EDGES, "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
-def parse_tags(raw: Column) -> Column:
-    s = strip_ws(raw)
-    is_list = s.rlike(r"(?s)^\[.*\]$") & ~s.contains("][")
-    is_tuple = s.rlike(r"(?s)^\(.*\)$") & ~s.contains(")(")
-    body = (F.when(is_list, s)
-            .when(is_tuple, F.concat(F.lit("["), s.substr(F.lit(2), F.length(s) - 2), F.lit("]"))))
-    body = F.regexp_replace(body, r",\s*\]$", "]")
-    parsed = F.from_json(body, "array<string>", {"allowUnquotedControlChars": "true"})
+def _inner(s: Column) -> Column:
+    """Text between the first and the last character."""
+    return s.substr(F.lit(2), F.length(s) - 2)
+
+
+def list_body(s: Column) -> Column:
+    """JSON list text for list/tuple forms of stripped text ``s``, else NULL."""
+    is_list = s.startswith("[") & s.endswith("]") & ~s.contains("][")
+    is_tuple = s.startswith("(") & s.endswith(")") & ~s.contains(")(")
+    items = strip_ws(_inner(s))
+    items = F.when(items.endswith(","), items.substr(F.lit(1), F.length(items) - 1)) \
+        .otherwise(items)
+    return F.when(is_list | is_tuple, F.concat(F.lit("["), items, F.lit("]")))
+
+
+def parse_list(s: Column) -> Column:
+    return F.from_json(list_body(s), "array<string>", {"allowUnquotedControlChars": "true"})
+
+
+def tags_from_parts(s: Column, parsed: Column) -> Column:
+    """Final tag array from stripped text ``s`` and its ``parse_list``."""
     list_ok = parsed.isNotNull() & ~F.exists(parsed, lambda x: x.isNull())
-    quoted = s.rlike(r"""(?s)^"[^"]*"$""") | s.rlike(r"(?s)^'[^']*'$")
-    inner = s.substr(F.lit(2), F.length(s) - 2)
+    quoted = (F.length(s) >= 2) & (
+        (s.startswith('"') & s.endswith('"') & ~_inner(s).contains('"'))
+        | (s.startswith("'") & s.endswith("'") & ~_inner(s).contains("'")))
     return (
-        F.when(raw.isNull() | (s == ""), F.array().cast("array<string>"))
+        F.when(s.isNull() | (s == ""), F.array().cast("array<string>"))
         .when(list_ok, F.transform(parsed, strip_ws))
-        .when(quoted, F.array(strip_ws(inner)))
+        .when(quoted, F.array(strip_ws(_inner(s))))
         .otherwise(F.array(s))
     )
 
 
+def parse_tags(raw: Column) -> Column:
+    """Single-expression form (convenient, but Catalyst may evaluate the
+    stripped text and the JSON parse more than once per row; ``with_tags``
+    is the staged form for large tables)."""
+    s = strip_ws(raw)
+    return tags_from_parts(s, parse_list(s))
+
+
+def with_tags(df: DataFrame, src: str = "violation_type", out: str = "tags") -> DataFrame:
+    """Add the parsed tag array with each expensive step evaluated once.
+
+    The stripped text and the JSON parse are separate projected columns
+    (Catalyst does not inline a non-trivial expression that is referenced
+    several times), and the final array comes out of a one-row ``inline``
+    generator: a later filter on anything derived from the tags cannot be
+    pushed below a generator, so the parse is not re-run inside the filter.
+    """
+    staged = df.withColumn("_tag_text", strip_ws(F.col(src)))
+    staged = staged.withColumn("_tag_list", parse_list(F.col("_tag_text")))
+    tags = tags_from_parts(F.col("_tag_text"), F.col("_tag_list"))
+    return (staged.select("*", F.inline(F.array(F.struct(tags.alias(out)))))
+            .drop("_tag_text", "_tag_list"))
+
+
 def severity_map() -> Column:
     """Literal ``map<string,double>`` of the parking tag weights."""
     kv = []

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbscope.functions.grid import hex_cell_id
-from curbscope.functions.tags import parse_tags, record_severity, strip_ws
+from curbscope.functions.tags import record_severity, strip_ws, with_tags
 from curbscope.functions.timeparts import ist_timestamp
 from curbscope.schema import DEFAULT_CENTER, NO_JUNCTION, UNKNOWN
 
@@ -22,7 +22,7 @@ CLEAN_EXTRA = ["tags", "severity", "created_ist", "hour", "weekday", "date", "at
 
 def clean_violations(raw: DataFrame) -> DataFrame:
     df = raw.dropna(subset=["latitude", "longitude", "created_datetime"])
-    df = df.withColumn("tags", parse_tags(F.col("violation_type")))
+    df = with_tags(df, "violation_type", "tags")
     df = df.withColumn("severity", record_severity(F.col("tags")))
     df = df.filter(F.col("severity") > 0)
     df = df.withColumn("created_ist", ist_timestamp(F.col("created_datetime")))

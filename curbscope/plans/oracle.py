@@ -24,7 +24,9 @@ def q(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    from curbscope.functions.tags import WHITESPACE
+    chars = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
+    return f"trim({x}, {chars})"
 
 
 def rint_round(x: str, digits: int) -> str:
