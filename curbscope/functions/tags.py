@@ -79,19 +79,24 @@ def parse_tags(raw: Column) -> Column:
     return tags_from_parts(s, parse_list(s))
 
 
-def with_tags(df: DataFrame, src: str = "violation_type", out: str = "tags") -> DataFrame:
-    """Add the parsed tag array with each expensive step evaluated once.
+def with_tags(df: DataFrame, src: str = "violation_type", out: str = "tags",
+              extra: dict[str, Column] | None = None) -> DataFrame:
+    """Add the parsed tag array (and any ``extra`` columns) with each
+    expensive step evaluated once per row.
 
     The stripped text and the JSON parse are separate projected columns
     (Catalyst does not inline a non-trivial expression that is referenced
-    several times), and the final array comes out of a one-row ``inline``
-    generator: a later filter on anything derived from the tags cannot be
-    pushed below a generator, so the parse is not re-run inside the filter.
+    several times), and the outputs come out of a one-row ``inline``
+    generator: a later filter on anything derived from them cannot be
+    pushed below a generator (nor below an earlier repartition), so the
+    parse is neither re-run inside the filter nor moved before the shuffle
+    that spreads the rows.
     """
     staged = df.withColumn("_tag_text", strip_ws(F.col(src)))
     staged = staged.withColumn("_tag_list", parse_list(F.col("_tag_text")))
-    tags = tags_from_parts(F.col("_tag_text"), F.col("_tag_list"))
-    return (staged.select("*", F.inline(F.array(F.struct(tags.alias(out)))))
+    fields = [tags_from_parts(F.col("_tag_text"), F.col("_tag_list")).alias(out)]
+    fields += [c.alias(name) for name, c in (extra or {}).items()]
+    return (staged.select("*", F.inline(F.array(F.struct(*fields))))
             .drop("_tag_text", "_tag_list"))
 
 

@@ -22,11 +22,10 @@ CLEAN_EXTRA = ["tags", "severity", "created_ist", "hour", "weekday", "date", "at
 
 def clean_violations(raw: DataFrame) -> DataFrame:
     df = raw.dropna(subset=["latitude", "longitude", "created_datetime"])
-    df = with_tags(df, "violation_type", "tags")
+    df = with_tags(df, "violation_type", "tags",
+                   extra={"created_ist": ist_timestamp(F.col("created_datetime"))})
     df = df.withColumn("severity", record_severity(F.col("tags")))
-    df = df.filter(F.col("severity") > 0)
-    df = df.withColumn("created_ist", ist_timestamp(F.col("created_datetime")))
-    df = df.filter(F.col("created_ist").isNotNull())
+    df = df.filter((F.col("severity") > 0) & F.col("created_ist").isNotNull())
     df = df.withColumns({
         "hour": F.hour("created_ist"),
         "weekday": F.weekday("created_ist"),

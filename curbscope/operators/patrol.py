@@ -24,9 +24,16 @@ from pyspark.sql import functions as F
 from curbscope import schema as S
 from curbscope.functions.numeric import rint_round
 
-_ORDER = [F.col("congestion_impact_score").desc(), F.col("hex_id").asc()]
-_COST = F.when(F.col("tier") == "Critical", F.lit(S.PATROL_COST_CRITICAL)) \
-    .otherwise(F.lit(S.PATROL_COST_OTHER))
+
+
+def _order():
+    return [F.col("congestion_impact_score").desc(), F.col("hex_id").asc()]
+
+
+def _cost():
+    return F.when(F.col("tier") == "Critical", F.lit(S.PATROL_COST_CRITICAL)) \
+        .otherwise(F.lit(S.PATROL_COST_OTHER))
+
 _COLUMNS = ["hex_id", "dominant_station", "tier", "congestion_impact_score",
             "capacity_loss_pct", "daily_delay_cost_inr"]
 
@@ -36,10 +43,10 @@ def filter_pool(hotspots: DataFrame, stations: list[str] | None = None) -> DataF
 
 
 def _select(cands: DataFrame, budget: int, partition: list[str]) -> DataFrame:
-    w = Window.partitionBy(*partition).orderBy(*_ORDER)
+    w = Window.partitionBy(*partition).orderBy(*_order())
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*partition)
-    c = cands.withColumns({"_cost": _COST, "_pos": F.row_number().over(w)})
+    c = cands.withColumns({"_cost": _cost(), "_pos": F.row_number().over(w)})
     c = c.withColumn("_cum", F.sum("_cost").over(run))
     over = F.col("_cum") > budget
     c = c.withColumns({
@@ -50,7 +57,7 @@ def _select(cands: DataFrame, budget: int, partition: list[str]) -> DataFrame:
                              & (F.col("_left") == 1), F.col("_pos"))).over(whole)
     c = c.withColumn("_extra", extra_pos)
     chosen = c.filter((F.col("_cum") <= budget) | (F.col("_pos") == F.col("_extra")))
-    prio = F.row_number().over(Window.partitionBy(*partition).orderBy(*_ORDER))
+    prio = F.row_number().over(Window.partitionBy(*partition).orderBy(*_order()))
     return chosen.select(
         *partition, prio.alias("priority"), "hex_id",
         F.col("dominant_station").alias("station"), "tier",
@@ -67,8 +74,8 @@ def patrol_schedule(hotspots: DataFrame, n_officers: int = 5, shift_hours: int =
     pool = filter_pool(hotspots, stations).select(*_COLUMNS)
     if budget <= 0:
         return _select(pool.limit(0), budget, [])
-    top = pool.orderBy(*_ORDER).limit(budget)
-    top_other = pool.filter(F.col("tier") != "Critical").orderBy(*_ORDER).limit(budget + 1)
+    top = pool.orderBy(*_order()).limit(budget)
+    top_other = pool.filter(F.col("tier") != "Critical").orderBy(*_order()).limit(budget + 1)
     cands = top.unionByName(top_other).distinct()
     return _select(cands, budget, [])
 
@@ -78,7 +85,7 @@ def patrol_by_station(hotspots: DataFrame, n_officers: int = 5,
     """One schedule per dominant station (each station gets the budget)."""
     budget = int(n_officers) * int(shift_hours)
     pool = hotspots.select(*_COLUMNS).withColumn("_st", F.col("dominant_station"))
-    by_station = Window.partitionBy("_st").orderBy(*_ORDER)
+    by_station = Window.partitionBy("_st").orderBy(*_order())
     top = pool.withColumn("_r", F.row_number().over(by_station)).filter(F.col("_r") <= budget)
     other = pool.filter(F.col("tier") != "Critical")
     top_other = other.withColumn("_r", F.row_number().over(by_station)) \

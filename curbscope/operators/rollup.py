@@ -35,16 +35,13 @@ from pyspark.sql import functions as F
 KEY_COLUMNS = ["hex_id", "kind", "date", "weekday", "hour", "value"]
 MEASURES = ["n", "sev_sum", "jct_n", "lat_e7", "lon_e7"]
 
-_DATE_NULL = F.lit(None).cast("date")
-_INT_NULL = F.lit(None).cast("int")
-_STR_NULL = F.lit(None).cast("string")
-
-
-def _key(kind: str, date: Column = _DATE_NULL, weekday: Column = _INT_NULL,
-         hour: Column = _INT_NULL, value: Column = _STR_NULL) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), date.alias("date"),
-                    weekday.alias("weekday"), hour.alias("hour"),
-                    value.alias("value"))
+def _key(kind: str, date: Column | None = None, weekday: Column | None = None,
+         hour: Column | None = None, value: Column | None = None) -> Column:
+    def orNull(c: Column | None, t: str) -> Column:
+        return F.lit(None).cast(t) if c is None else c
+    return F.struct(F.lit(kind).alias("kind"), orNull(date, "date").alias("date"),
+                    orNull(weekday, "int").alias("weekday"), orNull(hour, "int").alias("hour"),
+                    orNull(value, "string").alias("value"))
 
 
 def e7(c: Column) -> Column:

@@ -12,8 +12,9 @@
 
 KMeans runs on the cell table (one row per cell), never on records. Its
 result depends on the data layout (k-means|| sampling), so the input is
-fixed to ``layout_partitions`` hash partitions sorted by hex_id,
-independent of ``spark.sql.shuffle.partitions``. Labels cannot match other
+fixed to ``layout_partitions`` hash partitions sorted by hex_id (by default
+one per 50,000 cells), independent of ``spark.sql.shuffle.partitions`` and
+of the cluster size. Labels cannot match other
 KMeans implementations bit for bit (different initialisation).
 """
 
@@ -23,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbscope.schema import TIER_FEATURES, TIER_ORDER
-from curbscope.session import ensure_checkpoint_dir
 
 
 def label_clusters(df: DataFrame, cluster_col: str = "cluster",
@@ -43,14 +43,27 @@ def apply_labels(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     return df.join(F.broadcast(labels), cluster_col, "left")
 
 
+def layout_for(n_cells: int, cells_per_partition: int = 50_000) -> int:
+    """KMeans input partitions: a function of the cell count only, so the
+    clustering does not change with cluster size or shuffle settings."""
+    return max(1, -(-n_cells // cells_per_partition))
+
+
 def tier_hotspots(hotspots: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10,
-                  layout_partitions: int = 8, max_iter: int = 300,
-                  tol: float = 1e-4) -> DataFrame:
+                  layout_partitions: int | None = None, max_iter: int = 300,
+                  tol: float = 1e-4, parallel_fits: int = 8) -> DataFrame:
+    """``n_init`` restarts run as concurrent Spark jobs (``parallel_fits``
+    threads); the lowest cost wins, ties to the lowest seed, so the result
+    does not depend on thread timing."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    n_cells = hotspots.select("hex_id").distinct().count()
+    n_cells = hotspots.count()   # one row per cell
     k_eff = min(k, max(n_cells, 1))
+    if layout_partitions is None:
+        layout_partitions = layout_for(n_cells)
     if k_eff < 2:
         return (hotspots.withColumn("cluster", F.lit(None).cast("int"))
                 .withColumn("tier", F.lit(TIER_ORDER[0])))
@@ -60,17 +73,19 @@ def tier_hotspots(hotspots: DataFrame, k: int = 4, seed: int = 42, n_init: int =
     laid = feats.repartition(layout_partitions, "hex_id").sortWithinPartitions("hex_id")
     assembled = VectorAssembler(inputCols=TIER_FEATURES, outputCol="raw").transform(laid)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    scaled = scaler.fit(assembled).transform(assembled).select("hex_id", "features")
-    ensure_checkpoint_dir(hotspots.sparkSession)
-    scaled = scaled.checkpoint(eager=True)
-    best = None
-    for i in range(n_init):
+    # Cached, not checkpointed: the layout is deterministic (hash by hex_id,
+    # sorted), so recomputing a lost block gives the same vectors.
+    scaled = scaler.fit(assembled).transform(assembled).select("hex_id", "features").persist()
+
+    def fit(i: int):
         model = KMeans(k=k_eff, seed=seed + i, maxIter=max_iter, tol=tol,
                        featuresCol="features", predictionCol="cluster").fit(scaled)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    pred = best[1].transform(scaled).select("hex_id", F.col("cluster").cast("int"))
+        return model.summary.trainingCost, i, model
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, n_init))) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    best = min(fits, key=lambda f: (f[0], f[1]))
+    pred = best[2].transform(scaled).select("hex_id", F.col("cluster").cast("int"))
     return apply_labels(hotspots.join(pred, "hex_id"))
 
 

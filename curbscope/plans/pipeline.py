@@ -85,7 +85,6 @@ def build_hotspot_table(records: DataFrame, resolution: int = 9, k_tiers: int =
     busy = busy_hours(rollup, coverage)
     scored = scored_cells(rollup, coverage, min_weeks, busy)
     if tiering == "kmeans":
-        scored = scored.checkpoint(eager=True)
         tiered = tier_hotspots(scored, k=k_tiers, seed=seed, n_init=n_init)
     elif tiering == "threshold":
         tiered = threshold_tiers(scored)

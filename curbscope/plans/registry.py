@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from curbscope.operators import busy as B
 from curbscope.operators import features as FT
 from curbscope.operators.clean import add_hex_id, clean_violations
-from curbscope.operators.rollup import cell_rollup
+from curbscope.plans.pipeline import materialise_rollup
 from curbscope.sources.events import violations_raw
 
 RESOLUTION = 9
@@ -39,7 +39,9 @@ def records(spark: SparkSession, sf_dir: str, resolution: int = RESOLUTION) -> D
 
 
 def rollup(spark: SparkSession, sf_dir: str, resolution: int = RESOLUTION) -> DataFrame:
-    return cell_rollup(records(spark, sf_dir, resolution))
+    """The cell rollup, materialised once (records are scanned one time even
+    when a query reads the rollup in several sub-plans)."""
+    return materialise_rollup(records(spark, sf_dir, resolution))
 
 
 # ---------------------------------------------------------------------------
