@@ -92,12 +92,12 @@ def with_tags(df: DataFrame, src: str = "violation_type", out: str = "tags",
     parse is neither re-run inside the filter nor moved before the shuffle
     that spreads the rows.
     """
-    staged = df.withColumn("_tag_text", strip_ws(F.col(src)))
-    staged = staged.withColumn("_tag_list", parse_list(F.col("_tag_text")))
+    keep = df.columns
+    staged = df.select("*", strip_ws(F.col(src)).alias("_tag_text"))
+    staged = staged.select("*", parse_list(F.col("_tag_text")).alias("_tag_list"))
     fields = [tags_from_parts(F.col("_tag_text"), F.col("_tag_list")).alias(out)]
     fields += [c.alias(name) for name, c in (extra or {}).items()]
-    return (staged.select("*", F.inline(F.array(F.struct(*fields))))
-            .drop("_tag_text", "_tag_list"))
+    return staged.select(*keep, F.inline(F.array(F.struct(*fields))))
 
 
 def severity_map() -> Column:

@@ -21,21 +21,27 @@ CLEAN_EXTRA = ["tags", "severity", "created_ist", "hour", "weekday", "date", "at
 
 
 def clean_violations(raw: DataFrame) -> DataFrame:
-    df = raw.dropna(subset=["latitude", "longitude", "created_datetime"])
-    df = with_tags(df, "violation_type", "tags",
+    """Few, wide projections (each DataFrame step is analysed eagerly on the
+    driver, so a long ``withColumn`` chain over large expressions costs
+    planning time on every query)."""
+    df = with_tags(raw, "violation_type", "tags",
                    extra={"created_ist": ist_timestamp(F.col("created_datetime"))})
-    df = df.withColumn("severity", record_severity(F.col("tags")))
-    df = df.filter((F.col("severity") > 0) & F.col("created_ist").isNotNull())
-    df = df.withColumns({
-        "hour": F.hour("created_ist"),
-        "weekday": F.weekday("created_ist"),
-        "date": F.to_date("created_ist"),
-        "junction_name": F.coalesce(F.col("junction_name"), F.lit(NO_JUNCTION)),
-        "police_station": F.coalesce(F.col("police_station"), F.lit(UNKNOWN)),
-        "vehicle_type": F.coalesce(F.col("vehicle_type"), F.lit(UNKNOWN)),
-    })
-    return df.withColumn(
-        "at_junction", F.lower(strip_ws(F.col("junction_name"))) != F.lit("no junction"))
+    junction = F.coalesce(F.col("junction_name"), F.lit(NO_JUNCTION))
+    df = df.select(
+        "id", "latitude", "longitude", "location",
+        F.coalesce(F.col("vehicle_type"), F.lit(UNKNOWN)).alias("vehicle_type"),
+        "violation_type", "offence_code", "created_datetime",
+        F.coalesce(F.col("police_station"), F.lit(UNKNOWN)).alias("police_station"),
+        junction.alias("junction_name"),
+        "tags", record_severity(F.col("tags")).alias("severity"), "created_ist",
+        F.hour("created_ist").alias("hour"), F.weekday("created_ist").alias("weekday"),
+        F.to_date("created_ist").alias("date"),
+        (F.lower(strip_ws(junction)) != F.lit("no junction")).alias("at_junction"),
+    )
+    return df.filter(
+        F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+        & F.col("created_datetime").isNotNull()
+        & (F.col("severity") > 0) & F.col("created_ist").isNotNull())
 
 
 def add_hex_id(df: DataFrame, resolution: int = 9,
