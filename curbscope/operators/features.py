@@ -21,12 +21,15 @@ def _when_kind(name: str, c: Column) -> Column:
 
 
 def _mode(name: str) -> Column:
-    """Most frequent value of one kind; ties -> smallest value.
+    """Most frequent non-NULL value of one kind; ties -> smallest value;
+    no value -> "Unknown".
 
     ``min(struct(-n, value))`` is an ordinary partial-aggregable aggregate
     over the (hex, value) counts already in the rollup.
     """
-    best = F.min(_when_kind(name, F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v"))))
+    cand = F.when((F.col("kind") == name) & F.col("value").isNotNull(),
+                  F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v")))
+    best = F.min(cand)
     return F.coalesce(best.getField("v"), F.lit(UNKNOWN))
 
 

@@ -25,7 +25,6 @@ from curbscope import schema as S
 from curbscope.functions.numeric import rint_round
 
 
-
 def _order():
     return [F.col("congestion_impact_score").desc(), F.col("hex_id").asc()]
 
@@ -34,6 +33,7 @@ def _cost():
     return F.when(F.col("tier") == "Critical", F.lit(S.PATROL_COST_CRITICAL)) \
         .otherwise(F.lit(S.PATROL_COST_OTHER))
 
+
 _COLUMNS = ["hex_id", "dominant_station", "tier", "congestion_impact_score",
             "capacity_loss_pct", "daily_delay_cost_inr"]
 
@@ -51,7 +51,9 @@ def _select(cands: DataFrame, budget: int, partition: list[str]) -> DataFrame:
     over = F.col("_cum") > budget
     c = c.withColumns({
         "_j": F.min(F.when(over, F.col("_pos"))).over(whole),
-        "_left": F.min(F.when(over, F.lit(budget) - (F.col("_cum") - F.col("_cost")))).over(whole),
+        # hours left when the first overflowing cell is reached (later
+        # overflowing rows have larger prefixes, so this is the maximum)
+        "_left": F.max(F.when(over, F.lit(budget) - (F.col("_cum") - F.col("_cost")))).over(whole),
     })
     extra_pos = F.min(F.when((F.col("_pos") > F.col("_j")) & (F.col("_cost") == 1)
                              & (F.col("_left") == 1), F.col("_pos"))).over(whole)

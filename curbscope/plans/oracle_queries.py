@@ -206,7 +206,7 @@ def _patrol_sql(budget: int, partition: str | None) -> list[tuple[str, str]]:
         ("pc2", f"""SELECT *, sum(cost) OVER ({part}{_by_cis}
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM pc"""),
         ("pc3", f"""SELECT *, min(CASE WHEN cum > {budget} THEN pos END) OVER ({part.strip()}) AS j,
-  min(CASE WHEN cum > {budget} THEN {budget} - (cum - cost) END) OVER ({part.strip()}) AS left_over
+  max(CASE WHEN cum > {budget} THEN {budget} - (cum - cost) END) OVER ({part.strip()}) AS left_over
 FROM pc2"""),
         ("pc4", f"""SELECT *, min(CASE WHEN pos > j AND cost = 1 AND left_over = 1 THEN pos END)
   OVER ({part.strip()}) AS extra FROM pc3"""),
