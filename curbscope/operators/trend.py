@@ -48,17 +48,20 @@ def growth_trend(weekly: DataFrame, min_weeks: int = 3) -> DataFrame:
 
 
 def forecast_all(weekly: DataFrame, weeks_ahead: int = 2, label: str = "week_start",
-                 min_weeks: int = 3) -> DataFrame:
+                 min_weeks: int = 3, hex_ids: list[str] | None = None) -> DataFrame:
     """Next ``weeks_ahead`` weekly counts for every cell.
 
     Cells with >= ``min_weeks`` weeks extend the OLS line (clipped at 0);
-    others repeat their mean. ``label='week_start'`` dates forecasts on the
+    others repeat their mean; ``hex_ids`` restricts the output to some
+    cells (the drill-down form). ``label='week_start'`` dates forecasts on the
     following Mondays (same axis as history); ``label='reference'`` on the
     Sundays 13 and 20 days after the last history Monday.
     Output: hex_id, step, week, forecast_count.
     """
     if label not in ("week_start", "reference"):
         raise ValueError("label must be 'week_start' or 'reference'")
+    if hex_ids is not None:
+        weekly = weekly.filter(F.col("hex_id").isin(list(hex_ids)))
     s = ols_sums(weekly)
     b1 = _slope()
     n = F.col("n").cast("double")

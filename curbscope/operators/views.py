@@ -178,12 +178,16 @@ def tag_mix(rollup: DataFrame) -> DataFrame:
             .orderBy(F.col("count").desc(), F.col("tag")))
 
 
-def hourly_density(rollup: DataFrame) -> DataFrame:
+def hourly_density(rollup: DataFrame, hour: int | None = None) -> DataFrame:
     """Per (hour, cell): count, mean position, ``norm = count / max count of
     that hour``, colour ``[255, int(255 * (1 - 0.8 norm)), 0, 180]`` and
-    radius ``int(250 norm + 40)``, for all 24 hours at once. The per-hour
-    maximum is a 24-row aggregate joined back by broadcast."""
-    per = (kind(rollup, "slot").groupBy("hour", "hex_id")
+    radius ``int(250 norm + 40)``, for all 24 hours at once (or one
+    ``hour``). The per-hour maximum is a <=24-row aggregate joined back by
+    broadcast."""
+    slots = kind(rollup, "slot")
+    if hour is not None:
+        slots = slots.filter(F.col("hour") == int(hour))
+    per = (slots.groupBy("hour", "hex_id")
            .agg(F.sum("n").alias("count"), F.sum("lat_e7").alias("_lat"),
                 F.sum("lon_e7").alias("_lon")))
     peak = per.groupBy("hour").agg(F.max("count").alias("_max"))

@@ -132,15 +132,17 @@ def q_temporal_features(spark, sf_dir):
 
 @register("hex_bin_res")
 def q_hex_bin_res(spark, sf_dir):
+    """Cells at resolutions 7, 8 and 10 from one scan: each record carries
+    its three cell ids, exploded into (resolution, hex_id) before one
+    partial-aggregated count."""
+    from curbscope.functions.grid import hex_cell_id
+
     clean = clean_violations(violations_raw(spark, sf_dir))
-    parts = []
-    for res in (7, 8, 10):
-        parts.append(add_hex_id(clean, res).groupBy("hex_id")
-                     .agg(F.count(F.lit(1)).alias("n")).withColumn("resolution", F.lit(res)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    lat, lon = F.col("latitude"), F.col("longitude")
+    cells = F.array(*[F.struct(F.lit(r).alias("resolution"), hex_cell_id(lat, lon, r).alias("hex_id"))
+                      for r in (7, 8, 10)])
+    return (clean.select(F.inline(cells)).groupBy("resolution", "hex_id")
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 # ---------------------------------------------------------------------------
