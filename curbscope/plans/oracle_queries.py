@@ -262,3 +262,5 @@ _checked = """hex_id, violation_count, severity_weighted_count, avg_severity, ju
   daily_delay_cost_inr, annual_delay_cost_inr"""
 SQL["hotspot_table"] = _on_hot(f"SELECT {_checked} FROM hot")
 SQL["hotspot_export"] = _on_hot(f"SELECT {_checked}, cluster, tier FROM hot")
+
+SQL["stream_hex_counts"] = SQL["hex_bin"]

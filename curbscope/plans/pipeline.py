@@ -6,8 +6,8 @@ so a lost executor never sends the job back to the raw scan):
 
 * the cell rollup, hash-partitioned by ``hex_id`` -- every per-cell
   aggregate downstream reuses that partitioning without a shuffle;
-* the scored cell table, which KMeans and the rank helpers read several
-  times.
+* the feature table, which the rank helpers and KMeans read several
+  times (KMeans caches its standardised input on top of it).
 
 Both are bounded by the number of cells, not by the number of records.
 """
@@ -81,7 +81,15 @@ def build_hotspot_table(records: DataFrame, resolution: int = 9, k_tiers: int =
     ``'threshold'`` uses the deterministic CIS bands of ``threshold_tiers``.
     """
     hx = records if hexed else add_hex_id(records, resolution)
-    rollup = materialise_rollup(hx)
+    return build_from_rollup(materialise_rollup(hx), k_tiers, coverage, min_weeks,
+                             tiering, seed, n_init)
+
+
+def build_from_rollup(rollup: DataFrame, k_tiers: int = 4, coverage: float = 0.5,
+                      min_weeks: int = 3, tiering: str = "kmeans", seed: int = 42,
+                      n_init: int = 10) -> HotspotBuild:
+    """Build the cell table from an existing (e.g. incrementally ingested)
+    cell rollup; nothing here touches records."""
     busy = busy_hours(rollup, coverage)
     scored = scored_cells(rollup, coverage, min_weeks, busy)
     if tiering == "kmeans":

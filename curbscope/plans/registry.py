@@ -380,3 +380,20 @@ def q_hotspot_export(spark, sf_dir):
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/export-{uuid.uuid4().hex}"
     export_hotspots_csv(h, path)
     return read_hotspots_csv(spark, path, h)
+
+
+@register("stream_hex_counts")
+def q_stream_hex_counts(spark, sf_dir):
+    """Records per cell from the incremental path: ``events`` read as a file
+    stream, one partial rollup per micro-batch, partial rollups summed."""
+    import uuid
+
+    from curbscope.operators.rollup import kind
+    from curbscope.session import ensure_checkpoint_dir
+    from curbscope.streaming.ingest import combined_rollup, event_stream, start_rollup_stream
+
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    q = start_rollup_stream(event_stream(spark, sf_dir), base + "/rollup", base + "/state")
+    q.awaitTermination()
+    return (kind(combined_rollup(spark, base + "/rollup"), "day").groupBy("hex_id")
+            .agg(F.sum("n").alias("n")))
