@@ -36,6 +36,7 @@ def get_spark(master: str | None = None, app: str = "curbscope",
         .config("spark.sql.shuffle.partitions",
                 str(shuffle_partitions or (8 if cpus == "*" else max(int(cpus), 1))))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("CURBSCOPE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
