@@ -34,3 +34,43 @@ def test_scores_in_range(spark):
              .withColumnRenamed("avg(congestion_impact_score)", "m").collect()}
     order = [t for t in ["Critical", "High", "Medium", "Low"] if t in tiers]
     assert [tiers[t] for t in order] == sorted(tiers.values(), reverse=True)
+
+
+def test_kmeans_tiers_do_not_depend_on_shuffle_partitions(spark):
+    def tiers():
+        h = R.build(spark, SF001, tiering="kmeans").hotspots
+        return sorted((r.hex_id, r.tier) for r in h.select("hex_id", "tier").collect())
+
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        a = tiers()
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        b = tiers()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    assert a == b
+
+
+def test_rollup_is_bounded_under_skew_and_multiplication(spark):
+    """Multiply the records 6x and pile a third of them onto one point: the
+    rollup keeps one row per (cell, key), so its size does not grow with the
+    record count, and every count scales exactly."""
+    from pyspark.sql import functions as F
+
+    from curbscope.operators.rollup import cell_rollup
+
+    recs = R.records(spark, SF001)
+    hot = recs.filter(F.abs(F.hash("id")) % 3 == 0).withColumn("hex_id", F.lit("9:0:0"))
+    skewed = recs.filter(F.abs(F.hash("id")) % 3 != 0).unionByName(hot)
+    base = cell_rollup(skewed)
+    multiplied = skewed
+    for _ in range(5):
+        multiplied = multiplied.unionByName(skewed)
+    big = cell_rollup(multiplied)
+    assert big.count() == base.count()
+    keys = ["hex_id", "kind", "date", "weekday", "hour", "value"]
+    joined = big.alias("b").join(base.alias("a"), keys, "full")
+    assert joined.filter(F.col("b.n") != F.col("a.n") * 6).count() == 0
+    hot_rows = base.filter(F.col("hex_id") == "9:0:0").count()
+    assert hot_rows < 500
