@@ -51,10 +51,10 @@ def layout_for(n_cells: int, cells_per_partition: int = 50_000) -> int:
 
 def tier_hotspots(hotspots: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10,
                   layout_partitions: int | None = None, max_iter: int = 300,
-                  tol: float = 1e-4, parallel_fits: int = 8) -> DataFrame:
+                  tol: float = 1e-4, parallel_fits: int | None = None) -> DataFrame:
     """``n_init`` restarts run as concurrent Spark jobs (``parallel_fits``
-    threads); the lowest cost wins, ties to the lowest seed, so the result
-    does not depend on thread timing."""
+    threads, default all restarts up to 16); the lowest cost wins, ties to
+    the lowest seed, so the result does not depend on thread timing."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.clustering import KMeans
@@ -82,7 +82,8 @@ def tier_hotspots(hotspots: DataFrame, k: int = 4, seed: int = 42, n_init: int =
                        featuresCol="features", predictionCol="cluster").fit(scaled)
         return model.summary.trainingCost, i, model
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, n_init))) as pool:
+    workers = parallel_fits or min(n_init, 16)
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, n_init))) as pool:
         fits = list(pool.map(fit, range(n_init)))
     best = min(fits, key=lambda f: (f[0], f[1]))
     pred = best[2].transform(scaled).select("hex_id", F.col("cluster").cast("int"))
