@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbscope.schema import TIER_FEATURES, TIER_ORDER
+from curbscope.session import ensure_checkpoint_dir
 
 
 def label_clusters(df: DataFrame, cluster_col: str = "cluster",
@@ -86,7 +87,11 @@ def tier_hotspots(hotspots: DataFrame, k: int = 4, seed: int = 42, n_init: int =
     with ThreadPoolExecutor(max_workers=max(1, min(workers, n_init))) as pool:
         fits = list(pool.map(fit, range(n_init)))
     best = min(fits, key=lambda f: (f[0], f[1]))
-    pred = best[2].transform(scaled).select("hex_id", F.col("cluster").cast("int"))
+    # Materialise the (hex_id, cluster) assignment, then release the cache.
+    ensure_checkpoint_dir(hotspots.sparkSession)
+    pred = best[2].transform(scaled).select("hex_id", F.col("cluster").cast("int")) \
+        .checkpoint(eager=True)
+    scaled.unpersist()
     return apply_labels(hotspots.join(pred, "hex_id"))
 
 

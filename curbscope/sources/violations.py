@@ -48,13 +48,15 @@ def _project(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_violations_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_violations_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Read a header CSV holding (at least) the 10 raw columns.
 
     The header is read first (one small job over the first line) to bind
     columns by name; the data scan then uses a typed schema over every
     header column, so extra columns are pruned after the scan and no type
-    inference pass is made.
+    inference pass is made. ``multi_line=True`` is only needed when quoted
+    fields contain line breaks; it stops Spark from splitting a large file
+    across tasks, so it is off by default.
     """
     from pyspark.sql import types as T
 
@@ -65,7 +67,7 @@ def read_violations_csv(spark: SparkSession, path: str) -> DataFrame:
     df = (spark.read.schema(schema)
           .option("header", True)
           .option("mode", "PERMISSIVE")
-          .option("multiLine", True)
+          .option("multiLine", bool(multi_line))
           .option("escape", '"')
           .csv(path))
     return _project(spread_input(df))

@@ -20,7 +20,7 @@ def violation_stream(spark: SparkSession, source: str, fmt: str = "csv",
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("escape", '"')
     return _project(reader.format(fmt).load(source))
 
 
