@@ -97,7 +97,7 @@ FROM hour_cum WHERE CAST(cum - n AS DOUBLE) / CAST(total AS DOUBLE) < {d(coverag
 
 
 def span_ctes() -> list[tuple[str, str]]:
-    return [("span", """SELECT greatest(date_diff('day', min(date), max(date)), 1) AS n_days,
+    return [("span", """SELECT CAST(greatest(date_diff('day', min(date), max(date)), 1) AS INTEGER) AS n_days,
   min(date) AS first_date, max(date) AS last_date FROM hexed""")]
 
 
