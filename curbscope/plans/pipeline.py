@@ -4,8 +4,8 @@
 Materialisation points (reliable checkpoints in ``spark.checkpoint.dir``,
 so a lost executor never sends the job back to the raw scan):
 
-* the cell rollup, hash-partitioned by ``hex_id`` -- every per-cell
-  aggregate downstream reuses that partitioning without a shuffle;
+* the cell rollup -- every later shuffle moves rollup rows (bounded by
+  cells x keys), never records;
 * the feature table, which the rank helpers and KMeans read several
   times (KMeans caches its standardised input on top of it).
 
@@ -49,7 +49,7 @@ class HotspotBuild:
 
 def materialise_rollup(hexed: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(hexed.sparkSession)
-    return cell_rollup(hexed).repartition("hex_id").checkpoint(eager=True)
+    return cell_rollup(hexed).checkpoint(eager=True)
 
 
 def scored_cells(rollup: DataFrame, coverage: float = 0.5, min_weeks: int = 3,
