@@ -12,11 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curbscope.functions.numeric import rint_round
+from curbscope.functions.tags import parse_tags, record_severity
 from curbscope.operators import busy as B
 from curbscope.operators import features as FT
+from curbscope.operators import patrol as P
+from curbscope.operators import score as SC
+from curbscope.operators import trend as TR
+from curbscope.operators import views as V
 from curbscope.operators.clean import add_hex_id, clean_violations
-from curbscope.plans.pipeline import materialise_rollup
+from curbscope.operators.tier import label_clusters
+from curbscope.plans.pipeline import HOTSPOT_COLUMNS, build_hotspot_table, materialise_rollup
 from curbscope.sources.events import violations_raw
+from curbscope.sources.violations import limit_rows
 
 RESOLUTION = 9
 
@@ -81,17 +89,6 @@ def q_hotspot_features(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # more scans and scalar functions
 # ---------------------------------------------------------------------------
-from curbscope.functions.tags import parse_tags, record_severity  # noqa: E402
-from curbscope.functions.numeric import rint_round  # noqa: E402
-from curbscope.operators import score as SC  # noqa: E402
-from curbscope.operators import trend as TR  # noqa: E402
-from curbscope.operators import views as V  # noqa: E402
-from curbscope.operators import patrol as P  # noqa: E402
-from curbscope.operators.impact import delay_cost, flow_impact  # noqa: E402
-from curbscope.operators.tier import label_clusters, threshold_tiers  # noqa: E402
-from curbscope.plans.pipeline import build_hotspot_table, HOTSPOT_COLUMNS  # noqa: E402
-from curbscope.sources.violations import limit_rows  # noqa: E402
-
 SCAN_LIMIT_ROWS = 1000
 PATROL_OFFICERS, PATROL_HOURS = 5, 8
 WHATIF_WEIGHTS = (10, 40, 30, 20)
