@@ -53,19 +53,55 @@ def list_body(s: Column) -> Column:
     return F.when(is_list | is_tuple, F.concat(F.lit("["), items, F.lit("]")))
 
 
-def parse_list(s: Column) -> Column:
+# The common shape, a double-quoted list such as ["WRONG PARKING","NO PARKING"],
+# is split with compiled string functions; every other shape takes the
+# general JSON path. The fast path only accepts text whose split is
+# provably the same array:
+# * it starts with '["' and ends with '"]' and holds no backslash;
+# * it holds exactly two quotes per item, so items contain no quote and
+#   the separators are exactly '","';
+# * no quote touches whitespace, so no item needs stripping (whitespace is
+#   first mapped to a marker character with ``translate``).
+_MARK = "\x01"
+
+
+def fast_list(s: Column) -> Column:
+    """Items of the common list shape via ``split`` (codegen), else NULL."""
+    inner = s.substr(F.lit(3), F.length(s) - 4)
+    items = F.split(inner, '","')
+    quotes = F.length(s) - F.length(F.replace(s, F.lit('"'), F.lit("")))
+    marked = F.translate(s, WHITESPACE, _MARK * len(WHITESPACE))
+    ok = (s.startswith('["') & s.endswith('"]') & (F.length(s) >= 4) & ~s.contains("\\")
+          & (quotes == F.size(items) * 2)
+          & ~marked.contains('"' + _MARK) & ~marked.contains(_MARK + '"'))
+    return F.when(ok, items).when(s == "[]", F.array().cast("array<string>"))
+
+
+def parse_json_list(s: Column) -> Column:
     return F.from_json(list_body(s), "array<string>", {"allowUnquotedControlChars": "true"})
 
 
-def tags_from_parts(s: Column, parsed: Column) -> Column:
-    """Final tag array from stripped text ``s`` and its ``parse_list``."""
-    list_ok = parsed.isNotNull() & ~F.exists(parsed, lambda x: x.isNull())
+def clean_list(parsed: Column) -> Column:
+    """Whitespace-stripped elements, or NULL when an element is NULL."""
+    return F.when(F.exists(parsed, lambda x: x.isNull()), F.lit(None).cast("array<string>")) \
+        .otherwise(F.transform(parsed, strip_ws))
+
+
+def parse_list(s: Column) -> Column:
+    """Elements of a list/tuple form of stripped text ``s``, each stripped;
+    NULL when ``s`` is not a well-formed list of non-null items."""
+    return F.coalesce(fast_list(s), clean_list(parse_json_list(s)))
+
+
+def tags_from_parts(s: Column, stripped_list: Column) -> Column:
+    """Final tag array from stripped text ``s`` and its ``parse_list``.
+    Uses no lambda functions, so it compiles with whole-stage codegen."""
     quoted = (F.length(s) >= 2) & (
         (s.startswith('"') & s.endswith('"') & ~_inner(s).contains('"'))
         | (s.startswith("'") & s.endswith("'") & ~_inner(s).contains("'")))
     return (
         F.when(s.isNull() | (s == ""), F.array().cast("array<string>"))
-        .when(list_ok, F.transform(parsed, strip_ws))
+        .when(stripped_list.isNotNull(), stripped_list)
         .when(quoted, F.array(strip_ws(_inner(s))))
         .otherwise(F.array(s))
     )
@@ -93,15 +129,24 @@ def with_tags(df: DataFrame, src: str = "violation_type", out: str = "tags",
     that spreads the rows.
     """
     keep = df.columns
-    staged = df.select("*", strip_ws(F.col(src)).alias("_tag_text"))
-    staged = staged.select("*", parse_list(F.col("_tag_text")).alias("_tag_list"))
+    text = strip_ws(F.col(src))
+    staged = df.select("*", text.alias("_tag_text"))
+    staged = staged.select("*", fast_list(F.col("_tag_text")).alias("_tag_fast"))
+    # ``from_json`` and the lambda functions have no generated code in
+    # Spark; they are confined to this one projection and skipped (CASE
+    # short-circuits) for rows the compiled fast path already split.
+    general = clean_list(parse_json_list(F.col("_tag_text")))
+    staged = staged.select(*keep, "_tag_text", F.when(F.col("_tag_fast").isNotNull(),
+                                                      F.col("_tag_fast"))
+                           .otherwise(general).alias("_tag_list"))
     fields = [tags_from_parts(F.col("_tag_text"), F.col("_tag_list")).alias(out)]
     fields += [c.alias(name) for name, c in (extra or {}).items()]
     return staged.select(*keep, F.inline(F.array(F.struct(*fields))))
 
 
 def severity_map() -> Column:
-    """Literal ``map<string,double>`` of the parking tag weights."""
+    """Literal ``map<string,double>`` of the parking tag weights (for
+    lookups of single tags)."""
     kv = []
     for tag, w in PARKING_SEVERITY_WEIGHTS.items():
         kv += [F.lit(tag), F.lit(float(w))]
@@ -109,9 +154,17 @@ def severity_map() -> Column:
 
 
 def record_severity(tags: Column) -> Column:
-    """Worst (max) weight among known parking tags, else 0.0."""
-    weights = severity_map()
-    return F.coalesce(
-        F.array_max(F.transform(tags, lambda t: F.try_element_at(weights, t))),
-        F.lit(0.0),
-    )
+    """Worst (max) weight among known parking tags, else 0.0.
+
+    Tested weight group by weight group, highest first, with
+    ``arrays_overlap`` (no lambda, so it compiles with whole-stage codegen).
+    """
+    groups: dict[float, list[str]] = {}
+    for tag, w in PARKING_SEVERITY_WEIGHTS.items():
+        groups.setdefault(float(w), []).append(tag)
+    expr = None
+    for w in sorted(groups, reverse=True):
+        hit = F.coalesce(F.arrays_overlap(tags, F.array(*[F.lit(t) for t in groups[w]])),
+                         F.lit(False))
+        expr = F.when(hit, F.lit(w)) if expr is None else expr.when(hit, F.lit(w))
+    return expr.otherwise(F.lit(0.0))

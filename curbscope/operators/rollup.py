@@ -49,6 +49,21 @@ def e7(c: Column) -> Column:
     return F.floor(c * F.lit(1e7) + F.lit(0.5))
 
 
+KEY_TYPE = ("array<struct<kind:string,date:date,weekday:int,hour:int,value:string>>")
+
+
+def _tag_keys(tags: Column) -> Column:
+    """One ``tag`` key per element, built with ``arrays_zip`` (no lambda, so
+    the explode stays in whole-stage codegen)."""
+    tags = F.coalesce(tags, F.array().cast("array<string>"))
+    n = F.size(tags)
+    return F.arrays_zip(
+        F.array_repeat(F.lit("tag"), n), F.array_repeat(F.lit(None).cast("date"), n),
+        F.array_repeat(F.lit(None).cast("int"), n), F.array_repeat(F.lit(None).cast("int"), n),
+        tags,
+    ).cast(KEY_TYPE)
+
+
 def cell_rollup(hexed: DataFrame) -> DataFrame:
     keys = F.concat(
         F.array(
@@ -56,8 +71,8 @@ def cell_rollup(hexed: DataFrame) -> DataFrame:
             _key("slot", weekday=F.col("weekday"), hour=F.col("hour")),
             _key("station", value=F.col("police_station")),
             _key("vehicle", value=F.col("vehicle_type")),
-        ),
-        F.transform("tags", lambda t: _key("tag", value=t)),
+        ).cast(KEY_TYPE),
+        _tag_keys(F.col("tags")),
     )
     exploded = hexed.select(
         "hex_id", F.explode(keys).alias("k"), "severity",

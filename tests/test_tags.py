@@ -32,6 +32,14 @@ TAG_FORMS = [
     ('["X"] junk', ['["X"] junk']),
     ('["A"]["B"]', ['["A"]["B"]']),
     ('"A"B"', ['"A"B"']),
+    ('["A" , "B"]', ["A", "B"]),
+    ('[ "A","B" ]', ["A", "B"]),
+    ('["A,B","C"]', ["A,B", "C"]),
+    ('["A\u00a0","\u2003B"]', ["A", "B"]),
+    ('["A\u00a0B"]', ["A\u00a0B"]),
+    ('["", "A"]', ["", "A"]),
+    ('["A"', ['["A"']),
+    ('["A"],', ['["A"],']),
 ]
 
 
