@@ -34,14 +34,19 @@ from pyspark.sql import functions as F
 
 KEY_COLUMNS = ["hex_id", "kind", "date", "weekday", "hour", "value"]
 MEASURES = ["n", "sev_sum", "jct_n", "lat_e7", "lon_e7"]
+KEY_TYPE = "array<struct<kind:string,date:date,weekday:int,hour:int,value:string>>"
+
+
+def _or_null(c: Column | None, type_name: str) -> Column:
+    return F.lit(None).cast(type_name) if c is None else c
+
 
 def _key(kind: str, date: Column | None = None, weekday: Column | None = None,
          hour: Column | None = None, value: Column | None = None) -> Column:
-    def orNull(c: Column | None, t: str) -> Column:
-        return F.lit(None).cast(t) if c is None else c
-    return F.struct(F.lit(kind).alias("kind"), orNull(date, "date").alias("date"),
-                    orNull(weekday, "int").alias("weekday"), orNull(hour, "int").alias("hour"),
-                    orNull(value, "string").alias("value"))
+    return F.struct(F.lit(kind).alias("kind"), _or_null(date, "date").alias("date"),
+                    _or_null(weekday, "int").alias("weekday"),
+                    _or_null(hour, "int").alias("hour"),
+                    _or_null(value, "string").alias("value"))
 
 
 def e7(c: Column) -> Column:
@@ -49,9 +54,6 @@ def e7(c: Column) -> Column:
     return F.floor(c * F.lit(1e7) + F.lit(0.5))
 
 
-KEY_TYPE = ("array<struct<kind:string,date:date,weekday:int,hour:int,value:string>>")
-
-
 def _tag_keys(tags: Column) -> Column:
     """One ``tag`` key per element, built with ``arrays_zip`` (no lambda, so
     the explode stays in whole-stage codegen)."""
