@@ -38,8 +38,17 @@ _COLUMNS = ["hex_id", "dominant_station", "tier", "congestion_impact_score",
             "capacity_loss_pct", "daily_delay_cost_inr"]
 
 
-def filter_pool(hotspots: DataFrame, stations: list[str] | None = None) -> DataFrame:
-    return hotspots.filter(F.col("dominant_station").isin(stations)) if stations else hotspots
+def filter_pool(hotspots: DataFrame, stations: list[str] | None = None,
+                tiers: list[str] | None = None) -> DataFrame:
+    """The patrol pool: with a station filter it is the filtered view (tier
+    filter included: ``None`` = all tiers, ``[]`` = none); without one it is
+    every cell, whatever the tier filter."""
+    if not stations:
+        return hotspots
+    pool = hotspots.filter(F.col("dominant_station").isin(list(stations)))
+    if tiers is not None:
+        pool = pool.filter(F.col("tier").isin(list(tiers))) if tiers else pool.limit(0)
+    return pool
 
 
 def _select(cands: DataFrame, budget: int, partition: list[str]) -> DataFrame:
@@ -71,9 +80,10 @@ def _select(cands: DataFrame, budget: int, partition: list[str]) -> DataFrame:
 
 
 def patrol_schedule(hotspots: DataFrame, n_officers: int = 5, shift_hours: int = 8,
-                    stations: list[str] | None = None) -> DataFrame:
+                    stations: list[str] | None = None,
+                    tiers: list[str] | None = None) -> DataFrame:
     budget = int(n_officers) * int(shift_hours)
-    pool = filter_pool(hotspots, stations).select(*_COLUMNS)
+    pool = filter_pool(hotspots, stations, tiers).select(*_COLUMNS)
     if budget <= 0:
         return _select(pool.limit(0), budget, [])
     top = pool.orderBy(*_order()).limit(budget)

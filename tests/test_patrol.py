@@ -76,3 +76,16 @@ def test_summary(spark):
     assert s.assigned == 2 and s.total_cis == 140.0 and s.daily_cost_prevented == 200
     assert s.random_cis == pytest.approx(50.0 * 3)
     assert s.pct_better == pytest.approx((140 - 150) / 150 * 100)
+
+
+def test_pool_follows_station_filter(spark):
+    cells = [cell("a", "Critical", 90, "PS-1"), cell("b", "Low", 80, "PS-1"),
+             cell("c", "High", 70, "PS-2"), cell("d", "Medium", 60, "PS-1")]
+    df = spark.createDataFrame(cells, SCHEMA)
+    # no station filter: every cell, the tier filter does not apply
+    allp = patrol_schedule(df, 1, 10, stations=None, tiers=["Low"]).collect()
+    assert sorted(r.hex_id for r in allp) == ["a", "b", "c", "d"]
+    # station filter: the filtered view, tier filter included
+    view = patrol_schedule(df, 1, 10, stations=["PS-1"], tiers=["Critical", "Medium"]).collect()
+    assert sorted(r.hex_id for r in view) == ["a", "d"]
+    assert patrol_schedule(df, 1, 10, stations=["PS-1"], tiers=[]).count() == 0
