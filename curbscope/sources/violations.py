@@ -28,12 +28,13 @@ def _check_columns(present: list[str], path: str) -> None:
 
 
 def spread_input(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that arrives in fewer splits than there are task
-    slots (e.g. one unsplittable file) so record-level work uses every core.
-    Large inputs already arrive in many splits and are left untouched, so
-    they never pay this shuffle."""
+    """Round-robin a scan that arrives in at most half as many splits as
+    there are task slots (e.g. one unsplittable file), so record-level work
+    uses every core. Inputs that already arrive in many splits are left
+    untouched and never pay this shuffle (a full shuffle of the input is
+    only worth it when it at least doubles the parallelism)."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+    if df.rdd.getNumPartitions() * 2 <= slots:
         return df.repartition(slots)
     return df
 
