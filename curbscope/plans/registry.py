@@ -22,7 +22,7 @@ from curbscope.operators import trend as TR
 from curbscope.operators import views as V
 from curbscope.operators.clean import add_hex_id, clean_violations
 from curbscope.operators.tier import label_clusters
-from curbscope.plans.pipeline import HOTSPOT_COLUMNS, build_hotspot_table, materialise_rollup
+from curbscope.plans.build import HOTSPOT_COLUMNS, build_hotspot_table, materialise_rollup
 from curbscope.sources.events import violations_raw
 from curbscope.sources.violations import limit_rows
 

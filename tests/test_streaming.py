@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curbscope.operators.clean import add_hex_id, clean_violations
 from curbscope.operators.rollup import KEY_COLUMNS, cell_rollup
-from curbscope.plans.pipeline import build_from_rollup
+from curbscope.plans.build import build_from_rollup
 from curbscope.sources.events import violations_raw
 from curbscope.sources.violations import read_violations_csv
 from curbscope.streaming.ingest import (combined_rollup, start_rollup_stream,

@@ -9,7 +9,7 @@ from curbscope import schema as S
 from curbscope.operators import views as V
 from curbscope.operators.clean import clean_violations
 from curbscope.plans import registry as R
-from curbscope.plans.pipeline import build_hotspot_table
+from curbscope.plans.build import build_hotspot_table
 from curbscope.sources.events import violations_raw
 from tests.conftest import SF001
 
