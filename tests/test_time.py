@@ -18,6 +18,9 @@ TIME_CASES = [
     ("2024-01-07 18:29:59+00", dt.datetime(2024, 1, 7, 23, 59, 59), 23, 6),
     ("2024-01-07 18:30:00+00", dt.datetime(2024, 1, 8, 0, 0), 0, 0),
     ("2024-03-10 07:15:00+00", dt.datetime(2024, 3, 10, 12, 45), 12, 6),
+    ("2024-01-01 10:00:00z", dt.datetime(2024, 1, 1, 15, 30), 15, 0),
+    ("2024-01-01 10:00:00+0530", dt.datetime(2024, 1, 1, 10, 0), 10, 0),
+    ("2024-01-01 10:00:00 UTC", dt.datetime(2024, 1, 1, 15, 30), 15, 0),
     ("not-a-date", None, None, None),
     (None, None, None, None),
 ]
