@@ -11,13 +11,15 @@
   ``null``, an unterminated list)     -> a one-element array of the stripped
   raw text
 
-Lists are read with ``from_json`` (single quotes allowed, tabs allowed inside
-quotes, a trailing comma before ``]`` tolerated). Only cheap string tests
-(``btrim``, ``startswith``, ``endswith``, ``contains``) run on every row; no
-regular expressions. Known residue, which falls back to the raw text or
-differs from a full Python-literal reader: backslash escapes beyond JSON's,
-nested lists, dicts, adjacent string literals, ``True``/``None``/``true``
-items and numbers written in non-canonical form.
+Two paths give the same array. The common shape (a double-quoted list
+whose items need no stripping) is split with compiled string functions
+(``startswith``, ``translate``, ``split``); every other list/tuple form is
+read with ``from_json`` (single quotes allowed, tabs allowed inside quotes,
+a trailing comma before ``]`` tolerated) and stripped item by item. No
+regular expression is matched per row. Known residue, which falls back to
+the raw text or differs from a full Python-literal reader: backslash escapes
+beyond JSON's, nested lists, dicts, adjacent string literals,
+``True``/``None``/``true`` items and numbers written in non-canonical form.
 """
 
 from __future__ import annotations
@@ -144,15 +146,6 @@ def with_tags(df: DataFrame, src: str = "violation_type", out: str = "tags",
     return staged.select(*keep, F.inline(F.array(F.struct(*fields))))
 
 
-def severity_map() -> Column:
-    """Literal ``map<string,double>`` of the parking tag weights (for
-    lookups of single tags)."""
-    kv = []
-    for tag, w in PARKING_SEVERITY_WEIGHTS.items():
-        kv += [F.lit(tag), F.lit(float(w))]
-    return F.create_map(*kv)
-
-
 def record_severity(tags: Column) -> Column:
     """Worst (max) weight among known parking tags, else 0.0.
 
