@@ -84,3 +84,16 @@ def test_export_roundtrip(spark):
     back = read_hotspots_csv(spark, d, df)
     assert back.columns == ["hex_id", "violation_count", "cis"]
     assert back.collect()[0].asDict() == {"hex_id": "9:0:0", "violation_count": 3, "cis": 1.5}
+
+
+def test_cached_build_reuses_tables(spark, csv_path):
+    from curbscope.plans import cache
+
+    a = cache.cached_build(spark, csv_path, resolution=9, k_tiers=2)
+    b = cache.cached_build(spark, csv_path, resolution=9, k_tiers=2)
+    c = cache.cached_build(spark, csv_path, resolution=8, k_tiers=2)
+    assert a is b and a is not c
+    assert a.hotspots.count() >= 1
+    cache.clear()
+    assert cache.cached_build(spark, csv_path, resolution=9, k_tiers=2) is not a
+    cache.clear()
