@@ -77,3 +77,34 @@ def test_record_severity(spark):
     got = {r.i: r.s for r in df.select("i", record_severity(F.col("tags")).alias("s")).collect()}
     for i, (_, expected) in enumerate(SEVERITY_CASES):
         assert got[i] == expected
+
+
+def test_fast_path_equals_general_path(spark):
+    """The compiled fast path must give exactly the general JSON path's
+    array on every string it accepts (random list-like strings)."""
+    import random
+
+    from curbscope.functions.tags import clean_list, fast_list, parse_json_list, strip_ws
+
+    rnd = random.Random(7)
+    atoms = ['"', "'", ",", " ", "\t", " ", " ", "\\", "A", "B", "PARKING", "1", "[", "]"]
+
+    def item():
+        return '"' + "".join(rnd.choice(atoms[3:13]) for _ in range(rnd.randint(0, 4))) + '"'
+
+    rows = []
+    for i in range(3000):
+        if rnd.random() < 0.6:
+            sep = rnd.choice([",", ", ", " ,", ","])
+            s = "[" + sep.join(item() for _ in range(rnd.randint(1, 4))) + "]"
+        else:
+            s = "".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 12)))
+        rows.append((i, s))
+    df = spark.createDataFrame(rows, "i int, raw string").select(
+        "i", strip_ws(F.col("raw")).alias("s"))
+    out = df.select("i", "s", fast_list(F.col("s")).alias("fast"),
+                    clean_list(parse_json_list(F.col("s"))).alias("general")).collect()
+    accepted = [r for r in out if r.fast is not None]
+    assert len(accepted) > 150
+    bad = [(r.s, r.fast, r.general) for r in accepted if r.fast != r.general]
+    assert not bad, bad[:5]
