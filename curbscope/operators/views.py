@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from curbscope import schema as S
 from curbscope.functions.numeric import clip, rint_round
 from curbscope.functions.text import recommended_action
+from curbscope.operators.ranks import ordinal_rank
 from curbscope.operators.rollup import from_e7, kind
 from curbscope.operators.score import cis_order
 
@@ -228,14 +229,16 @@ def tag_breakdown_sorted(rollup: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def filter_options(hotspots: DataFrame) -> DataFrame:
     """(option, value, position): distinct tiers (CIS order of first
-    appearance), sorted distinct stations, tag weights by weight desc."""
+    appearance; at most four rows), sorted distinct stations (distributed
+    rank), tag weights by weight desc."""
     first = hotspots.groupBy("tier").agg(F.max("congestion_impact_score").alias("_top"))
     tiers = first.select(F.lit("tier").alias("option"), F.col("tier").alias("value"),
                          F.row_number().over(Window.orderBy(F.col("_top").desc(), "tier"))
                          .alias("position"))
-    stations = hotspots.select("dominant_station").distinct().select(
+    stations = ordinal_rank(hotspots.select("dominant_station").distinct(),
+                            [F.col("dominant_station")], "position").select(
         F.lit("station").alias("option"), F.col("dominant_station").alias("value"),
-        F.row_number().over(Window.orderBy("dominant_station")).alias("position"))
+        F.col("position").cast("int").alias("position"))
     ranked = sorted(S.PARKING_SEVERITY_WEIGHTS.items(), key=lambda kv: -kv[1])
     spark = hotspots.sparkSession
     weights = spark.createDataFrame(
