@@ -40,6 +40,7 @@ def clean_violations(raw: DataFrame) -> DataFrame:
     )
     return df.filter(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+        & ~F.isnan("latitude") & ~F.isnan("longitude")      # CSV "NaN" is missing too
         & F.col("created_datetime").isNotNull()
         & (F.col("severity") > 0) & F.col("created_ist").isNotNull())
 

@@ -21,6 +21,7 @@ LINES = [
     'V5,12.97,77.59,,CAR,"[""DOUBLE PARKING""]",,garbage,PS-1,BTP1,x',
     'V6,12.97,77.59,,,WRONG PARKING,,2024-01-01 12:00:00+00,,  NO JUNCTION ,x',
     'V7,abc,77.59,,CAR,"[""NO PARKING""]",,2024-01-01 11:00:00+00,PS-2,BTP1,x',
+    'V8,NaN,77.59,,CAR,"[""NO PARKING""]",,2024-01-01 11:00:00+00,PS-2,BTP1,x',
 ]
 
 
@@ -44,7 +45,7 @@ def test_csv_scan_and_clean(spark, csv_path):
     assert r["V2"].junction_name is None and r["V2"].location is None
     assert r["V7"].latitude is None          # unparseable number -> NULL
     clean = {x.id: x for x in clean_violations(raw).collect()}
-    # V3/V7 no latitude, V4 no parking tag, V5 unparseable time
+    # V3/V7/V8 no latitude, V4 no parking tag, V5 unparseable time
     assert sorted(clean) == ["V1", "V2", "V6"]
     assert clean["V1"].tags == ["WRONG PARKING", "NO PARKING"] and clean["V1"].severity == 2.0
     assert clean["V1"].hour == 15 and clean["V1"].at_junction is True
