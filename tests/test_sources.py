@@ -98,3 +98,13 @@ def test_cached_build_reuses_tables(spark, csv_path):
     cache.clear()
     assert cache.cached_build(spark, csv_path, resolution=9, k_tiers=2) is not a
     cache.clear()
+
+
+def test_spread_only_small_split_counts(spark):
+    from curbscope.sources.violations import spread_input
+
+    slots = spark.sparkContext.defaultParallelism
+    one = spark.range(1000).coalesce(1)
+    assert spread_input(one).rdd.getNumPartitions() == slots
+    many = spark.range(1000).repartition(slots)
+    assert spread_input(many) is many           # no extra shuffle planned
