@@ -61,22 +61,26 @@ def tier_hotspots(hotspots: DataFrame, k: int = 4, seed: int = 42, n_init: int =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    n_cells = hotspots.count()   # one row per cell
+    # The cell features are read by the count, the scaler fit and the
+    # scaled vectors: cache them once (cells x 6 columns).
+    feats = hotspots.select(
+        "hex_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+                    for c in TIER_FEATURES]).persist()
+    n_cells = feats.count()   # one row per cell
     k_eff = min(k, max(n_cells, 1))
     if layout_partitions is None:
         layout_partitions = layout_for(n_cells)
     if k_eff < 2:
+        feats.unpersist()
         return (hotspots.withColumn("cluster", F.lit(None).cast("int"))
                 .withColumn("tier", F.lit(TIER_ORDER[0])))
-    feats = hotspots.select(
-        "hex_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-                    for c in TIER_FEATURES])
     laid = feats.repartition(layout_partitions, "hex_id").sortWithinPartitions("hex_id")
     assembled = VectorAssembler(inputCols=TIER_FEATURES, outputCol="raw").transform(laid)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     # Cached, not checkpointed: the layout is deterministic (hash by hex_id,
     # sorted), so recomputing a lost block gives the same vectors.
     scaled = scaler.fit(assembled).transform(assembled).select("hex_id", "features").persist()
+    scaled.count()   # fill the cache once, before the concurrent fits read it
 
     def fit(i: int):
         model = KMeans(k=k_eff, seed=seed + i, maxIter=max_iter, tol=tol,
@@ -92,6 +96,7 @@ def tier_hotspots(hotspots: DataFrame, k: int = 4, seed: int = 42, n_init: int =
     pred = best[2].transform(scaled).select("hex_id", F.col("cluster").cast("int")) \
         .checkpoint(eager=True)
     scaled.unpersist()
+    feats.unpersist()
     return apply_labels(hotspots.join(pred, "hex_id"))
 
 
