@@ -54,9 +54,12 @@ def whatif_ranks(hotspots: DataFrame, w_sev: float = 40, w_jct: float = 20,
                  w_bh: float = 20, w_per: float = 20) -> DataFrame:
     """Re-score from the stored percentile ranks (no re-aggregation) and
     rank twice: ``original_rank`` by CIS, ``new_rank`` by what-if score
-    (ties keep the original order); ``rank_change = original - new``."""
+    (ties keep the original order); ``rank_change = original - new``.
+    Output: the ranking columns plus the ranks and both scores."""
     ws, wj, wb, wp = normalise_weights(w_sev, w_jct, w_bh, w_per)
-    base = ordinal_rank(hotspots, cis_order(), "original_rank")
+    # Only the ranking columns travel through the two sorts and checkpoints.
+    cols = ["hex_id", "dominant_station", "tier", "congestion_impact_score", *SCORE_SOURCES]
+    base = ordinal_rank(hotspots.select(*cols), cis_order(), "original_rank")
     base = base.withColumn("whatif_cis", weighted_score(ws, wj, wb, wp))
     ranked = ordinal_rank(base, [F.col("whatif_cis").desc(), F.col("original_rank").asc()],
                           "new_rank")
