@@ -264,3 +264,4 @@ SQL["hotspot_table"] = _on_hot(f"SELECT {_checked} FROM hot")
 SQL["hotspot_export"] = _on_hot(f"SELECT {_checked}, cluster, tier FROM hot")
 
 SQL["stream_hex_counts"] = SQL["hex_bin"]
+SQL["scan_violations_csv"] = SQL["scan_violations"]

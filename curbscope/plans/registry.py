@@ -394,3 +394,21 @@ def q_stream_hex_counts(spark, sf_dir):
     q.awaitTermination()
     return (kind(combined_rollup(spark, base + "/rollup"), "day").groupBy("hex_id")
             .agg(F.sum("n").alias("n")))
+
+
+@register("scan_violations_csv")
+def q_scan_violations_csv(spark, sf_dir):
+    """The CSV scan path: raw records written as a header CSV (RFC 4180
+    quoting, edge whitespace kept) to the checkpoint folder, then read back
+    with ``read_violations_csv`` (header check, typed schema, missing-value
+    spellings)."""
+    import uuid
+
+    from curbscope.session import ensure_checkpoint_dir
+    from curbscope.sources.violations import read_violations_csv
+
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/raw-csv-{uuid.uuid4().hex}"
+    (violations_raw(spark, sf_dir).write.option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
+    return read_violations_csv(spark, path)
