@@ -265,3 +265,6 @@ SQL["hotspot_export"] = _on_hot(f"SELECT {_checked}, cluster, tier FROM hot")
 
 SQL["stream_hex_counts"] = SQL["hex_bin"]
 SQL["scan_violations_csv"] = SQL["scan_violations"]
+SQL["hotspot_export_parquet"] = _on_hot(f"""SELECT {_checked}, cluster, tier, t.n_tags, t.tag_total
+FROM hot JOIN (SELECT hex_id, CAST(count(*) AS INTEGER) AS n_tags, CAST(sum(count) AS BIGINT) AS tag_total
+               FROM tag_long GROUP BY hex_id) t USING (hex_id)""", _tag_long)

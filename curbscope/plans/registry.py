@@ -412,3 +412,21 @@ def q_scan_violations_csv(spark, sf_dir):
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
     return read_violations_csv(spark, path)
+
+
+@register("hotspot_export_parquet")
+def q_hotspot_export_parquet(spark, sf_dir):
+    """The Parquet sink keeps every column, the tag map included; the map
+    is checked through its entry count, everything else as is."""
+    import uuid
+
+    from curbscope.session import ensure_checkpoint_dir
+    from curbscope.sources.sinks import export_hotspots_parquet
+
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/export-pq-{uuid.uuid4().hex}"
+    export_hotspots_parquet(hot(spark, sf_dir), path)
+    back = spark.read.parquet(path)
+    return back.select(*CHECKED_COLUMNS, "cluster", "tier",
+                       F.size("tag_breakdown").alias("n_tags"),
+                       F.aggregate(F.map_values("tag_breakdown"), F.lit(0).cast("long"),
+                                   lambda a, b: a + b).alias("tag_total"))
