@@ -62,15 +62,23 @@ def priority_report(view: DataFrame, top_n: int = 25) -> DataFrame:
 
 
 def priority_report_display(report: DataFrame) -> DataFrame:
-    """Display strings: .1f, .2f, thousands separators, percentages."""
+    """Display strings: .1f, .2f, thousands separators, percentages.
+
+    Each value is first rounded half-even to the printed precision
+    (``rint_round``), so the text does not depend on the formatter's own
+    tie rule (Java rounds half-up on the decimal text)."""
+    def fixed(c: str, digits: int, scale: float = 1.0, fmt: str | None = None) -> Column:
+        v = rint_round(F.col(c) * F.lit(scale), digits) if scale != 1.0 else rint_round(F.col(c), digits)
+        return F.format_string(fmt or f"%.{digits}f", v)
+
     def pct(c: str, signed: bool = False) -> Column:
-        fmt = "%+.1f%%" if signed else "%.1f%%"
-        return F.format_string(fmt, F.col(c) * 100)
+        return fixed(c, 1, 100.0, "%+.1f%%" if signed else "%.1f%%")
+
     return report.select(
         "hex_id", "station", "violations",
-        F.format_string("%.1f", "cis").alias("cis"), "tier",
-        F.format_string("%.1f", "lane_loss_pct").alias("lane_loss_pct"),
-        F.format_string("%.2f", "queue_km").alias("queue_km"),
+        fixed("cis", 1).alias("cis"), "tier",
+        fixed("lane_loss_pct", 1).alias("lane_loss_pct"),
+        fixed("queue_km", 2).alias("queue_km"),
         F.format_number("daily_cost_inr", 0).alias("daily_cost_inr"),
         F.format_number("annual_cost_inr", 0).alias("annual_cost_inr"),
         pct("pct_at_junction").alias("pct_at_junction"),

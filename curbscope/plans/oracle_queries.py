@@ -268,3 +268,20 @@ SQL["scan_violations_csv"] = SQL["scan_violations"]
 SQL["hotspot_export_parquet"] = _on_hot(f"""SELECT {_checked}, cluster, tier, t.n_tags, t.tag_total
 FROM hot JOIN (SELECT hex_id, CAST(count(*) AS INTEGER) AS n_tags, CAST(sum(count) AS BIGINT) AS tag_total
                FROM tag_long GROUP BY hex_id) t USING (hex_id)""", _tag_long)
+
+
+def _fmt(col: str, digits: int, fmt: str | None = None, scale: float | None = None) -> str:
+    v = O.rint_round(f"{col} * {O.d(scale)}" if scale else col, digits)
+    return f"printf('{fmt or '%.' + str(digits) + 'f'}', {v})"
+
+
+SQL["priority_report_display"] = _on_hot(f"""SELECT hex_id, dominant_station AS station,
+  violation_count AS violations, {_fmt('congestion_impact_score', 1)} AS cis, tier,
+  {_fmt('capacity_loss_pct', 1)} AS lane_loss_pct, {_fmt('shockwave_queue_km', 2)} AS queue_km,
+  format('{{:,}}', daily_delay_cost_inr) AS daily_cost_inr,
+  format('{{:,}}', annual_delay_cost_inr) AS annual_cost_inr,
+  {_fmt('junction_fraction', 1, '%.1f%%', 100.0)} AS pct_at_junction,
+  {_fmt('busy_hour_fraction', 1, '%.1f%%', 100.0)} AS pct_busy_hours,
+  {_fmt('persistence_ratio', 1, '%.1f%%', 100.0)} AS persistence,
+  {_fmt('growth_rate', 1, '%+.1f%%', 100.0)} AS weekly_growth, recommended_action
+FROM top25""", _top25)

@@ -430,3 +430,8 @@ def q_hotspot_export_parquet(spark, sf_dir):
                        F.size("tag_breakdown").alias("n_tags"),
                        F.aggregate(F.map_values("tag_breakdown"), F.lit(0).cast("long"),
                                    lambda a, b: a + b).alias("tag_total"))
+
+
+@register("priority_report_display")
+def q_priority_report_display(spark, sf_dir):
+    return V.priority_report_display(V.priority_report(hot(spark, sf_dir)))

@@ -62,6 +62,7 @@ def test_report_display(spark):
     assert r.daily_cost_inr == "12,345" and r.annual_cost_inr == "4,505,925"
     assert r.queue_km == "0.88" and r.pct_at_junction == "50.0%"
     assert r.weekly_growth == "-3.1%" and r.persistence == "100.0%"
+    assert r.cis == "61.2" and r.pct_busy_hours == "12.5%"     # half-even before formatting
 
 
 def test_kpi_busy_label(spark):
