@@ -152,9 +152,10 @@ FROM ols"""),
     ]
 
 
-def forecast_ctes(weeks_ahead: int = 2) -> list[tuple[str, str]]:
+def forecast_ctes(weeks_ahead: int = 2, label: str = "week_start") -> list[tuple[str, str]]:
+    shift = 6 if label == "reference" else 0
     return [("forecast", f"""SELECT hex_id, CAST(step AS INTEGER) AS step,
-  CAST(last_week + CAST(7 * step AS INTEGER) AS DATE) AS week,
+  CAST(last_week + CAST(7 * step + {shift} AS INTEGER) AS DATE) AS week,
   CASE WHEN n < 3 THEN greatest(CAST(sy AS DOUBLE) / CAST(n AS DOUBLE), {d(0.0)})
        ELSE greatest(b1 * CAST(n - 1 + step AS DOUBLE)
                      + (CAST(sy AS DOUBLE) - b1 * CAST(sx AS DOUBLE)) / CAST(n AS DOUBLE), {d(0.0)})

@@ -285,3 +285,9 @@ SQL["priority_report_display"] = _on_hot(f"""SELECT hex_id, dominant_station AS
   {_fmt('persistence_ratio', 1, '%.1f%%', 100.0)} AS persistence,
   {_fmt('growth_rate', 1, '%+.1f%%', 100.0)} AS weekly_growth, recommended_action
 FROM top25""", _top25)
+
+SQL["weekday_hour_counts"] = O.with_(_base(), """SELECT weekday, hour, CAST(count(*) AS BIGINT) AS count
+FROM hexed GROUP BY weekday, hour""")
+
+SQL["forecast_reference_labels"] = O.with_(_base(O.weekly_ctes(), O.forecast_ctes(label="reference")),
+                                           "SELECT hex_id, step, week, forecast_count FROM forecast")

@@ -435,3 +435,15 @@ def q_hotspot_export_parquet(spark, sf_dir):
 @register("priority_report_display")
 def q_priority_report_display(spark, sf_dir):
     return V.priority_report_display(V.priority_report(hot(spark, sf_dir)))
+
+
+@register("weekday_hour_counts")
+def q_weekday_hour_counts(spark, sf_dir):
+    return V.weekday_hour_counts(rollup(spark, sf_dir))
+
+
+@register("forecast_reference_labels")
+def q_forecast_reference_labels(spark, sf_dir):
+    """Forecasts dated like the reference's weekly series (Sundays 13 and 20
+    days after the last history Monday)."""
+    return TR.forecast_all(B.weekly_counts(rollup(spark, sf_dir)), label="reference")
