@@ -197,12 +197,12 @@ SQL["kpis"] = _on_hot(f"""SELECT (SELECT CAST(count(*) AS BIGINT) FROM hexed) AS
 FROM hot""")
 
 
-def _patrol_sql(budget: int, partition: str | None) -> list[tuple[str, str]]:
+def _patrol_sql(budget: int, partition: str | None, pool: str = "hot") -> list[tuple[str, str]]:
     part = f"PARTITION BY {partition} " if partition else ""
     key = f"{partition}, " if partition else ""
     return [
         ("pc", f"""SELECT *, CASE WHEN tier = 'Critical' THEN 2 ELSE 1 END AS cost,
-  row_number() OVER ({part}{_by_cis}) AS pos FROM hot"""),
+  row_number() OVER ({part}{_by_cis}) AS pos FROM {pool}"""),
         ("pc2", f"""SELECT *, sum(cost) OVER ({part}{_by_cis}
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM pc"""),
         ("pc3", f"""SELECT *, min(CASE WHEN cum > {budget} THEN pos END) OVER ({part.strip()}) AS j,
@@ -291,3 +291,9 @@ FROM hexed GROUP BY weekday, hour""")
 
 SQL["forecast_reference_labels"] = O.with_(_base(O.weekly_ctes(), O.forecast_ctes(label="reference")),
                                            "SELECT hex_id, step, week, forecast_count FROM forecast")
+
+SQL["hotspot_view_stations"] = _on_hot("""SELECT hex_id, dominant_station, tier, violation_count,
+  congestion_impact_score FROM hot WHERE dominant_station IN ('PS-1', 'PS-2')""")
+SQL["patrol_station_pool"] = _on_hot("SELECT * FROM sched", [("pool", """SELECT * FROM hot
+WHERE dominant_station IN ('PS-1', 'PS-2') AND tier IN ('Critical', 'High')""")],
+                                     _patrol_sql(_budget, None, "pool"))

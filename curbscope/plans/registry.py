@@ -447,3 +447,20 @@ def q_forecast_reference_labels(spark, sf_dir):
     """Forecasts dated like the reference's weekly series (Sundays 13 and 20
     days after the last history Monday)."""
     return TR.forecast_all(B.weekly_counts(rollup(spark, sf_dir)), label="reference")
+
+
+VIEW_STATIONS = ["PS-1", "PS-2"]
+POOL_TIERS = ["Critical", "High"]
+
+
+@register("hotspot_view_stations")
+def q_hotspot_view_stations(spark, sf_dir):
+    return V.hotspot_view(hot(spark, sf_dir), None, VIEW_STATIONS).select(*VIEW_COLUMNS)
+
+
+@register("patrol_station_pool")
+def q_patrol_station_pool(spark, sf_dir):
+    """With a station filter the patrol pool is the filtered view, tier
+    filter included."""
+    return P.patrol_schedule(hot(spark, sf_dir), PATROL_OFFICERS, PATROL_HOURS,
+                             stations=VIEW_STATIONS, tiers=POOL_TIERS)
