@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, simhash, topk
+from . import bpe, ctw, embed_dedup, langid, mixing, simhash, topk
 
 #: The vocabulary of the tokenizing query.
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+def op2_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -30,12 +38,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_bpe, op4_topk, op5_simhash, op10_mixing)
+    f.__name__: f for f in (op1_langid, op2_embed_dedup, op3_bpe, op4_topk, op5_simhash, op8_ctw, op10_mixing)
 }
 
 SQL: dict[str, str] = {"op4_topk": topk.SQL, "op10_mixing": mixing.SQL}
