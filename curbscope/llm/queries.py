@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, embed_dedup, langid, mixing, simhash, topk
+from . import bpe, ctw, embed_dedup, html_crf, langid, mixing, simhash, topk, toxicity
 
 #: The vocabulary of the tokenizing query.
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,16 +38,28 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_embed_dedup, op3_bpe, op4_topk, op5_simhash, op8_ctw, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_langid, op2_embed_dedup, op3_bpe, op4_topk, op5_simhash,
+        op7_toxicity, op8_ctw, op9_html, op10_mixing,
+    )
 }
 
 SQL: dict[str, str] = {"op4_topk": topk.SQL, "op10_mixing": mixing.SQL}
