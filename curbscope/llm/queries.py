@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, embed_dedup, html_crf, langid, mixing, simhash, topk, toxicity
+from . import bpe, ctw, embed_dedup, html_crf, langid, line_dedup, mixing, simhash, topk, toxicity
 
 #: The vocabulary of the tokenizing query.
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, count_cols=("n_lines", "n_removed"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_langid, op2_embed_dedup, op3_bpe, op4_topk, op5_simhash,
-        op7_toxicity, op8_ctw, op9_html, op10_mixing,
+        op6_line_dedup, op7_toxicity, op8_ctw, op9_html, op10_mixing,
     )
 }
 

@@ -32,7 +32,7 @@ SAMPLE_ROWS = 12_000
 MAX_FEATURES = 1_500
 #: Least number of rows with a feature, and least deviation in standard errors.
 LEAST_ROWS, LEAST_Z = 4, 4.0
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 FOLDS = 3
 #: Words whose features a worker keeps.
 CACHE = 150_000
@@ -97,33 +97,45 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n_features: int,
-        l2: float = 0.02, steps: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+        l2: float = 1.0, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression by accelerated gradient steps: weights of the
-    present features, of the ``dense`` columns, and the intercept."""
+    present features, of the ``dense`` columns, and the intercept. Features
+    are scaled by their log odds ratio in these rows, so that rare but clear
+    ones carry weight."""
     at = np.concatenate([np.full(len(r), k) for k, r in enumerate(rows)]) if rows else np.array([], int)
     item = np.concatenate(rows) if rows else np.array([], int)
     m, d = len(y), dense.shape[1]
     if not m or y.min() == y.max():
         p = float(np.clip(y.mean() if m else 0.0, 1e-6, 1 - 1e-6))
         return np.zeros(n_features), np.zeros(d), float(np.log(p / (1 - p)))
-    share = np.bincount(item, minlength=n_features) / m
-    # Own step sizes: frequent features move less.
-    widest = max(1.0, np.bincount(at, minlength=m).mean())
-    step = 4.0 / (np.concatenate((share, np.ones(d + 1))) * widest + l2)
+    with_, pos = np.bincount(item, minlength=n_features), np.bincount(item, y[at], minlength=n_features)
+    scale = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((with_ - pos + 0.5) / (m - y.sum() + 1))
+    x = scale[item]
+    # Bounds of the curvature by column: frequent features move less.
+    widest = max(1.0, np.sqrt((np.bincount(at, x * x, minlength=m) ** 2).mean()))
+    share = np.concatenate((np.bincount(item, x * x, minlength=n_features), np.full(d + 1, float(m)))) / m
+    step = 4.0 / (np.sqrt(share * widest) + share + l2 / m)
     w = np.zeros(n_features + d + 1)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
-    ahead, t = w.copy(), 1.0
-    for _ in range(steps):
-        z = np.bincount(at, ahead[item], minlength=m) + dense @ ahead[n_features:-1] + ahead[-1]
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(at, v[item] * x, minlength=m) + dense @ v[n_features:-1] + v[-1]
         err = (sigmoid(z) - y) / m
-        grad = np.concatenate((np.bincount(item, err[at], minlength=n_features), dense.T @ err, [err.sum()]))
-        grad[:-1] += l2 / m * ahead[:-1]
-        new = ahead - step * grad
+        g = np.concatenate((np.bincount(item, err[at] * x, minlength=n_features), dense.T @ err, [err.sum()]))
+        g[:-1] += l2 / m * v[:-1]
+        return float((np.logaddexp(0, z) - y * z).mean() + l2 / m / 2 * (v[:-1] ** 2).sum()), g
+
+    ahead, t, rate, last = w.copy(), 1.0, 1.0, np.inf
+    for _ in range(steps):
+        now, grad = loss(ahead)
+        if now > last:  # too far: smaller steps, and the momentum starts anew
+            rate, t, ahead, last = rate / 2, 1.0, w.copy(), np.inf
+            continue
+        last = now
+        new = ahead - rate * step * grad
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        if np.dot(grad, new - w) > 0:  # it overshoots: start the momentum anew
-            t_new = 1.0
         ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
-    return w[:n_features], w[n_features:-1], float(w[-1])
+    return w[:n_features] * scale, w[n_features:-1], float(w[-1])
 
 
 def linear(rows: list[np.ndarray], dense: np.ndarray, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
@@ -224,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text",
-             threshold: float = 0.5, **limits) -> DataFrame:
+             threshold: float = 0.3, **limits) -> DataFrame:
     """One row per row of ``docs``: doc_id, p_<category> for each category of
     the chain, and toxic: whether the last category's probability reaches
     ``threshold``.
