@@ -23,8 +23,8 @@ from .common import col
 
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 8192
-#: Score cells that are accumulated at a time.
-CELLS = 1 << 18
+#: Terms that are accumulated at a time where their postings are full.
+TERMS = 16
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
@@ -37,34 +37,37 @@ def quantised(vector: Column, scale: float = 64.0) -> Column:
 
 
 def postings(rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per dimension: the rows with a non-zero weight, and their weights."""
+    """Per dimension: the rows with a non-zero weight, and their weights. A
+    list of a quarter of the rows or more holds all rows, zeros included."""
     dims = max((len(r) for r in rows), default=0)
     dense = np.zeros((dims, len(rows)), dtype=np.int64)
     for k, r in enumerate(rows):
         dense[: len(r), k] = r
     found = [np.flatnonzero(d) for d in dense]
+    every = np.arange(len(rows))
+    found = [every if 4 * len(ids) >= len(rows) else ids for ids in found]
     return [(ids, d[ids]) for ids, d in zip(found, dense)]
 
 
 def accumulate(query: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Scores (queries x n), one term at a time. Sums that provably fit in
-    32 bits use them."""
+    """Scores (queries x n), term by term; terms whose postings hold every
+    row are added several at a time. Where all sums provably fit, the
+    arrays are of floats, which hold such integers exactly."""
     m = min(query.shape[1], len(terms))
-    most = [float(abs(query[:, t]).max()) * float(abs(w).max()) if len(w) else 0.0 for t, (_, w) in zip(range(m), terms)]
-    kind = np.int32 if sum(most) < 2**31 else np.int64
+    most = sum(float(abs(query[:, t]).max()) * float(abs(w).max()) if len(w) else 0.0 for t, (_, w) in zip(range(m), terms))
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
     scores = np.zeros((len(query), n), dtype=kind)
-    query = query.astype(kind) if kind is np.int32 and m else query
-    step = max(1, CELLS // max(1, len(query)))
-    for t, (ids, weights) in zip(range(m), terms):
-        if not len(ids) or not query[:, t].any():
-            continue
-        weights = weights.astype(kind)
-        if len(ids) == n:
-            for at in range(0, n, step):
-                scores[:, at : at + step] += query[:, t, None] * weights[None, at : at + step]
-        else:
-            scores[:, ids] += query[:, t, None] * weights[None, :]
-    return scores
+    query = query.astype(kind)
+    used = [t for t in range(m) if len(terms[t][0]) and query[:, t].any()]
+    full = [t for t in used if len(terms[t][0]) == n]
+    for at in range(0, len(full), TERMS):
+        some = full[at : at + TERMS]
+        scores += query[:, some] @ np.stack([terms[t][1] for t in some]).astype(kind)
+    for t in used:
+        ids, weights = terms[t]
+        if len(ids) < n:
+            scores[:, ids] += query[:, t, None] * weights.astype(kind)[None, :]
+    return scores.astype(np.int64)
 
 
 def best(scores: np.ndarray, own: np.ndarray, k: int) -> Iterator[np.ndarray]:
