@@ -42,6 +42,8 @@ CLOSES_P = frozenset(
 SAME = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table tbody thead tfoot", "td": "tr", "th": "tr", "option": "select"}
 
 NAME = re.compile(r"[A-Za-z]+")
+#: A tag that the end of the page cuts off: it is no text.
+CUT_OFF = re.compile(r"<[A-Za-z/!?][^>]*\Z")
 
 
 class Blocks(HTMLParser):
@@ -114,9 +116,17 @@ class Blocks(HTMLParser):
             self.linked += len(data.strip())
 
 
+def whole(html: str) -> str:
+    """The page without a comment or tag that its end cuts off."""
+    at = html.rfind("<!--")
+    if at >= 0 and html.find("-->", at) < 0 and html.rfind("<script", 0, at) <= html.rfind("</script", 0, at):
+        html = html[:at]
+    return CUT_OFF.sub("", html)
+
+
 def blocks(html: str | None) -> list[tuple[str, int, tuple]]:
     p = Blocks()
-    p.feed(html or "")
+    p.feed(whole(html or ""))
     p.close()
     p.flush()
     return p.found

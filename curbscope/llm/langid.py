@@ -129,7 +129,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         def out() -> Iterator[pa.RecordBatch]:
             for lang, c in held.items():
                 yield pa.record_batch(
-                    [pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())],
+                    [pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())],
                     names=["lang", "word", "n"],
                 )
 
@@ -181,7 +181,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         if held:
             langs, sizes_, texts = zip(*held)
             yield pa.record_batch(
-                [pa.array(langs), pa.array(sizes_, pa.int32()), pa.array(texts), pa.array(list(held.values()), pa.int64())],
+                [pa.array(langs, pa.string()), pa.array(sizes_, pa.int32()), pa.array(texts, pa.string()), pa.array(list(held.values()), pa.int64())],
                 names=["lang", "size", "gram", "n"],
             )
 
