@@ -57,6 +57,43 @@ def tiles(df: DataFrame, keys: list[str], item: str, size: int) -> DataFrame:
     )
 
 
+#: Rows of a small side up to which it is broadcast: some tens of MB.
+SMALL_ROWS = 200_000
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (held, so that counting it is cheap):
+    by broadcast if it has at most ``SMALL_ROWS`` rows, by shuffle beyond."""
+    return big.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, keys, how)
+
+
+#: Rows of a table of hot keys up to which it is broadcast.
+HOT_KEYS = 20_000
+
+
+def hot_tiles(df: DataFrame, keys: list[str], item: str, size: int) -> DataFrame:
+    """Like ``tiles`` for many small groups: only the keys of more than
+    ``size`` rows are counted out and joined, and rows without a partner
+    stay. ``df`` is read twice and should be cheap to make."""
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
+    hot = held(hot.withColumn("_parts", F.ceil(F.col("_n") / F.lit(size)).cast("int")).drop("_n"))
+    n = hot.count()
+    zero = F.lit(0)
+    if not n:
+        return df.withColumns({"_lo": zero, "_hi": zero, "_side": zero})
+    hot = F.broadcast(hot) if n <= HOT_KEYS else hot
+    parts = F.coalesce("_parts", F.lit(1))
+    return (
+        df.join(hot, keys, "left")
+        .withColumn("_chunk", F.pmod(F.xxhash64(item), parts).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .withColumn("_lo", F.least("_chunk", "_other"))
+        .withColumn("_hi", F.greatest("_chunk", "_other"))
+        .withColumn("_side", (F.col("_chunk") != F.col("_lo")).cast("int"))
+        .drop("_parts", "_chunk", "_other")
+    )
+
+
 def sorted_groups(df: DataFrame, keys: list[str], extra: list[str] = ()) -> DataFrame:
     """Rows of a group in one partition, next to each other."""
     return df.repartition(*keys).sortWithinPartitions(*keys, *extra)

@@ -5,7 +5,8 @@ differ in at most ``max_bits`` bits agree on at least (blocks - max_bits)
 whole blocks, so every such pair shares at least one *combination* of that
 many blocks. Fingerprints are joined on those combinations and every pair
 that meets is checked by its Hamming distance: no link is lost and none is
-wrong, whichever number of blocks is used.
+wrong, whichever number of blocks is used. Inside a key the same rule is
+applied once more to the bits outside it, so large keys need few checks.
 
 Equal fingerprints are one class before anything is joined, so groups of
 copies never meet in pairs; a block shared by very many different
@@ -28,7 +29,7 @@ from .common import col
 
 BITS = 64
 SEED = 42
-TILE = 2048
+TILE = 8192
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED) -> int:
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed
     return chosen.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def block_masks(n: int, max_bits: int, per_key: int = 512) -> list[int]:
+def block_masks(n: int, max_bits: int, per_key: int = 4096) -> list[int]:
     """Bit masks whose values are the join keys: each combination of blocks.
 
     The number of blocks is the smallest at which ``n`` evenly spread
@@ -108,24 +109,43 @@ def keyed(fps: DataFrame, masks: list[int], fp: str = "fp") -> DataFrame:
 KEYS = ["table", "key", "_lo", "_hi"]
 
 
-def close_pairs(table: pa.Table, fp: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def inner_masks(masks: list[int], max_bits: int) -> np.ndarray:
+    """For each table the bits outside its key, cut into max_bits + 1 parts:
+    a close pair of the table agrees on one of them, too."""
+    out = []
+    for m in masks:
+        rest = [b for b in range(BITS) if not m >> b & 1]
+        cuts = [len(rest) * i // (max_bits + 1) for i in range(max_bits + 2)]
+        out.append([sum(1 << b for b in rest[x:y]) for x, y in zip(cuts, cuts[1:])])
+    return np.array(out, dtype=np.uint64)
+
+
+def close_pairs(table: pa.Table, fp: np.ndarray, max_bits: int, inner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers (i, j) of the pairs within ``max_bits`` in the groups of
-    ``table``, a bounded number at a time."""
+    ``table``, a bounded number at a time; a pair can come several times.
+    Only rows of a group that agree on one more part are compared."""
     n = table.num_rows
     starts = common.starts_of(table, KEYS)
-    end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-    side = table.column("_side").to_numpy()
-    within = table.column("_lo").to_numpy() == table.column("_hi").to_numpy()
-    i, step = np.arange(n), 0
-    while True:
-        step += 1
-        i = i[i + step < end[i]]
-        if not len(i):
-            return
-        j = i + step
-        ok = (within[i] | (side[i] != side[j])) & (np.bitwise_count(fp[i] ^ fp[j]) <= max_bits)
-        if ok.any():
-            yield i[ok], j[ok]
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    number, side = table.column("table").to_numpy(), table.column("_side").to_numpy()
+    across = table.column("_lo").to_numpy() < table.column("_hi").to_numpy()
+    for part in range(max_bits + 1):
+        value = fp & inner[number, part]
+        order = np.lexsort((value, group))
+        g, v = group[order], value[order]
+        first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1]))))
+        end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+        k, step = np.arange(n), 0
+        while True:
+            step += 1
+            k = k[k + step < end[k]]
+            if not len(k):
+                break
+            i, j = order[k], order[k + step]
+            ok = np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
+            ok &= ~across[i] | (side[i] != side[j])
+            if ok.any():
+                yield i[ok], j[ok]
 
 
 def hamming_edges(fps: DataFrame, n: int, max_bits: int) -> DataFrame:
@@ -133,11 +153,14 @@ def hamming_edges(fps: DataFrame, n: int, max_bits: int) -> DataFrame:
     pairs within ``max_bits`` bits: each tile gives a spanning forest of its
     links, never all its pairs."""
 
+    masks = block_masks(n, max_bits)
+    inner = inner_masks(masks, max_bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.whole_groups(batches, KEYS):
             own = table.column("fp").to_numpy()
             fp, parent = own.view(np.uint64), np.arange(table.num_rows)
-            for i, j in close_pairs(table, fp, max_bits):
+            for i, j in close_pairs(table, fp, max_bits, inner):
                 parent = common.union(parent, i, j)
             linked = np.flatnonzero(parent != np.arange(len(parent)))
             if len(linked):
@@ -145,7 +168,7 @@ def hamming_edges(fps: DataFrame, n: int, max_bits: int) -> DataFrame:
                     [pa.array(own[linked]), pa.array(own[parent[linked]])], names=["a", "b"]
                 )
 
-    dealt = common.tiles(keyed(fps.select("fp"), block_masks(n, max_bits)), ["table", "key"], "fp", TILE)
+    dealt = common.hot_tiles(keyed(fps.select("fp"), masks), ["table", "key"], "fp", TILE)
     return common.sorted_groups(dealt, KEYS).mapInArrow(run, "a long, b long")
 
 
