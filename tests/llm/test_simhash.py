@@ -83,7 +83,7 @@ def test_more_blocks_and_hot_tiles_give_the_same_links(spark, monkeypatch):
     few = parts()
     monkeypatch.setattr(simhash, "TILE", 16)
     assert parts() == few
-    n = 2**24  # more blocks per key
+    n = 2**27  # more blocks per key
     assert len(simhash.block_masks(n, 4)) > 5
     assert parts() == few
 
