@@ -6,7 +6,7 @@ A planar pointy-top hexagon grid around an origin (one city per origin):
   ``x = (lon - lon0) * kx``, ``y = (lat - lat0) * ky`` with
   ``kx = 111.32 * cos(lat0)`` and ``ky = 110.574``;
 * hexagon circumradius ``s = sqrt(2 A / (3 sqrt 3))`` for the mean cell
-  area ``A`` of the resolution (7..10 -> 5.161 / 0.737 / 0.105 / 0.015 km2);
+  area ``A`` of the resolution (0..15, ``schema.HEX_AREA_KM2``);
 * fractional axial coordinates ``q = (sqrt3/3 * x - y / 3) / s``,
   ``r = (2/3 * y) / s``, then cube rounding to the nearest cell centre;
 * id ``"{res}:{q}:{r}"``.

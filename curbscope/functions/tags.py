@@ -62,6 +62,7 @@ def list_body(s: Column) -> Column:
 # * it starts with '["' and ends with '"]' and holds no backslash;
 # * it holds exactly two quotes per item, so items contain no quote and
 #   the separators are exactly '","';
+# * it holds no line break: a quoted item ends at one;
 # * no quote touches whitespace, so no item needs stripping (whitespace is
 #   first mapped to a marker character with ``translate``).
 _MARK = "\x01"
@@ -74,7 +75,7 @@ def fast_list(s: Column) -> Column:
     quotes = F.length(s) - F.length(F.replace(s, F.lit('"'), F.lit("")))
     marked = F.translate(s, WHITESPACE, _MARK * len(WHITESPACE))
     ok = (s.startswith('["') & s.endswith('"]') & (F.length(s) >= 4) & ~s.contains("\\")
-          & (quotes == F.size(items) * 2)
+          & (quotes == F.size(items) * 2) & ~s.rlike("[\\n\\r]")
           & ~marked.contains('"' + _MARK) & ~marked.contains(_MARK + '"'))
     return F.when(ok, items).when(s == "[]", F.array().cast("array<string>"))
 
@@ -92,7 +93,14 @@ def clean_list(parsed: Column) -> Column:
 def parse_list(s: Column) -> Column:
     """Elements of a list/tuple form of stripped text ``s``, each stripped;
     NULL when ``s`` is not a well-formed list of non-null items."""
-    return F.coalesce(fast_list(s), clean_list(parse_json_list(s)))
+    return F.coalesce(fast_list(s), clean_list(one_line(s, parse_json_list(s))))
+
+
+def one_line(s: Column, parsed: Column) -> Column:
+    """``parsed``, or NULL where a quoted item of ``s`` holds a raw line
+    break (an escaped one is fine): such text is no list."""
+    broken = F.exists(parsed, lambda x: x.rlike("[\\n\\r]")) & ~s.contains("\\")
+    return F.when(broken, F.lit(None).cast("array<string>")).otherwise(parsed)
 
 
 def tags_from_parts(s: Column, stripped_list: Column) -> Column:
@@ -137,7 +145,7 @@ def with_tags(df: DataFrame, src: str = "violation_type", out: str = "tags",
     # ``from_json`` and the lambda functions have no generated code in
     # Spark; they are confined to this one projection and skipped (CASE
     # short-circuits) for rows the compiled fast path already split.
-    general = clean_list(parse_json_list(F.col("_tag_text")))
+    general = clean_list(one_line(F.col("_tag_text"), parse_json_list(F.col("_tag_text"))))
     staged = staged.select(*keep, "_tag_text", F.when(F.col("_tag_fast").isNotNull(),
                                                       F.col("_tag_fast"))
                            .otherwise(general).alias("_tag_list"))

@@ -35,7 +35,8 @@ def busy_hours_from_counts(counts: DataFrame, coverage: float = 0.5) -> DataFram
         "_total": total,
     }).withColumn("cum_share", F.col("_cum") / F.col("_total"))
     prev_share = (F.col("_cum") - F.col("n")) / F.col("_total")
-    return (df.filter(prev_share < F.lit(float(coverage)))
+    first = F.col("_cum") == F.col("n")   # kept at any coverage, 0 included
+    return (df.filter(first | (prev_share < F.lit(float(coverage))))
             .select("hour", "n", "cum_share"))
 
 

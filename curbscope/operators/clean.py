@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbscope.functions.grid import hex_cell_id
-from curbscope.functions.tags import record_severity, strip_ws, with_tags
+from curbscope.functions.tags import parse_list, record_severity, strip_ws, with_tags
 from curbscope.functions.timeparts import ist_timestamp
 from curbscope.schema import DEFAULT_CENTER, NO_JUNCTION, UNKNOWN
 
@@ -45,6 +45,29 @@ def clean_violations(raw: DataFrame) -> DataFrame:
         & (F.col("severity") > 0) & F.col("created_ist").isNotNull())
 
 
+def quality_counts(raw: DataFrame) -> DataFrame:
+    """One row: how many raw records there are, how many lack coordinates or
+    a time, have a time that cannot be read, a tag text that is no list (it
+    counts as one tag) or no parking tag, and how many cleaning keeps. A
+    record can count under several reasons."""
+    text = strip_ws(F.col("violation_type"))
+    time, lat, lon = F.col("created_datetime"), F.col("latitude"), F.col("longitude")
+    df = with_tags(raw, "violation_type", "tags", extra={
+        "_ist": ist_timestamp(time), "_bare": (text != "") & parse_list(text).isNull()})
+    no_place = lat.isNull() | lon.isNull() | F.isnan(lat) | F.isnan(lon)
+    severity = record_severity(F.col("tags"))
+    reasons = {
+        "no_coordinates": no_place,
+        "no_time": time.isNull(),
+        "bad_time": time.isNotNull() & F.col("_ist").isNull(),
+        "tag_fallbacks": F.coalesce(F.col("_bare"), F.lit(False)),
+        "not_parking": severity <= 0,
+        "kept": ~no_place & F.col("_ist").isNotNull() & (severity > 0),
+    }
+    return df.agg(F.count(F.lit(1)).alias("raw_rows"),
+                  *[F.count_if(c).alias(name) for name, c in reasons.items()])
+
+
 def add_hex_id(df: DataFrame, resolution: int = 9,
                origin: tuple[float, float] = DEFAULT_CENTER) -> DataFrame:
     return df.withColumn("hex_id", hex_cell_id(F.col("latitude"), F.col("longitude"),

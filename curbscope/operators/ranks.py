@@ -11,9 +11,8 @@ task. Instead:
 3. per-partition counts (one row per partition, a size bounded by the
    partition count) become prefix offsets, which are broadcast and added.
 
-``average_pct_ranks`` applies the same scheme to the distinct-value counts
-of several columns at once (tie groups collapse to one row, so a value
-shared by a third of all rows is still a single row) and returns the
+``average_pct_ranks`` applies the same scheme to several columns at once
+(one long table sorted by column, value and id) and returns the
 average-tie percentile rank ``(rank_min + rank_max) / 2 / n`` computed as
 ``(2 * less + count + 1) / (2 * n)`` from exact integers.
 """
@@ -51,50 +50,39 @@ def ordinal_rank(df: DataFrame, order: list[Column], out_col: str = "rank") -> D
             .drop("_pid", "_mid", "_off"))
 
 
-def average_pct_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def average_pct_ranks(df: DataFrame, columns: dict[str, str], id_col: str = "hex_id") -> DataFrame:
     """Add ``out = pct_rank(src)`` for each ``{out: src}``; NULLs stay NULL.
 
     Ranks are taken over all non-null values of each column (pandas
-    ``rank(pct=True)`` semantics with average ties).
+    ``rank(pct=True)`` semantics with average ties). ``id_col`` must be
+    unique.
+
+    Rows are sorted by (column, value, id), so a value that a large share of
+    the rows has lies in several partitions. Each partition counts its own
+    values; the rank of a value joins back on the partition id as well, so
+    no join key holds more rows than one partition does.
     """
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(out).alias("feature"), F.col(src).cast("double").alias("value"))
-        for out, src in columns.items()])).alias("kv")).select("kv.*")
-    counts = (long.filter(F.col("value").isNotNull())
-              .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c")))
-    pos = _positioned(counts, [F.col("feature"), F.col("value")])
+    cells = F.array(*[F.struct(F.lit(out).alias("feature"), F.col(src).cast("double").alias("value"))
+                      for out, src in columns.items()])
+    long = df.select(F.col(id_col).alias("_id"), F.explode(cells).alias("kv")).select("_id", "kv.*")
+    pos = _positioned(long.filter(F.col("value").isNotNull()),
+                      [F.col("feature"), F.col("value"), F.col("_id")]).drop("_mid")
+    counts = pos.groupBy("_pid", "feature", "value").agg(F.count(F.lit(1)).alias("_c"))
     inside = Window.partitionBy("_pid", "feature").orderBy("value").rowsBetween(*_ALL_BEFORE)
-    pos = pos.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-    totals = pos.groupBy("feature", "_pid").agg(F.sum("_c").alias("_t"))
+    counts = counts.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    totals = counts.groupBy("feature", "_pid").agg(F.sum("_c").alias("_t"))
     across = Window.partitionBy("feature").orderBy("_pid")
     offsets = totals.select(
         "feature", "_pid",
         F.coalesce(F.sum("_t").over(across.rowsBetween(*_ALL_BEFORE)), F.lit(0)).alias("_off"),
         F.sum("_t").over(Window.partitionBy("feature")).alias("_n"))
-    less = F.col("_off") + F.col("_in")
-    pct = (less * 2 + F.col("_c") + 1).cast("double") / (F.col("_n") * 2).cast("double")
-    ranked = pos.join(F.broadcast(offsets), ["feature", "_pid"]).select(
-        "feature", "value", pct.alias("pct"))
-    out = df
-    for name, src in columns.items():
-        lookup = ranked.filter(F.col("feature") == name).select(
-            F.col("value").alias(f"_v_{name}"), F.col("pct").alias(name))
-        out = out.join(lookup, F.col(src).cast("double") == F.col(f"_v_{name}"), "left") \
-            .drop(f"_v_{name}")
-    return out
-
-
-# ---------------------------------------------------------------------------
-# single-task reference forms (tests compare the distributed forms to these)
-# ---------------------------------------------------------------------------
-def ordinal_rank_window(df: DataFrame, order: list[Column], out_col: str = "rank") -> DataFrame:
-    return df.withColumn(out_col, F.row_number().over(Window.orderBy(*order)))
-
-
-def average_pct_rank_window(df: DataFrame, src: str, out_col: str) -> DataFrame:
-    valid = F.col(src).isNotNull()
-    w = Window.partitionBy(valid).orderBy(F.col(src))
-    tie = Window.partitionBy(F.col(src))
-    n = F.count(F.col(src)).over(Window.partitionBy(valid))
-    avg_rank = F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / 2.0
-    return df.withColumn(out_col, F.when(valid, avg_rank / n))
+    # One row per partition and value; a value's rows are a few, its partitions.
+    placed = counts.join(F.broadcast(offsets), ["feature", "_pid"])
+    same = Window.partitionBy("feature", "value")
+    less = F.min(F.col("_off") + F.col("_in")).over(same)
+    ties = F.sum("_c").over(same)
+    pct = (less * 2 + ties + 1).cast("double") / (F.col("_n") * 2).cast("double")
+    lookup = placed.select("_pid", "feature", "value", pct.alias("pct"))
+    ranked = pos.join(lookup, ["_pid", "feature", "value"]).groupBy("_id").agg(*[
+        F.max(F.when(F.col("feature") == name, F.col("pct"))).alias(name) for name in columns])
+    return df.join(ranked, F.col(id_col) == F.col("_id"), "left").drop("_id")

@@ -66,16 +66,22 @@ def _tag_keys(tags: Column) -> Column:
     ).cast(KEY_TYPE)
 
 
-def cell_rollup(hexed: DataFrame) -> DataFrame:
-    keys = F.concat(
-        F.array(
-            _key("day", date=F.col("date")),
-            _key("slot", weekday=F.col("weekday"), hour=F.col("hour")),
-            _key("station", value=F.col("police_station")),
-            _key("vehicle", value=F.col("vehicle_type")),
-        ).cast(KEY_TYPE),
-        _tag_keys(F.col("tags")),
-    )
+KINDS = ("day", "slot", "station", "vehicle", "tag")
+
+
+def cell_rollup(hexed: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The rollup, of the given ``kinds`` only: a query that reads one kind
+    makes one row per record of it instead of all."""
+    own = {
+        "day": lambda: _key("day", date=F.col("date")),
+        "slot": lambda: _key("slot", weekday=F.col("weekday"), hour=F.col("hour")),
+        "station": lambda: _key("station", value=F.col("police_station")),
+        "vehicle": lambda: _key("vehicle", value=F.col("vehicle_type")),
+    }
+    fixed = [own[k]() for k in kinds if k in own]
+    arrays = [F.array(*fixed).cast(KEY_TYPE)] if fixed else []
+    arrays += [_tag_keys(F.col("tags"))] if "tag" in kinds else []
+    keys = F.concat(*arrays)
     exploded = hexed.select(
         "hex_id", F.explode(keys).alias("k"), "severity",
         F.col("at_junction").cast("long").alias("jct"),

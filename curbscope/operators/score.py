@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbscope.operators.ranks import average_pct_ranks, ordinal_rank
@@ -66,6 +66,20 @@ def whatif_ranks(hotspots: DataFrame, w_sev: float = 40, w_jct: float = 20,
     return ranked.withColumn("rank_change", F.col("original_rank") - F.col("new_rank"))
 
 
+def whatif_first(hotspots: DataFrame, w_sev: float, w_jct: float, w_bh: float, w_per: float,
+                 top: int = 25) -> DataFrame:
+    """``whatif_top`` with the first rank only over all cells: the new rank
+    is needed for ``top`` rows, which a top-k by score picks."""
+    ws, wj, wb, wp = normalise_weights(w_sev, w_jct, w_bh, w_per)
+    cols = ["hex_id", "dominant_station", "tier", "congestion_impact_score", *SCORE_SOURCES]
+    base = ordinal_rank(hotspots.select(*cols), cis_order(), "original_rank")
+    base = base.withColumn("whatif_cis", weighted_score(ws, wj, wb, wp))
+    order = [F.col("whatif_cis").desc(), F.col("original_rank").asc()]
+    first = base.orderBy(*order).limit(top).withColumn(
+        "new_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return whatif_top(first.withColumn("rank_change", F.col("original_rank") - F.col("new_rank")), top)
+
+
 def whatif_top(ranked: DataFrame, top: int = 25) -> DataFrame:
     return (ranked.filter(F.col("new_rank") <= top)
             .select("new_rank", "hex_id", "dominant_station", "tier",

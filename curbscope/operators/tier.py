@@ -12,8 +12,8 @@
 
 KMeans runs on the cell table (one row per cell), never on records. Its
 result depends on the data layout (k-means|| sampling), so the input is
-fixed to ``layout_partitions`` hash partitions sorted by hex_id (by default
-one per 50,000 cells), independent of ``spark.sql.shuffle.partitions`` and
+fixed to ``layout_partitions`` hash partitions sorted by hex_id (a constant,
+whatever the number of cells), independent of ``spark.sql.shuffle.partitions`` and
 of the cluster size. Labels cannot match other
 KMeans implementations bit for bit (different initialisation).
 """
@@ -44,14 +44,14 @@ def apply_labels(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     return df.join(F.broadcast(labels), cluster_col, "left")
 
 
-def layout_for(n_cells: int, cells_per_partition: int = 50_000) -> int:
-    """KMeans input partitions: a function of the cell count only, so the
-    clustering does not change with cluster size or shuffle settings."""
-    return max(1, -(-n_cells // cells_per_partition))
+#: KMeans input partitions. Another number gives other clusters, so it does
+#: not follow the data, the cluster or the shuffle settings; for very many
+#: cells pass a larger one.
+LAYOUT_PARTITIONS = 4
 
 
 def tier_hotspots(hotspots: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10,
-                  layout_partitions: int | None = None, max_iter: int = 300,
+                  layout_partitions: int = LAYOUT_PARTITIONS, max_iter: int = 300,
                   tol: float = 1e-4, parallel_fits: int | None = None) -> DataFrame:
     """``n_init`` restarts run as concurrent Spark jobs (``parallel_fits``
     threads, default all restarts up to 16); the lowest cost wins, ties to
@@ -66,40 +66,69 @@ def tier_hotspots(hotspots: DataFrame, k: int = 4, seed: int = 42, n_init: int =
     feats = hotspots.select(
         "hex_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
                     for c in TIER_FEATURES]).persist()
-    n_cells = feats.count()   # one row per cell
-    k_eff = min(k, max(n_cells, 1))
-    if layout_partitions is None:
-        layout_partitions = layout_for(n_cells)
-    if k_eff < 2:
+    scaled = None
+    try:
+        n_cells = feats.count()   # one row per cell
+        k_eff = min(k, max(n_cells, 1))
+        if k_eff < 2:
+            return (hotspots.withColumn("cluster", F.lit(None).cast("int"))
+                    .withColumn("tier", F.lit(TIER_ORDER[0])))
+        laid = feats.repartition(layout_partitions, "hex_id").sortWithinPartitions("hex_id")
+        assembled = VectorAssembler(inputCols=TIER_FEATURES, outputCol="raw").transform(laid)
+        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
+        # Cached, not checkpointed: the layout is deterministic (hash by hex_id,
+        # sorted), so recomputing a lost block gives the same vectors.
+        scaled = scaler.fit(assembled).transform(assembled).select("hex_id", "features").persist()
+        scaled.count()   # fill the cache once, before the concurrent fits read it
+
+        def fit(i: int):
+            model = KMeans(k=k_eff, seed=seed + i, maxIter=max_iter, tol=tol,
+                           featuresCol="features", predictionCol="cluster").fit(scaled)
+            return model.summary.trainingCost, i, model
+
+        workers = parallel_fits or min(n_init, 16)
+        with ThreadPoolExecutor(max_workers=max(1, min(workers, n_init))) as pool:
+            fits = list(pool.map(fit, range(n_init)))
+        best = min(fits, key=lambda f: (f[0], f[1]))
+        # Materialise the (hex_id, cluster) assignment, then release the cache.
+        ensure_checkpoint_dir(hotspots.sparkSession)
+        pred = best[2].transform(scaled).select("hex_id", F.col("cluster").cast("int")) \
+            .checkpoint(eager=True)
+    finally:
+        if scaled is not None:
+            scaled.unpersist()
         feats.unpersist()
-        return (hotspots.withColumn("cluster", F.lit(None).cast("int"))
-                .withColumn("tier", F.lit(TIER_ORDER[0])))
-    laid = feats.repartition(layout_partitions, "hex_id").sortWithinPartitions("hex_id")
-    assembled = VectorAssembler(inputCols=TIER_FEATURES, outputCol="raw").transform(laid)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    # Cached, not checkpointed: the layout is deterministic (hash by hex_id,
-    # sorted), so recomputing a lost block gives the same vectors.
-    scaled = scaler.fit(assembled).transform(assembled).select("hex_id", "features").persist()
-    scaled.count()   # fill the cache once, before the concurrent fits read it
-
-    def fit(i: int):
-        model = KMeans(k=k_eff, seed=seed + i, maxIter=max_iter, tol=tol,
-                       featuresCol="features", predictionCol="cluster").fit(scaled)
-        return model.summary.trainingCost, i, model
-
-    workers = parallel_fits or min(n_init, 16)
-    with ThreadPoolExecutor(max_workers=max(1, min(workers, n_init))) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    best = min(fits, key=lambda f: (f[0], f[1]))
-    # Materialise the (hex_id, cluster) assignment, then release the cache.
-    ensure_checkpoint_dir(hotspots.sparkSession)
-    pred = best[2].transform(scaled).select("hex_id", F.col("cluster").cast("int")) \
-        .checkpoint(eager=True)
-    scaled.unpersist()
-    feats.unpersist()
     return apply_labels(hotspots.join(pred, "hex_id"))
 
 
+def tier_invariants(tiered: DataFrame, k: int = 4, slack: float = 0.01) -> DataFrame:
+    """One row of facts that any right tiering of ``tiered`` has: all cells
+    have a tier, there are at most ``k`` clusters, tiers follow the clusters'
+    mean scores, and no cell's standardised features are nearer (by more than
+    ``slack``, the fit's tolerance) to another cluster's mean than to its
+    own. The cluster means are at most ``k`` rows."""
+    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in TIER_FEATURES}
+    spread = tiered.agg(*[F.stddev_samp(v).alias(c) for c, v in x.items()]).first()
+    z = [(v / F.lit(spread[c])).alias(c) if spread[c] else F.lit(0.0).alias(c) for c, v in x.items()]
+    cells = tiered.select("hex_id", "cluster", "tier", "congestion_impact_score", *z)
+    means = cells.groupBy("cluster", "tier").agg(
+        *[F.avg(c).alias(c) for c in TIER_FEATURES], F.avg("congestion_impact_score").alias("cis")).collect()
+    order = [m["tier"] for m in sorted(means, key=lambda m: -m["cis"])]
+    ordered = all(TIER_ORDER.index(a) <= TIER_ORDER.index(b) for a, b in zip(order, order[1:]))
+
+    def far(m) -> Column:
+        return sum(((F.col(c) - F.lit(m[c])) ** 2 for c in TIER_FEATURES), F.lit(0.0))
+
+    own, least = F.lit(0.0), F.lit(0.0)
+    if means and means[0]["cluster"] is not None:
+        own = F.coalesce(*[F.when(F.col("cluster") == m["cluster"], far(m)) for m in means])
+        least = F.least(*[far(m) for m in means], F.lit(float("inf")))
+    return cells.agg(
+        F.count(F.lit(1)).alias("cells"), F.count("tier").alias("with_tier"),
+        F.lit(len(means) <= k).alias("few_clusters"), F.lit(ordered).alias("ordered"),
+        F.coalesce(F.every(own <= least + slack), F.lit(True)).alias("nearest"))
+
+
 def threshold_tiers(df: DataFrame, score_col: str = "congestion_impact_score") -> DataFrame:
     """Deterministic stand-in tier (CIS >= 75 Critical, >= 50 High, >= 25
     Medium, else Low) so operators that consume a tier stay checkable

@@ -1,15 +1,17 @@
 """End-to-end hotspot build: records -> cell rollup -> features -> trend
--> scores -> tiers -> impact -> cost, sorted by CIS.
+-> scores -> tiers -> impact -> cost. The table itself is not sorted: views
+and sinks sort what they show.
 
 Materialisation points (reliable checkpoints in ``spark.checkpoint.dir``,
 so a lost executor never sends the job back to the raw scan):
 
 * the cell rollup -- every later shuffle moves rollup rows (bounded by
   cells x keys), never records;
-* the feature table, which the rank helpers and KMeans read several
-  times (KMeans caches its standardised input on top of it).
+* the feature table, which the rank helpers read several times;
+* the scored table, which tiers and every view read: the rank joins run
+  once, however many consumers there are.
 
-Both are bounded by the number of cells, not by the number of records.
+All are bounded by the number of cells, not by the number of records.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from curbscope.operators.clean import add_hex_id
 from curbscope.operators.features import hotspot_features, tag_breakdown_map
 from curbscope.operators.impact import delay_cost, flow_impact
 from curbscope.operators.rollup import cell_rollup
-from curbscope.operators.score import cis_order, score_hotspots
+from curbscope.operators.score import score_hotspots
 from curbscope.operators.tier import threshold_tiers, tier_hotspots
 from curbscope.operators.trend import growth_trend
 from curbscope.session import ensure_checkpoint_dir
@@ -42,7 +44,7 @@ HOTSPOT_COLUMNS = [
 
 @dataclass
 class HotspotBuild:
-    hotspots: DataFrame      # one row per cell, sorted by CIS desc
+    hotspots: DataFrame      # one row per cell, in no order
     busy: DataFrame          # (hour, n, cum_share)
     rollup: DataFrame        # the cell rollup (checkpointed)
 
@@ -63,12 +65,12 @@ def scored_cells(rollup: DataFrame, coverage: float = 0.5, min_weeks: int = 3,
              .withColumn("growth_rate", F.coalesce(F.col("growth_rate"), F.lit(0.0)))
              .join(tag_breakdown_map(rollup), "hex_id", "left"))
     ensure_checkpoint_dir(rollup.sparkSession)
-    return score_hotspots(cells.checkpoint(eager=True))
+    return score_hotspots(cells.checkpoint(eager=True)).checkpoint(eager=True)
 
 
 def finish(tiered: DataFrame, rollup: DataFrame) -> DataFrame:
     out = delay_cost(flow_impact(tiered), n_days_scalar(rollup))
-    return out.select(*HOTSPOT_COLUMNS).orderBy(*cis_order())
+    return out.select(*HOTSPOT_COLUMNS)
 
 
 def build_hotspot_table(records: DataFrame, resolution: int = 9, k_tiers: int = 4,

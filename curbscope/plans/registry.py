@@ -20,11 +20,12 @@ from curbscope.operators import patrol as P
 from curbscope.operators import score as SC
 from curbscope.operators import trend as TR
 from curbscope.operators import views as V
-from curbscope.operators.clean import add_hex_id, clean_violations
-from curbscope.operators.tier import label_clusters
+from curbscope.operators.clean import add_hex_id, clean_violations, quality_counts
+from curbscope.operators.rollup import cell_rollup
+from curbscope.operators.tier import label_clusters, tier_invariants
 from curbscope.plans.build import HOTSPOT_COLUMNS, build_hotspot_table, materialise_rollup
 from curbscope.sources.events import violations_raw
-from curbscope.sources.violations import limit_rows
+from curbscope.sources.violations import limit_rows, read_violations
 
 RESOLUTION = 9
 
@@ -52,6 +53,12 @@ def rollup(spark: SparkSession, sf_dir: str, resolution: int = RESOLUTION) -> Da
     return materialise_rollup(records(spark, sf_dir, resolution))
 
 
+def part(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """The rollup of a few kinds, for queries that read it once: nothing is
+    materialised and no other kind is made."""
+    return cell_rollup(records(spark, sf_dir), kinds)
+
+
 # ---------------------------------------------------------------------------
 # scans and cleaning
 # ---------------------------------------------------------------------------
@@ -78,7 +85,8 @@ def q_hex_bin(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @register("busy_hours")
 def q_busy_hours(spark, sf_dir):
-    return B.busy_hours(rollup(spark, sf_dir))
+    hours = records(spark, sf_dir).groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
+    return B.busy_hours_from_counts(hours)
 
 
 @register("hotspot_features")
@@ -147,57 +155,63 @@ def q_hex_bin_res(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @register("observation_span")
 def q_observation_span(spark, sf_dir):
-    return B.observation_days(rollup(spark, sf_dir))
+    return B.observation_days(part(spark, sf_dir, "day"))
 
 
 @register("dominant_mode")
 def q_dominant_mode(spark, sf_dir):
-    return FT.dominant_values(rollup(spark, sf_dir))
+    return FT.dominant_values(part(spark, sf_dir, "station", "vehicle"))
 
 
 @register("tag_breakdown")
 def q_tag_breakdown(spark, sf_dir):
-    return FT.tag_breakdown_long(rollup(spark, sf_dir))
+    return FT.tag_breakdown_long(part(spark, sf_dir, "tag"))
 
 
 @register("tag_breakdown_sorted")
 def q_tag_breakdown_sorted(spark, sf_dir):
-    return V.tag_breakdown_sorted(rollup(spark, sf_dir))
+    return V.tag_breakdown_sorted(part(spark, sf_dir, "tag"))
+
+
+def weekly(spark, sf_dir):
+    """Records per (cell, Monday week), counted from the records."""
+    return (records(spark, sf_dir).groupBy("hex_id", B.week_start(F.col("date")).alias("week"))
+            .agg(F.count(F.lit(1)).alias("count")))
 
 
 @register("weekly_counts")
 def q_weekly_counts(spark, sf_dir):
-    return B.weekly_counts(rollup(spark, sf_dir))
+    return weekly(spark, sf_dir)
 
 
 @register("growth_trend")
 def q_growth_trend(spark, sf_dir):
-    return TR.growth_trend(B.weekly_counts(rollup(spark, sf_dir)))
+    return TR.growth_trend(weekly(spark, sf_dir))
 
 
 @register("forecast_all")
 def q_forecast_all(spark, sf_dir):
-    return TR.forecast_all(B.weekly_counts(rollup(spark, sf_dir)))
+    return TR.forecast_all(weekly(spark, sf_dir))
 
 
 @register("history_forecast")
 def q_history_forecast(spark, sf_dir):
-    return TR.history_forecast(B.weekly_counts(rollup(spark, sf_dir)))
+    return TR.history_forecast(weekly(spark, sf_dir))
 
 
 @register("weekday_hour_pivot")
 def q_weekday_hour_pivot(spark, sf_dir):
-    return V.weekday_hour_pivot(rollup(spark, sf_dir))
+    return V.weekday_hour_pivot(part(spark, sf_dir, "slot"))
 
 
 @register("tag_mix")
 def q_tag_mix(spark, sf_dir):
-    return V.tag_mix(rollup(spark, sf_dir))
+    return V.tag_mix(part(spark, sf_dir, "tag"))
 
 
 @register("hourly_density")
 def q_hourly_density(spark, sf_dir):
-    return V.hourly_density(rollup(spark, sf_dir))
+    return V.hourly_density(part(spark, sf_dir, "slot"))
 
 
 @register("hourly_totals")
@@ -340,7 +354,7 @@ def q_tier_labels(spark, sf_dir):
 
 @register("whatif_rank")
 def q_whatif_rank(spark, sf_dir):
-    return SC.whatif_top(SC.whatif_ranks(hot(spark, sf_dir), *WHATIF_WEIGHTS))
+    return SC.whatif_first(hot(spark, sf_dir), *WHATIF_WEIGHTS)
 
 
 @register("whatif_movers")
@@ -439,14 +453,14 @@ def q_priority_report_display(spark, sf_dir):
 
 @register("weekday_hour_counts")
 def q_weekday_hour_counts(spark, sf_dir):
-    return V.weekday_hour_counts(rollup(spark, sf_dir))
+    return V.weekday_hour_counts(part(spark, sf_dir, "slot"))
 
 
 @register("forecast_reference_labels")
 def q_forecast_reference_labels(spark, sf_dir):
     """Forecasts dated like the reference's weekly series (Sundays 13 and 20
     days after the last history Monday)."""
-    return TR.forecast_all(B.weekly_counts(rollup(spark, sf_dir)), label="reference")
+    return TR.forecast_all(weekly(spark, sf_dir), label="reference")
 
 
 VIEW_STATIONS = ["PS-1", "PS-2"]
@@ -464,3 +478,50 @@ def q_patrol_station_pool(spark, sf_dir):
     filter included."""
     return P.patrol_schedule(hot(spark, sf_dir), PATROL_OFFICERS, PATROL_HOURS,
                              stations=VIEW_STATIONS, tiers=POOL_TIERS)
+
+
+@register("quality_counts")
+def q_quality_counts(spark, sf_dir):
+    """Records that cleaning leaves out or reads leniently, by reason."""
+    return quality_counts(violations_raw(spark, sf_dir))
+
+
+def written_raw(spark, sf_dir, parts: int = 3) -> str:
+    """Raw records as CSV files in the shared folder, by id, in ``parts``
+    files of consecutive ids."""
+    import uuid
+
+    from curbscope.session import ensure_checkpoint_dir
+
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/ordered-csv-{uuid.uuid4().hex}"
+    raw = violations_raw(spark, sf_dir)
+    (raw.repartitionByRange(parts, F.col("id").cast("long")).sortWithinPartitions(F.col("id").cast("long"))
+     .write.option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+@register("scan_first_rows")
+def q_scan_first_rows(spark, sf_dir):
+    """First rows in file order of a folder of CSV files, no sort key."""
+    path = written_raw(spark, sf_dir)
+    return read_violations(spark, path, nrows=SCAN_LIMIT_ROWS).select("id", "latitude", "police_station")
+
+
+@register("tier_invariants")
+def q_tier_invariants(spark, sf_dir):
+    """What holds for any right tiering: every cell has a tier, at most k
+    clusters, tiers in the order of their mean scores, and no cell is closer
+    to another cluster's centroid than to its own."""
+    return tier_invariants(build(spark, sf_dir, tiering="kmeans").hotspots)
+
+
+@register("cached_build")
+def q_cached_build(spark, sf_dir):
+    """The cached build asked for twice: the second time the same tables."""
+    from curbscope.plans import cache
+
+    path = written_raw(spark, sf_dir)
+    first, second = (cache.cached_build(spark, path) for _ in range(2))
+    cells = second.hotspots.select("hex_id", "violation_count", "congestion_impact_score")
+    return cells.withColumn("reused", F.lit(first is second))

@@ -75,7 +75,11 @@ TIER_COLORS = {
 DEFAULT_CENTER = (12.9716, 77.5946)
 
 # --- fixed values: mean hexagon cell area (km^2) by resolution --------------
-HEX_AREA_KM2 = {7: 5.161, 8: 0.737, 9: 0.105, 10: 0.015}
+HEX_AREA_KM2 = {
+    0: 4357449.416, 1: 609788.442, 2: 86801.780, 3: 12393.435, 4: 1770.348, 5: 252.904,
+    6: 36.129, 7: 5.161, 8: 0.737, 9: 0.105, 10: 0.015, 11: 0.002150643, 12: 0.000307092,
+    13: 0.000043870, 14: 0.000006267, 15: 0.000000895,
+}
 KM_PER_DEG_LAT = 110.574
 KM_PER_DEG_LON_EQUATOR = 111.32
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbscope.sources.violations import spread_input
 
 # --- fixed values: event type -> stringified violation list -----------------
 EVENT_TAGS = {
@@ -72,7 +71,7 @@ EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type"]
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan ``events``, pruned to the four columns the derivation uses."""
-    return spread_input(spark.read.parquet(f"{sf_dir}/events.parquet").select(*EVENT_COLUMNS))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(*EVENT_COLUMNS)
 
 
 def violations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

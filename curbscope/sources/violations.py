@@ -10,8 +10,9 @@ the null filter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curbscope.functions.text import normalize_missing
 from curbscope.schema import RAW_COLUMNS, RAW_SCHEMA, TEXT_NULL_COLUMNS
@@ -27,20 +28,8 @@ def _check_columns(present: list[str], path: str) -> None:
         raise MissingColumnsError(f"{path}: missing required columns {missing}")
 
 
-def spread_input(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that arrives in at most half as many splits as
-    there are task slots (e.g. one unsplittable file), so record-level work
-    uses every core. Inputs that already arrive in many splits are left
-    untouched and never pay this shuffle (a full shuffle of the input is
-    only worth it when it at least doubles the parallelism)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= slots:
-        return df.repartition(slots)
-    return df
-
-
-def _project(df: DataFrame) -> DataFrame:
-    cols = []
+def _project(df: DataFrame, more: list[Column] = ()) -> DataFrame:
+    cols = list(more)
     for field in RAW_SCHEMA.fields:
         c = F.col(field.name).cast(field.dataType)
         if field.name in TEXT_NULL_COLUMNS:
@@ -49,50 +38,108 @@ def _project(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_violations_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Read a header CSV holding (at least) the 10 raw columns.
+def _headers(spark: SparkSession, files: list[str]) -> list[list[str]]:
+    """Column names of each file, read side by side (one short job each)."""
+    from concurrent.futures import ThreadPoolExecutor
 
-    The header is read first (one small job over the first line) to bind
-    columns by name; the data scan then uses a typed schema over every
-    header column, so extra columns are pruned after the scan and no type
-    inference pass is made. ``multi_line=True`` is only needed when quoted
-    fields contain line breaks; it stops Spark from splitting a large file
-    across tasks, so it is off by default.
-    """
-    from pyspark.sql import types as T
+    def one(path: str) -> list[str]:
+        return spark.read.option("header", True).option("escape", '"').csv(path).columns
 
-    header = spark.read.option("header", True).csv(path).columns
-    _check_columns(header, path)
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return list(pool.map(one, files))
+
+
+def header_schema(header: list[str]) -> T.StructType:
+    """Typed schema over every column of a header, by name."""
     typed = {f.name: f.dataType for f in RAW_SCHEMA.fields}
-    schema = T.StructType([T.StructField(c, typed.get(c, T.StringType())) for c in header])
-    df = (spark.read.schema(schema)
-          .option("header", True)
-          .option("mode", "PERMISSIVE")
-          .option("multiLine", bool(multi_line))
-          .option("escape", '"')
-          .csv(path))
-    return _project(spread_input(df))
+    return T.StructType([T.StructField(c, typed.get(c, T.StringType())) for c in header])
 
 
-def read_violations_parquet(spark: SparkSession, path: str) -> DataFrame:
+def read_violations_csv(spark: SparkSession, path: str, multi_line: bool = False,
+                        nrows: int | None = None, same_header: bool = False) -> DataFrame:
+    """Read header CSV files holding (at least) the 10 raw columns.
+
+    Columns are bound by name in every file: the headers are read first, and
+    files of one header are one typed scan (no type inference pass, extra
+    columns are pruned). ``same_header=True`` reads one header only, for
+    folders of very many files; a file with another header is then an error,
+    never a wrong binding. ``multi_line=True`` is only needed when quoted
+    fields contain line breaks; it stops Spark from splitting a large file
+    across tasks, so it is off by default. ``nrows`` keeps the first rows in
+    file order.
+    """
+    files = sorted(spark.read.schema("x string").csv(path).inputFiles())
+    groups: dict[tuple, list[str]] = {}
+    if same_header or len(files) <= 1:
+        groups[tuple(_headers(spark, [path])[0])] = [path]
+    else:
+        for file, header in zip(files, _headers(spark, files)):
+            groups.setdefault(tuple(header), []).append(file)
+    for header, own in groups.items():
+        _check_columns(list(header), own[0])
+    scans = [
+        (spark.read.schema(header_schema(list(header)))
+         .option("header", True)
+         .option("enforceSchema", False)
+         .option("mode", "PERMISSIVE")
+         .option("multiLine", bool(multi_line))
+         .option("escape", '"')
+         .csv(own))
+        for header, own in groups.items()
+    ]
+    return _scan(scans, nrows)
+
+
+def read_violations_parquet(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     _check_columns(df.columns, path)
-    return _project(spread_input(df.select(*RAW_COLUMNS)))
+    return _scan([df], nrows)
+
+
+def _scan(scans: list[DataFrame], nrows: int | None) -> DataFrame:
+    place = [] if nrows is None else _place()
+    parts = [_project(df, place) for df in scans]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out if nrows is None else first_rows(out, nrows)
+
+
+def _place() -> list[Column]:
+    """Where a scanned row stands: its file, the split's start in it and a
+    number that rises within the split."""
+    return [F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_mid")]
+
+
+def first_rows(placed: DataFrame, nrows: int) -> DataFrame:
+    """First ``nrows`` rows in file order (files by path, rows as they stand
+    in them) of a scan with the ``_place`` columns. Splits are counted, a
+    running sum over the splits (one row each) gives where each one starts,
+    and rows are kept by their number: no sort and no single-task limit."""
+    splits = placed.groupBy("_file", "_start").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    wanted = splits.filter(F.col("_before") < nrows).drop("_n")
+    number = F.col("_before") + F.col("_mid") - F.col("_first")
+    return (placed.join(wanted, ["_file", "_start"]).filter(number < nrows)
+            .select(*RAW_COLUMNS))
 
 
 def read_violations(spark: SparkSession, path: str, fmt: str = "csv",
                     nrows: int | None = None, order_by=None) -> DataFrame:
     """Scan raw records; ``nrows`` keeps the first *n* raw rows before any
-    cleaning (``order_by`` makes "first" deterministic; without it Spark
-    takes rows in scan order)."""
-    df = read_violations_csv(spark, path) if fmt == "csv" else read_violations_parquet(spark, path)
-    return limit_rows(df, nrows, order_by)
-
-
-def limit_rows(df: DataFrame, nrows: int | None, order_by=None) -> DataFrame:
-    """First ``nrows`` rows (``order_by``: a column name or Column)."""
-    if nrows is None:
-        return df
-    if order_by is not None:
-        df = df.orderBy(order_by)
-    return df.limit(int(nrows))
+    cleaning, in file order, or by ``order_by`` if it is given."""
+    in_order = nrows if order_by is None else None
+    if fmt == "csv":
+        df = read_violations_csv(spark, path, nrows=in_order)
+    else:
+        df = read_violations_parquet(spark, path, nrows=in_order)
+    return df if order_by is None else limit_rows(df, nrows, order_by)
+
+
+def limit_rows(df: DataFrame, nrows: int | None, order_by) -> DataFrame:
+    """First ``nrows`` rows by ``order_by`` (a column name or Column)."""
+    return df if nrows is None else df.orderBy(order_by).limit(int(nrows))

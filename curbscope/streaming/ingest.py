@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,17 +11,32 @@ from curbscope.operators.clean import add_hex_id, clean_violations
 from curbscope.operators.rollup import KEY_COLUMNS, cell_rollup
 from curbscope.schema import RAW_SCHEMA
 from curbscope.sources.events import violations_from_events
-from curbscope.sources.violations import _project
+from curbscope.sources.violations import _check_columns, _project, header_schema
 
 
 def violation_stream(spark: SparkSession, source: str, fmt: str = "csv",
                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming scan of raw violation files (typed schema, no inference)."""
-    reader = spark.readStream.schema(RAW_SCHEMA)
+    """Streaming scan of raw violation files (typed schema, no inference).
+
+    CSV columns are bound by the header of the files that are there when the
+    stream starts (the raw columns in their fixed order if there are none);
+    a later file with another header fails the query instead of being bound
+    by position."""
+    schema = RAW_SCHEMA
+    if fmt == "csv":
+        try:
+            header = spark.read.option("header", True).option("escape", '"').csv(source).columns
+        except AnalysisException:
+            header = []
+        if header:
+            _check_columns(header, source)
+            schema = header_schema(header)
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     if fmt == "csv":
-        reader = reader.option("header", True).option("escape", '"')
+        reader = (reader.option("header", True).option("escape", '"')
+                  .option("enforceSchema", False))
     return _project(reader.format(fmt).load(source))
 
 

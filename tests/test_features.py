@@ -113,3 +113,22 @@ def test_week_start_is_monday(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 7),), (dt.date(2024, 1, 8),)], "d date")
     got = [r.w for r in df.select(B.week_start(F.col("d")).alias("w")).orderBy("d").collect()]
     assert got == [dt.date(2024, 1, 1), dt.date(2024, 1, 8)]
+
+
+def test_first_busy_hour_is_kept_at_any_coverage(spark):
+    counts = spark.createDataFrame([(8, 10), (9, 30), (10, 20)], "hour int, n long")
+    assert [r.hour for r in B.busy_hours_from_counts(counts, 0.0).collect()] == [9]
+    assert [r.hour for r in B.busy_hours_from_counts(counts, 0.5).collect()] == [9]
+    assert B.busy_hours_from_counts(counts.limit(0), 0.0).count() == 0
+
+
+def test_rollup_of_one_kind(spark):
+    from curbscope.operators.rollup import cell_rollup, kind
+    from curbscope.plans import registry as R
+    from tests.conftest import SF001
+
+    recs = R.records(spark, SF001)
+    whole = cell_rollup(recs)
+    for name in ("day", "slot", "tag"):
+        own = cell_rollup(recs, (name,))
+        assert sorted(map(str, own.collect())) == sorted(map(str, kind(whole, name).collect()))

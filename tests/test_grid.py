@@ -16,7 +16,7 @@ def centre(q, r, g):
     return g.size * math.sqrt(3) * (q + r / 2), g.size * 1.5 * r
 
 
-@pytest.mark.parametrize("res", [7, 8, 9, 10])
+@pytest.mark.parametrize("res", [5, 7, 8, 9, 10, 12])
 def test_points_bin_to_nearest_centre(spark, res):
     g = hex_grid_constants(res)
     rnd = random.Random(res)
@@ -43,4 +43,4 @@ def test_cell_area_matches_resolution():
         g = hex_grid_constants(res)
         assert 3 * math.sqrt(3) / 2 * g.size ** 2 == pytest.approx(area)
     with pytest.raises(ValueError):
-        hex_grid_constants(12)
+        hex_grid_constants(16)

@@ -100,11 +100,68 @@ def test_cached_build_reuses_tables(spark, csv_path):
     cache.clear()
 
 
-def test_spread_only_small_split_counts(spark):
-    from curbscope.sources.violations import spread_input
-
-    slots = spark.sparkContext.defaultParallelism
-    one = spark.range(1000).coalesce(1)
-    assert spread_input(one).rdd.getNumPartitions() == slots
-    many = spark.range(1000).repartition(slots)
-    assert spread_input(many) is many           # no extra shuffle planned
+RAW = ["id", "latitude", "longitude", "location", "vehicle_type", "violation_type",
+          "offence_code", "created_datetime", "police_station", "junction_name"]
+
+
+def _write(path, header, ids):
+    row = {"latitude": "12.9", "longitude": "77.5", "location": "", "vehicle_type": "CAR", "violation_type": "[]",
+           "offence_code": "", "created_datetime": "2024-01-01 10:00:00+00", "police_station": "PS", "junction_name": "J"}
+    with open(path, "w") as f:
+        f.write(",".join(header) + "\n")
+        for i in ids:
+            f.write(",".join(({"id": f"V{i:05d}", "extra": "x"} | row)[c] for c in header) + "\n")
+
+
+def test_first_rows_in_file_order(spark, tmp_path):
+    _write(tmp_path / "b.csv", RAW, range(1000, 3000))
+    _write(tmp_path / "a.csv", list(reversed(RAW)), range(0, 1000))
+    _write(tmp_path / "c.csv", ["extra", *RAW], range(3000, 3010))
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        for n in (10, 1500, 3005, 9999):
+            got = sorted(r.id for r in read_violations(spark, str(tmp_path), nrows=n).collect())
+            assert got == [f"V{i:05d}" for i in range(min(n, 3010))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+
+
+def test_columns_are_bound_by_name_in_every_file(spark, tmp_path):
+    _write(tmp_path / "a.csv", RAW, range(3))
+    _write(tmp_path / "b.csv", ["extra", *reversed(RAW)], range(3, 6))
+    rows = read_violations_csv(spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in rows) == [f"V{i:05d}" for i in range(6)]
+    assert {(r.latitude, r.longitude, r.police_station) for r in rows} == {(12.9, 77.5, "PS")}
+    with pytest.raises(Exception, match="(?i)header"):
+        read_violations_csv(spark, str(tmp_path), same_header=True).collect()
+
+
+def test_stream_binds_by_header_or_fails(spark, tmp_path):
+    from curbscope.streaming.ingest import violation_stream
+
+    def run(folder, name):
+        q = violation_stream(spark, str(folder)).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
+    one = tmp_path / "one"
+    one.mkdir()
+    _write(one / "a.csv", ["extra", *RAW], range(4))
+    assert sorted((r.id, r.latitude) for r in run(one, "s_one")) == [(f"V{i:05d}", 12.9) for i in range(4)]
+    two = tmp_path / "two"
+    two.mkdir()
+    _write(two / "a.csv", RAW, range(4))
+    _write(two / "b.csv", list(reversed(RAW)), range(4))
+    with pytest.raises(Exception, match="(?i)header"):
+        run(two, "s_two")
+
+
+def test_export_keeps_blanks_and_quotes(spark, tmp_path):
+    df = spark.createDataFrame([("9:0:0", ' PS "1" ,x ', 50.0), ("9:0:1", "", 60.0)],
+                               "hex_id string, dominant_station string, congestion_impact_score double")
+    export_hotspots_csv(df, str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert '" PS ""1"" ,x "' in text and text.index("9:0:1") < text.index("9:0:0")
+    back = read_hotspots_csv(spark, str(tmp_path / "out"), df)
+    assert ' PS "1" ,x ' in {r.dominant_station for r in back.collect()}

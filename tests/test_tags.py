@@ -108,3 +108,11 @@ def test_fast_path_equals_general_path(spark):
     assert len(accepted) > 150
     bad = [(r.s, r.fast, r.general) for r in accepted if r.fast != r.general]
     assert not bad, bad[:5]
+
+
+def test_a_raw_line_break_in_an_item_is_no_list(spark):
+    texts = ['["A\nB","C"]', '["A",\n"B"]', '["A\\nB"]', "['A\rB']"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, violation_type string")
+    want = {0: [texts[0]], 1: ["A", "B"], 2: ["A\nB"], 3: [texts[3]]}
+    assert {r.k: r.t for r in df.select("k", parse_tags(F.col("violation_type")).alias("t")).collect()} == want
+    assert {r.k: r.tags for r in with_tags(df).collect()} == want

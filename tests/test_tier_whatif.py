@@ -82,3 +82,26 @@ def test_whatif_single_weight(spark):
 def test_whatif_all_zero_is_rejected(spark):
     with pytest.raises(ValueError):
         whatif_ranks(scored(spark), 0, 0, 0, 0)
+
+
+def test_layout_does_not_follow_the_number_of_cells():
+    import inspect
+
+    from curbscope.operators import tier
+
+    default = inspect.signature(tier.tier_hotspots).parameters["layout_partitions"].default
+    assert default == tier.LAYOUT_PARTITIONS and not hasattr(tier, "layout_for")
+
+
+def test_invariants_of_right_and_wrong_tiers(spark):
+    from curbscope.operators.tier import tier_hotspots, tier_invariants
+    from curbscope.schema import TIER_FEATURES
+
+    rows = [(f"h{i}", float(25 * (i % 4) + i % 3), *[float((i % 4) * 10 + (i * j) % 2) for j in range(len(TIER_FEATURES))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "hex_id string, congestion_impact_score double, " + ", ".join(f"{c} double" for c in TIER_FEATURES))
+    good = tier_hotspots(df, n_init=3)
+    assert tuple(tier_invariants(good).first()) == (40, 40, True, True, True)
+    moved = good.withColumn("cluster", F.when(F.col("hex_id") == "h0", (F.col("cluster") + 1) % 4).otherwise(F.col("cluster")))
+    assert not tier_invariants(moved.withColumn("tier", F.col("cluster").cast("string")).withColumn("tier", F.lit("Low"))).first().nearest
+    one = tier_hotspots(df.limit(1))
+    assert tuple(tier_invariants(one).first()) == (1, 1, True, True, True)
