@@ -34,7 +34,8 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def tiles(df: DataFrame, keys: list[str], item: str, size: int) -> DataFrame:
+def tiles(df: DataFrame, keys: list[str], item: str, size: int, weight: str | None = None,
+          heavy: int = 1 << 22) -> DataFrame:
     """Rows dealt out so that all pairs of a group meet, in bounded tiles.
 
     Groups (equal ``keys``) of one row go. A group of up to ``size`` rows is
@@ -42,9 +43,11 @@ def tiles(df: DataFrame, keys: list[str], item: str, size: int) -> DataFrame:
     chunks of about ``size`` rows, and each pair of chunks _lo <= _hi is a
     tile: a row with _side = 0 is of chunk _lo, one with _side = 1 of chunk
     _hi. In a tile with _lo < _hi only pairs across the two sides count.
+    With a ``weight`` column, chunks have at most about ``heavy`` of it.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    parts = F.ceil(F.col("_n") / F.lit(size)).cast("int")
+    total = F.sum(weight) if weight else F.lit(0)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), total.alias("_w")).where("_n > 1")
+    parts = F.ceil(F.least(F.col("_n"), F.greatest(F.col("_n") / F.lit(size), F.col("_w") / F.lit(heavy)))).cast("int")
     return (
         df.join(counts, keys)
         .withColumn("_parts", parts)
@@ -53,7 +56,7 @@ def tiles(df: DataFrame, keys: list[str], item: str, size: int) -> DataFrame:
         .withColumn("_lo", F.least("_chunk", "_other"))
         .withColumn("_hi", F.greatest("_chunk", "_other"))
         .withColumn("_side", (F.col("_chunk") != F.col("_lo")).cast("int"))
-        .drop("_n", "_parts", "_chunk", "_other")
+        .drop("_n", "_w", "_parts", "_chunk", "_other")
     )
 
 
@@ -111,21 +114,26 @@ def starts_of(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of complete groups from batches of sorted rows."""
-    rest: pa.Table | None = None
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1) -> Iterator[pa.Table]:
+    """Tables of complete groups from batches of sorted rows, of at least
+    ``rows`` rows each but for the last."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table]).combine_chunks()
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
         cut = int(starts_of(table, keys)[-1])
         if cut:
             yield table.slice(0, cut)
-        rest = table.slice(cut)
-    if rest is not None:
-        yield rest
+            table = table.slice(cut).combine_chunks()
+        held, size = table.to_batches(), table.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -107,6 +107,9 @@ def keyed(fps: DataFrame, masks: list[int], fp: str = "fp") -> DataFrame:
 
 
 KEYS = ["table", "key", "_lo", "_hi"]
+#: Rows that are compared in one go, about, and a factor that mixes bits.
+ROWS = 1 << 17
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def inner_masks(masks: list[int], max_bits: int) -> np.ndarray:
@@ -131,9 +134,11 @@ def close_pairs(table: pa.Table, fp: np.ndarray, max_bits: int, inner: np.ndarra
     across = table.column("_lo").to_numpy() < table.column("_hi").to_numpy()
     for part in range(max_bits + 1):
         value = fp & inner[number, part]
-        order = np.lexsort((value, group))
-        g, v = group[order], value[order]
-        first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1]))))
+        with np.errstate(over="ignore"):
+            mixed = (value ^ (group.astype(np.uint64) * ODD)) * ODD
+        order = np.argsort(mixed)
+        v = mixed[order]
+        first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
         k, step = np.arange(n), 0
         while True:
@@ -143,7 +148,7 @@ def close_pairs(table: pa.Table, fp: np.ndarray, max_bits: int, inner: np.ndarra
                 break
             i, j = order[k], order[k + step]
             ok = np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
-            ok &= ~across[i] | (side[i] != side[j])
+            ok &= (group[i] == group[j]) & (~across[i] | (side[i] != side[j]))
             if ok.any():
                 yield i[ok], j[ok]
 
@@ -157,7 +162,7 @@ def hamming_edges(fps: DataFrame, n: int, max_bits: int) -> DataFrame:
     inner = inner_masks(masks, max_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.whole_groups(batches, KEYS):
+        for table in common.whole_groups(batches, KEYS, ROWS):
             own = table.column("fp").to_numpy()
             fp, parent = own.view(np.uint64), np.arange(table.num_rows)
             for i, j in close_pairs(table, fp, max_bits, inner):
