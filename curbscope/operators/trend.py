@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbscope.operators.busy import weekly_counts  # noqa: F401  (re-export)
-
 
 def ols_sums(weekly: DataFrame) -> DataFrame:
     """(hex_id, n, sx, sxx, sxy, sy, last_week) from (hex_id, week, count)."""

@@ -44,6 +44,7 @@ def priority_list(view: DataFrame, top_n: int = 25) -> DataFrame:
     return with_action(view.orderBy(*cis_order()).limit(int(top_n)))
 
 
+# fixed values: the report's column names (output contract)
 REPORT_COLUMNS = [
     ("hex_id", "hex_id"), ("dominant_station", "station"),
     ("violation_count", "violations"), ("congestion_impact_score", "cis"),

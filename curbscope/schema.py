@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 # Input / output schemas
 # ---------------------------------------------------------------------------
+# fixed values: the input contract's column names
 RAW_COLUMNS = [
     "id", "latitude", "longitude", "location", "vehicle_type",
     "violation_type", "offence_code", "created_datetime",
