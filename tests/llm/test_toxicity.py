@@ -34,12 +34,25 @@ def test_held_out_rows(spark, make_docs):
     assert sum((found[i].p_low_quality >= 0.5) == (q == 0) for i, q, _ in labels[350:]) / 150 >= 0.98
 
 
-def test_later_models_use_earlier_probabilities():
+def test_later_models_get_out_of_fold_probabilities(monkeypatch):
     rng = np.random.default_rng(1)
-    first = rng.random(900) < 0.5
+    first = rng.random(300) < 0.5
     rows = [np.array([int(f) if rng.random() < 0.9 else 2]) for f in first]
+    seen, fit = [], toxicity.fit
+
+    def noted(rows_, dense, y, n, **more):
+        seen.append((len(y), dense))
+        return fit(rows_, dense, y, n, **more)
+
+    monkeypatch.setattr(toxicity, "fit", noted)
     chain = toxicity.Chain(["a", "b", "c"], rows, np.column_stack((first, first)).astype(int))
-    assert chain.models[0][1].size == 0 and chain.models[1][1].size == 1 and chain.models[1][1][0] > 0
+    second = next(dense for m, dense in seen if m == 300 and dense.shape[1] == 1)
+    fold = np.arange(300) % toxicity.FOLDS
+    for k in range(toxicity.FOLDS):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        m = fit([rows[i] for i in rest], np.zeros((len(rest), 0)), first[rest].astype(float), 3)
+        assert second[own, 0] == pytest.approx(toxicity.linear([rows[i] for i in own], np.zeros((len(own), 0)), m))
+    assert chain.models[0][1].size == 0 and chain.models[1][1].size == 1
     p = chain.predict([np.array([0]), np.array([1])])
     assert p.shape == (2, 2) and p[0, 1] < 0.2 and p[1, 1] > 0.8
 
