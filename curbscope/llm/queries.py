@@ -40,7 +40,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, count_cols=("n_lines", "n_removed"), grams=True)
+    return line_dedup.dedup_lines(docs, count_cols=("n_lines", "n_removed"), min_words=1, grams=True)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
