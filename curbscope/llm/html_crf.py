@@ -33,7 +33,9 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript iframe svg math object head title select textarea button".split())
+UNSEEN = frozenset("script style template title".split())
+#: Elements that a head can hold; any other, or text, ends a head that is open.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noscript script style template title".split())
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav "
     "ol p pre section table ul".split()
@@ -69,7 +71,20 @@ class Blocks(HTMLParser):
         self.unseen -= sum(t in UNSEEN for t, _ in self.path[k:])
         del self.path[k:]
 
+    def end_head(self) -> None:
+        """Ends a head whose end tag is left out, with all that is open in it."""
+        for k, (t, _) in enumerate(self.path):
+            if t == "template":
+                return
+            if t == "head":
+                if all(x != "template" for x, _ in self.path[k:]):
+                    self.flush()
+                    self.pop_to(k)
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag == "br":
             self.parts.append(" ")
             return
@@ -111,6 +126,8 @@ class Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.unseen:
             return
+        if self.path and self.path[-1][0] == "head" and data.strip():
+            self.end_head()
         self.parts.append(data)
         if any(t == "a" for t, _ in self.path[-4:]):
             self.linked += len(data.strip())

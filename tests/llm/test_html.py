@@ -66,3 +66,15 @@ def test_query_rows(spark, model):
 def test_very_long_pages(model):
     html = "<article>" + "".join(f"<p>Paragraph number {k} of the text.</p>" for k in range(20_000)) + "</article>"
     assert html_crf.main_text(html, model).count("\n") == 19_999
+
+
+def test_pages_without_end_tags(model):
+    texts = lambda h: [t for t, _, _ in html_crf.blocks(h)]
+    assert texts("<html><head><title>t</title><meta name=a><body><p>one</p><p>two") == ["one", "two"]
+    assert texts("<head><title>t</title><link rel=x>text<p>one") == ["text", "one"]
+    assert texts("<head><template><div>no</div></template><title>t</title><div>one</div>") == ["one"]
+    assert texts("<div><button>b<p>one</p></div><div><object><p>two</div><svg><text>x</text><p>three") == ["b", "one", "two", "x", "three"]
+    assert texts("<p>a <math><mi>y</mi></math></p><noscript><p>b</noscript><div><template>no</div><p>c") == ["a", "y", "b", "c"]
+    for html, _ in html_pages.labelled(20, seed=4):
+        open_head = html.replace("</head>", "")
+        assert open_head != html and html_crf.main_text(open_head, model) == html_crf.main_text(html, model) != ""
