@@ -7,7 +7,8 @@ out-of-fold: every labelled row is predicted by a model that has not seen it,
 so later models learn how far to trust what they will get.
 
 Features are present or not: words, beginnings of words (so that other
-endings of a known stem count), runs of punctuation and repeated words. The
+endings of a known stem count), n-grams of long runs of letters and of scripts
+without spaces, runs of punctuation and repeated words. The
 models are fitted on a bounded, documented sample of labelled rows (about
 ``sample_rows``, chosen by a hash) and use at most ``max_features`` features
 for each category, those whose share among its positive rows deviates most.
@@ -37,20 +38,30 @@ FOLDS = 3
 #: Words whose features a worker keeps.
 CACHE = 150_000
 PARTS = re.compile(r"([^\W_]+)|([^\w\s]+)")
+#: Characters of a word that is one feature, and of a run of marks.
+LONGEST, MARKS = 32, 4
+#: Thai to Myanmar, Khmer, kana and Han: scripts that set no spaces between words.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 
 #: Category, label column and the label that is positive, in chain order.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
 
-def word_features(word: str) -> list[str]:
-    """Features of a run of characters that are no white space."""
-    out = []
-    for letters, marks in PARTS.findall(word[:256]):
+def word_features(word: str) -> set[str]:
+    """Features of a run of characters that are no white space, all of it. A
+    long run of letters, or one in a script without spaces, has its n-grams all
+    along, under the names of beginnings of words."""
+    out: set[str] = set()
+    for part in PARTS.finditer(word):
+        letters, marks = part.groups()
         if marks:
-            out.append("p:" + marks[:4])
+            out.update(f"p:{marks[k:k + MARKS]}" for k in range(max(1, len(marks) - MARKS + 1)))
+            continue
+        out.add("w:" + letters[:LONGEST])
+        if len(letters) > LONGEST or UNSPACED.search(letters):
+            out.update(f"{n}:{letters[k:k + n]}" for n in (2, *PREFIXES) for k in range(len(letters) - n + 1))
         else:
-            out.append("w:" + letters[:32])
-            out.extend(f"{n}:{letters[:n]}" for n in PREFIXES if len(letters) >= n)
+            out.update(f"{n}:{letters[:n]}" for n in PREFIXES if len(letters) >= n)
     return out
 
 

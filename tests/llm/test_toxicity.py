@@ -77,3 +77,14 @@ def test_odd_rows(spark, make_docs, labels):
     got = toxicity.toxicity(make_docs(odd_rows()), known).collect()
     assert len(got) == len(odd_rows()) and all(0 <= r.p_toxic <= 1 for r in got)
     assert toxicity.toxicity(make_docs([]), known).count() == 0
+
+
+def test_whole_runs_are_read():
+    from curbscope.llm.toxicity import word_features
+
+    for joint in "./_,":
+        assert "w:idiot" in word_features(joint.join(["word"] * 200 + ["idiot"]))
+    assert "5:idiot" in word_features("x" * 500 + "idiot" + "y" * 500)
+    assert "2:馬鹿" in word_features("今日はとても良い天気ですね馬鹿")
+    assert "p:#!?&" in word_features("." * 300 + "#!?&")
+    assert word_features("hated!") == {"w:hated", "3:hat", "4:hate", "5:hated", "p:!"}
