@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, decontam, embed_dedup, html_crf, langid, line_dedup, maxscore, mixing, simhash, topk, toxicity
+from . import bpe, conv_trie, ctw, decontam, embed_dedup, html_crf, langid, line_dedup, maxscore, mixing, simhash, topk, toxicity
 
 #: The vocabulary of the tokenizing query.
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,6 +64,11 @@ def op11_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(found).drop("spans")
 
 
+def op12_conv_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_trie.conversation_trie(
+        table(spark, sf_dir, "conversations"), base=conv_trie.hundred, share=conv_trie.drawn_share, most=5)
+
+
 def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -73,9 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_langid, op2_embed_dedup, op3_bpe, op4_topk, op5_simhash,
         op6_line_dedup, op7_toxicity, op8_ctw, op9_html, op10_mixing,
-        op11_decontam, op13_maxscore,
+        op11_decontam, op12_conv_trie, op13_maxscore,
     )
 }
 
 SQL: dict[str, str] = {"op4_topk": topk.SQL, "op10_mixing": mixing.SQL, "op11_decontam": decontam.SQL,
+                       "op12_conv_trie": conv_trie.SQL,
                        "op13_maxscore": maxscore.SQL}
