@@ -9,11 +9,11 @@ document's length factor m, all integers.
    each whole text; the counts are written down.
 2. Number of documents, their length and document frequencies are summed over
    them; weights follow.
-3. ``build_index``: the counts are cut into shards of about
-   ``SHARD_POSTINGS`` postings. Each holds a list of (document, impact) and
-   its largest impact for every term, and for every pair of terms that are
-   neighbours by weight in some query the list of the documents that hold
-   both, with the largest joint impact. One row a shard, written down.
+3. The counts are read again in shards of about ``SHARD_POSTINGS`` postings.
+   Each shard's index is computed before its queries: a list of (document,
+   impact) and the largest impact for every term, and for every pair of terms
+   that are neighbours by weight in some query the list of the documents that
+   hold both, with the largest joint impact.
 4. ``search_shard``: bounds of the lightest i terms combine single maxima and
    joint maxima of disjoint neighbours by dynamic programming, so they are
    at most the sum of the single maxima. Terms whose bound stays below the
@@ -151,16 +151,7 @@ class Shard:
     numbers in the shard, ascending) and ``impact``; those of pair p likewise
     with the sum of both impacts; ``top`` and ``joint_top`` are the largest."""
 
-    PARTS = ("at", "docs", "impact", "pair_at", "pair_docs", "joint")
-    KINDS = (np.int64, np.int32, np.int64, np.int64, np.int32, np.int64)
-
-    def __init__(self, rows: int, *parts: np.ndarray):
-        self.rows = rows
-        self.at, self.docs, self.impact, self.pair_at, self.pair_docs, self.joint = parts
-        self.top, self.joint_top = _tops(self.at, self.impact), _tops(self.pair_at, self.joint)
-
-    @classmethod
-    def build(cls, queries: Queries, row: np.ndarray, term: np.ndarray, impact: np.ndarray, rows: int) -> Shard:
+    def __init__(self, queries: Queries, row: np.ndarray, term: np.ndarray, impact: np.ndarray, rows: int):
         keep = impact > 0
         row, term, impact = row[keep], term[keep], impact[keep]
         order = np.lexsort((row, term))
@@ -184,8 +175,10 @@ class Shard:
                 both_docs.append(own[met])
                 both.append(other[met] + impact[at[b]: at[b + 1]][met])
                 sizes[p] = len(met)
-        pair_at = np.concatenate(([0], np.cumsum(sizes)))
-        return cls(rows, at, row, impact, pair_at, np.concatenate(both_docs), np.concatenate(both))
+        self.rows, self.at, self.docs, self.impact = rows, at, row, impact
+        self.pair_at = np.concatenate(([0], np.cumsum(sizes)))
+        self.pair_docs, self.joint = np.concatenate(both_docs), np.concatenate(both)
+        self.top, self.joint_top = _tops(at, impact), _tops(self.pair_at, self.joint)
 
 
 def _tops(at: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -280,73 +273,61 @@ def _best(score: np.ndarray, known: np.ndarray, doc: np.ndarray, k: int) -> np.n
     return some[np.lexsort((doc[some], known[some], -score[some]))[:k]]
 
 
-def build_index(vectors: DataFrame, queries, docs: int, length: int) -> DataFrame:
-    """One row a shard: its document ids and the parts of its ``Shard``."""
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts, size, rows = queries.value, [], 0, 0
-        for batch in batches:
-            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy())))
-            start = 0
-            while start < batch.num_rows:   # as many rows as the shard has room for, one at least
-                end = int(np.searchsorted(ends, ends[start] + SHARD_POSTINGS - size, side="right")) - 1
-                end = max(min(end, batch.num_rows, start + SHARD_DOCS - rows), start + (0 if parts else 1))
-                if end > start:
-                    parts.append(batch.slice(start, end - start))
-                    size, rows = size + int(ends[end] - ends[start]), rows + end - start
-                if end < batch.num_rows:
-                    yield build(own, parts)
-                    parts, size, rows = [], 0, 0
-                start = end
-        if parts:
-            yield build(own, parts)
-
-    def build(own: Queries, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        terms = table.column("terms").combine_chunks()
-        row = np.repeat(np.arange(table.num_rows), pc.list_value_length(terms).to_numpy())
-        term = terms.flatten().to_numpy().astype(np.int64)
-        tf = table.column("tfs").combine_chunks().flatten().to_numpy()
-        n = table.column("n").to_numpy()
-        made = Shard.build(own, row, term, impacts(own.weight[term], tf, n[row], docs, length), table.num_rows)
-        ids = table.column("doc_id").combine_chunks()
-        offsets = pa.array([0, table.num_rows], pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, x) for x in (ids.fill_null(0), ids.is_valid())]
-        blobs = [pa.array([getattr(made, x).astype(kind).tobytes()], pa.binary()) for x, kind in zip(Shard.PARTS, Shard.KINDS)]
-        return pa.RecordBatch.from_arrays([*lists, *blobs], ["doc_ids", "known", *Shard.PARTS])
-
-    schema = "doc_ids array<long>, known array<boolean>, " + ", ".join(f"`{x}` binary" for x in Shard.PARTS)
-    return vectors.mapInArrow(shards, schema)
-
-
-def search(index: DataFrame, queries, k: int) -> DataFrame:
-    """(q, doc_id, score): each task's best k rows of every query."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Term vectors in runs of about ``SHARD_POSTINGS`` postings and at most
+    ``SHARD_DOCS`` documents, whatever the size of the batches."""
+    parts, size, rows = [], 0, 0
+    for batch in batches:
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy())))
+        start = 0
+        while start < batch.num_rows:   # as many rows as there is room for, one at least
+            end = int(np.searchsorted(ends, ends[start] + SHARD_POSTINGS - size, side="right")) - 1
+            end = max(min(end, batch.num_rows, start + SHARD_DOCS - rows), start + (0 if parts else 1))
+            if end > start:
+                parts.append(batch.slice(start, end - start))
+                size, rows = size + int(ends[end] - ends[start]), rows + end - start
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(parts)
+                parts, size, rows = [], 0, 0
+            start = end
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def search(vectors: DataFrame, queries, k: int, docs: int, length: int) -> DataFrame:
+    """(q, doc_id, score): each task's best k rows of every query. ``queries``
+    is a broadcast of weighed ``Queries``; ``docs`` documents have ``length``
+    terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = queries.value
         best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids = batch.column("doc_ids")[r].values.to_numpy()
-                known = batch.column("known")[r].values.to_numpy(zero_copy_only=False)
-                parts = [np.frombuffer(batch.column(x)[r].as_buffer(), dtype=kind) for x, kind in zip(Shard.PARTS, Shard.KINDS)]
-                shard = Shard(len(ids), *parts)
-                for x, (terms, pair) in enumerate(zip(own.terms, own.pair_of)):
-                    had = best.get(x)
-                    least = int(had[0][-1]) if had is not None and len(had[0]) == k else 0
-                    rows, score = search_shard(shard, terms, pair, k, least)
-                    if not len(rows):
-                        continue
-                    found = score, known[rows], ids[rows]
-                    if had is not None:
-                        found = tuple(np.concatenate(y) for y in zip(had, found))
-                    pick = _best(*found, k)
-                    best[x] = tuple(y[pick] for y in found)
+        for table in _shards(batches):
+            table = table.combine_chunks()
+            terms = table.column("terms").combine_chunks()
+            row = np.repeat(np.arange(table.num_rows), pc.list_value_length(terms).to_numpy())
+            term = terms.flatten().to_numpy().astype(np.int64)
+            tf = table.column("tfs").combine_chunks().flatten().to_numpy()
+            n = table.column("n").to_numpy()
+            shard = Shard(own, row, term, impacts(own.weight[term], tf, n[row], docs, length), table.num_rows)
+            column = table.column("doc_id").combine_chunks()
+            ids, known = column.fill_null(0).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+            for x, (asked, pair) in enumerate(zip(own.terms, own.pair_of)):
+                had = best.get(x)
+                least = int(had[0][-1]) if had is not None and len(had[0]) == k else 0
+                rows, score = search_shard(shard, asked, pair, k, least)
+                if not len(rows):
+                    continue
+                found = score, known[rows], ids[rows]
+                if had is not None:
+                    found = tuple(np.concatenate(y) for y in zip(had, found))
+                pick = _best(*found, k)
+                best[x] = tuple(y[pick] for y in found)
         for x, (score, known, ids) in best.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(ids), own.q[x])), pa.array(ids, mask=~known), pa.array(score)], ["q", "doc_id", "score"])
 
-    return index.mapInArrow(run, "q long, doc_id long, score long")
+    return vectors.mapInArrow(run, "q long, doc_id long, score long")
 
 
 def ranked(docs: DataFrame, items: DataFrame, k: int = 50, doc_col: str = "doc_id", text_col: str = "text",
@@ -371,7 +352,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 50, doc_col: str = "doc_i
         vectors = stored(term_vectors(docs, own, doc_col, text_col))
         total = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         own = shared.broadcast(own.weighed(weights(frequencies(vectors, len(own.words)), total[0])))
-        found = search(stored(build_index(vectors, own, *total)), own, k)
+        found = search(vectors, own, k, *total)
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     rows = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

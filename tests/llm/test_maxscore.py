@@ -94,7 +94,7 @@ def made_shard(rng, rows, terms, queries):
     q = maxscore.Queries.__new__(maxscore.Queries)
     q.terms = [rng.permutation(terms)[: rng.integers(1, terms)] for _ in range(queries)]
     q = q.weighed(rng.integers(1, 50, terms))
-    shard = maxscore.Shard.build(q, row, term, mass[row, term], rows)
+    shard = maxscore.Shard(q, row, term, mass[row, term], rows)
     return shard, q, [mass[:, t].sum(axis=1) for t in q.terms], mass
 
 
@@ -127,7 +127,7 @@ def test_pair_bounds_read_fewer_postings():
     q = maxscore.Queries.__new__(maxscore.Queries)
     q.terms = [np.arange(terms)]
     q = q.weighed(np.arange(terms) + 1)
-    shard = maxscore.Shard.build(q, row, term, mass[row, term], rows)
+    shard = maxscore.Shard(q, row, term, mass[row, term], rows)
     exact = mass.sum(axis=1)
     least = int(np.sort(exact)[-20])
     seen = {}
