@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 
 def clip(c: Column, lower: float | None = None, upper: float | None = None) -> Column:
-    """``least``/``greatest`` bounds; NULL stays NULL."""
+    """``c`` within bounds; NULL and NaN stay what they are (``least`` and
+    ``greatest`` alone would skip a NULL and take NaN for the largest value)."""
     out = c
     if upper is not None:
         out = F.least(out, F.lit(float(upper)))
     if lower is not None:
         out = F.greatest(out, F.lit(float(lower)))
-    return out
+    return F.when(c.isNull() | F.isnan(c), c).otherwise(out)
 
 
 def rint_round(c: Column, digits: int = 0) -> Column:

@@ -1,21 +1,18 @@
-"""Priority tiers: MLlib KMeans on standardised cell features.
+"""Priority tiers: KMeans on standardised cell features.
 
 * features (nulls -> 0): severity_weighted_count, junction_fraction,
   busy_hour_fraction, persistence_ratio, growth_rate;
 * ``k_eff = min(k, #cells)``; ``k_eff < 2`` -> every cell "Critical"
   (``cluster`` NULL);
-* ``StandardScaler(withMean, withStd)`` then ``KMeans(k_eff)`` restarted
-  ``n_init`` times with seeds ``seed .. seed+n_init-1``; the fit with the
-  lowest training cost wins;
+* ``operators.kmeans`` with ``n_init`` k-means++ restarts, all of them in one
+  aggregation per iteration; the fit of the lowest cost wins;
 * clusters ordered by mean CIS (desc; ties by cluster id) are labelled
   Critical, High, Medium, Low (any further cluster -> Low).
 
-KMeans runs on the cell table (one row per cell), never on records. Its
-result depends on the data layout (k-means|| sampling), so the input is
-fixed to ``layout_partitions`` hash partitions sorted by hex_id (a constant,
-whatever the number of cells), independent of ``spark.sql.shuffle.partitions`` and
-of the cluster size. Labels cannot match other
-KMeans implementations bit for bit (different initialisation).
+KMeans runs on the cell table (one row per cell), never on records. Its sums
+are exact, so tiers do not depend on partitions, on
+``spark.sql.shuffle.partitions`` or on the cluster. Labels cannot match
+other KMeans implementations bit for bit (different random draws).
 """
 
 from __future__ import annotations
@@ -23,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curbscope.operators import kmeans
 from curbscope.schema import TIER_FEATURES, TIER_ORDER
 from curbscope.session import ensure_checkpoint_dir
 
@@ -44,61 +42,15 @@ def apply_labels(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     return df.join(F.broadcast(labels), cluster_col, "left")
 
 
-#: KMeans input partitions. Another number gives other clusters, so it does
-#: not follow the data, the cluster or the shuffle settings; for very many
-#: cells pass a larger one.
-LAYOUT_PARTITIONS = 4
-
-
 def tier_hotspots(hotspots: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10,
-                  layout_partitions: int = LAYOUT_PARTITIONS, max_iter: int = 300,
-                  tol: float = 1e-4, parallel_fits: int | None = None) -> DataFrame:
-    """``n_init`` restarts run as concurrent Spark jobs (``parallel_fits``
-    threads, default all restarts up to 16); the lowest cost wins, ties to
-    the lowest seed, so the result does not depend on thread timing."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    # The cell features are read by the count, the scaler fit and the
-    # scaled vectors: cache them once (cells x 6 columns).
-    feats = hotspots.select(
-        "hex_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-                    for c in TIER_FEATURES]).persist()
-    scaled = None
-    try:
-        n_cells = feats.count()   # one row per cell
-        k_eff = min(k, max(n_cells, 1))
-        if k_eff < 2:
-            return (hotspots.withColumn("cluster", F.lit(None).cast("int"))
-                    .withColumn("tier", F.lit(TIER_ORDER[0])))
-        laid = feats.repartition(layout_partitions, "hex_id").sortWithinPartitions("hex_id")
-        assembled = VectorAssembler(inputCols=TIER_FEATURES, outputCol="raw").transform(laid)
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-        # Cached, not checkpointed: the layout is deterministic (hash by hex_id,
-        # sorted), so recomputing a lost block gives the same vectors.
-        scaled = scaler.fit(assembled).transform(assembled).select("hex_id", "features").persist()
-        scaled.count()   # fill the cache once, before the concurrent fits read it
-
-        def fit(i: int):
-            model = KMeans(k=k_eff, seed=seed + i, maxIter=max_iter, tol=tol,
-                           featuresCol="features", predictionCol="cluster").fit(scaled)
-            return model.summary.trainingCost, i, model
-
-        workers = parallel_fits or min(n_init, 16)
-        with ThreadPoolExecutor(max_workers=max(1, min(workers, n_init))) as pool:
-            fits = list(pool.map(fit, range(n_init)))
-        best = min(fits, key=lambda f: (f[0], f[1]))
-        # Materialise the (hex_id, cluster) assignment, then release the cache.
-        ensure_checkpoint_dir(hotspots.sparkSession)
-        pred = best[2].transform(scaled).select("hex_id", F.col("cluster").cast("int")) \
-            .checkpoint(eager=True)
-    finally:
-        if scaled is not None:
-            scaled.unpersist()
-        feats.unpersist()
-    return apply_labels(hotspots.join(pred, "hex_id"))
+                  max_iter: int = 300) -> DataFrame:
+    """``hotspots`` with the columns cluster and tier."""
+    ensure_checkpoint_dir(hotspots.sparkSession)
+    found = kmeans.fit(hotspots, "hex_id", TIER_FEATURES, k, n_init, seed, max_iter)
+    if found is None:
+        return (hotspots.withColumn("cluster", F.lit(None).cast("int"))
+                .withColumn("tier", F.lit(TIER_ORDER[0])))
+    return apply_labels(hotspots.join(found.assigned, "hex_id"))
 
 
 def tier_invariants(tiered: DataFrame, k: int = 4, slack: float = 0.01) -> DataFrame:

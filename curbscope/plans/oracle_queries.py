@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from curbscope import schema as S
 from curbscope.plans import oracle as O
 
 RESOLUTION = 9
@@ -321,3 +322,61 @@ SQL["tier_invariants"] = O.with_(_base(), """SELECT count(DISTINCT hex_id) AS ce
   count(DISTINCT hex_id) AS with_tier, TRUE AS few_clusters, TRUE AS ordered, TRUE AS nearest FROM hexed""")
 
 SQL["cached_build"] = _on_hot("SELECT hex_id, violation_count, congestion_impact_score, TRUE AS reused FROM hot")
+
+
+# ---------------------------------------------------------------------------
+# KMeans replayed: same draws, same centres, iterated until they stay
+# ---------------------------------------------------------------------------
+def _kmeans_sql(features: list[str], k: int, restarts: int, seed: int) -> list[tuple[str, str]]:
+    scale = O.d(float(1 << 20))
+    every = ", ".join(features)
+    unit = lambda x: f"CAST(round_even({x} * {scale}, 0) AS BIGINT)"
+    d2 = " + ".join(f"(CAST(p.{f} AS DOUBLE) - c.{f}) * (CAST(p.{f} AS DOUBLE) - c.{f})" for f in features)
+    mean = ", ".join(
+        f"CAST(sum({f}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS m_{f}, sqrt(CAST(count(*) * sum(CAST({f} AS HUGEINT) * {f}) "
+        f"- sum({f}) * sum({f}) AS DOUBLE)) / CAST(count(*) AS DOUBLE) AS s_{f}" for f in features)
+    u = lambda step: (f"CAST(CAST('0x' || substr(md5(concat_ws(':', hex_id, run + {seed}, {step})), 1, 13) AS BIGINT) + 1 "
+                      f"AS DOUBLE) / {O.d(float(1 << 52))}")
+    pick = lambda step, key, rows: (f"SELECT run, {step} AS cluster, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in features)} "
+                                    f"FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY {key}, hex_id) AS rn FROM {rows}) WHERE rn = 1")
+    ctes = [
+        ("kraw", "SELECT hex_id, " + ", ".join(f"{unit(f'coalesce({f}, 0)')} AS {f}" for f in features) + " FROM hot"),
+        ("kspread", f"SELECT {mean} FROM kraw"),
+        ("kz", "SELECT hex_id, " + ", ".join(
+            f"CASE WHEN s_{f} > 0 THEN {unit(f'((CAST({f} AS DOUBLE) - m_{f}) / s_{f})')} ELSE 0 END AS {f}"
+            for f in features) + " FROM kraw, kspread"),
+        ("kall", f"SELECT * FROM kz, (SELECT unnest(range({restarts})) AS run)"),
+        ("kc0", pick(0, u(0), "kall")),
+    ]
+    for step in range(1, k):
+        chosen = " UNION ALL ".join(f"SELECT * FROM kc{j}" for j in range(step))
+        near = f"(SELECT p.*, min({d2}) OVER (PARTITION BY p.run, hex_id) AS near, c.cluster FROM kall p JOIN ({chosen}) c ON p.run = c.run)"
+        key = f"CASE WHEN near > 0 THEN -ln({u(step)}) / near ELSE CAST('inf' AS DOUBLE) END"
+        ctes.append((f"kc{step}", pick(step, key, f"(SELECT * EXCLUDE (cluster) FROM {near} WHERE cluster = 0)")))
+    chosen = " UNION ALL ".join(f"SELECT * FROM kc{j}" for j in range(k))
+    nearest = lambda table, more="": f"""SELECT * FROM (SELECT p.*, c.run, c.cluster, {d2} AS d2,
+    row_number() OVER (PARTITION BY c.run, hex_id ORDER BY {d2}, c.cluster) AS rn FROM {table} c, kz p {more}) WHERE rn = 1"""
+    moved = " OR ".join(f"coalesce(w.{f}, o.{f}) <> o.{f}" for f in features)
+    ctes += [
+        ("lloyd", f"""SELECT 0 AS i, run, cluster, {every}, TRUE AS moved FROM ({chosen})
+UNION ALL
+SELECT o.i + 1, o.run, o.cluster, {', '.join(f'coalesce(w.{f}, o.{f})' for f in features)},
+  bool_or({moved}) OVER (PARTITION BY o.run)
+FROM lloyd o LEFT JOIN (
+  SELECT run, cluster, {', '.join(f'CAST(sum({f}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS {f}' for f in features)}
+  FROM ({nearest('lloyd', 'WHERE c.moved')}) GROUP BY run, cluster) w ON w.run = o.run AND w.cluster = o.cluster
+WHERE o.moved"""),
+        ("kend", "SELECT * FROM lloyd WHERE NOT moved"),
+        ("kdone", nearest("kend")),
+        ("kbest", f"SELECT run FROM kdone GROUP BY run ORDER BY sum(CAST(round_even(d2 / {scale}, 0) AS BIGINT)), run LIMIT 1"),
+        ("kcell", """SELECT hex_id, CAST(d.cluster AS INTEGER) AS cluster, h.congestion_impact_score
+FROM kdone d JOIN kbest USING (run) JOIN hot h USING (hex_id)"""),
+        ("ktier", """SELECT cluster, ['Critical', 'High', 'Medium', 'Low'][least(row_number() OVER (ORDER BY avg(congestion_impact_score) DESC, cluster), 4)]
+  AS tier FROM kcell GROUP BY cluster"""),
+    ]
+    return ctes
+
+
+SQL["tier_hotspots"] = _on_hot(
+    "SELECT hex_id, cluster, tier, congestion_impact_score FROM kcell JOIN ktier USING (cluster)",
+    _kmeans_sql(S.TIER_FEATURES, 4, 10, 42)).replace("WITH ", "WITH RECURSIVE ", 1)

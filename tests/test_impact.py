@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curbscope.functions.numeric import rint_round
+from curbscope.functions.numeric import clip, rint_round
 from curbscope.functions.text import recommended_action
 from curbscope.operators.impact import delay_cost, flow_impact
 from curbscope import schema as S
@@ -59,3 +59,23 @@ def test_recommended_action(spark):
     assert got[1] == "; ".join([S.ACTION_JUNCTION, S.ACTION_BUSY, S.ACTION_CHRONIC,
                                 S.ACTION_EMERGING])
     assert got[2] == S.ACTION_DEFAULT
+
+
+def test_clip_keeps_null_and_nan(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(None,), (nan,), (-1.0,), (0.4,), (7.0,), (float("inf"),)], "x double")
+    both, low, high = clip(F.col("x"), 0, 1), clip(F.col("x"), lower=0), clip(F.col("x"), upper=1)
+    got = [tuple(r) for r in df.select(both.alias("b"), low.alias("l"), high.alias("h")).collect()]
+    assert got[0] == (None, None, None) and all(np.isnan(v) for v in got[1])
+    assert got[2:] == [(0.0, 0.0, -1.0), (0.4, 0.4, 0.4), (1.0, 7.0, 1.0), (1.0, float("inf"), 1.0)]
+
+
+def test_impact_of_an_unknown_severity_is_unknown(spark):
+    cols = "avg_severity double, junction_fraction double, persistence_ratio double, violation_count long"
+    df = spark.createDataFrame([(None, 0.5, 0.5, 10), (1.0, None, 0.5, 10), (float("nan"), 0.5, 0.5, 10)], cols)
+    none, no_junction, nan = flow_impact(df).collect()
+    for r in (none, no_junction):
+        assert (r.capacity_loss_pct, r.shockwave_queue_km, r.effective_speed_kmh) == (None, None, None)
+    assert np.isnan(nan.capacity_loss_pct) and np.isnan(nan.effective_speed_kmh)
+    unknown = delay_cost(flow_impact(df), 10).first()
+    assert unknown.daily_delay_cost_inr is None and unknown.annual_delay_cost_inr is None

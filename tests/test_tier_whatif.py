@@ -84,13 +84,86 @@ def test_whatif_all_zero_is_rejected(spark):
         whatif_ranks(scored(spark), 0, 0, 0, 0)
 
 
-def test_layout_does_not_follow_the_number_of_cells():
-    import inspect
-
-    from curbscope.operators import tier
-
-    default = inspect.signature(tier.tier_hotspots).parameters["layout_partitions"].default
-    assert default == tier.LAYOUT_PARTITIONS and not hasattr(tier, "layout_for")
+def drawn_cells(spark, n, seed=3):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(f"c{i:04d}", rng.gauss(100 * (i % 5), 30.0), rng.random() * (i % 3), rng.random(), None if i % 11 == 0 else rng.random() ** 3,
+             rng.gauss(0, 1) * 10 ** rng.randrange(-3, 4), rng.random() * 100) for i in range(n)]
+    return spark.createDataFrame(rows, COLS)
+
+
+def test_tiers_do_not_follow_the_layout(spark):
+    cells_ = drawn_cells(spark, 400)
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts in (1, 4, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            laid = cells_.repartition(parts, F.rand(parts))
+            found.append(sorted((r.hex_id, r.cluster, r.tier) for r in tier_hotspots(laid, n_init=4).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 400
+
+
+def test_fit_against_lloyd_by_hand(spark):
+    """The same draws and centres, iterated row by row with exact sums."""
+    import hashlib
+    import math
+
+    from curbscope.operators import kmeans
+
+    names = ["a", "b"]
+    rows = [(f"r{i}", float((i * 37) % 50), float((i * 17) % 23) if i % 7 else None) for i in range(60)] + [("s", 0.0, 0.0), ("t", 0.0, 0.0)]
+    got = kmeans.fit(spark.createDataFrame(rows, "id string, a double, b double"), "id", names, k=3, restarts=4, seed=5)
+    unit = lambda v: round(v * kmeans.SCALE)
+    raw = {r[0]: [unit(v or 0.0) for v in r[1:]] for r in rows}
+    n, z = len(raw), {i: [] for i in raw}
+    for d in range(2):
+        s, s2 = sum(v[d] for v in raw.values()), sum(v[d] ** 2 for v in raw.values())
+        mean, dev = s / n, math.sqrt(n * s2 - s * s) / n
+        for i, v in raw.items():
+            z[i].append(unit((v[d] - mean) / dev))
+    gap = lambda v, c: sum((x - y) * (x - y) for x, y in zip(v, c))
+    fits = []
+    for run in range(4):
+        draw = lambda i, step: (int(hashlib.md5(f"{i}:{run + 5}:{step}".encode()).hexdigest()[:13], 16) + 1) / 2 ** 52  # noqa: B023, E731
+        centres = [list(map(float, z[min(z, key=lambda i: (draw(i, 0), i))]))]
+        for step in (1, 2):
+            near = {i: min(gap(v, c) for c in centres) for i, v in z.items()}
+            key = lambda i: (-math.log(draw(i, step)) / near[i] if near[i] else math.inf, i)  # noqa: B023, E731
+            centres.append(list(map(float, z[min(z, key=key)])))
+        while True:
+            own = {i: min(range(3), key=lambda c: (gap(v, centres[c]), c)) for i, v in z.items()}
+            new = [[sum(z[i][d] for i in own if own[i] == c) / sum(own[i] == c for i in own) for d in range(2)] for c in range(3)]
+            if new == centres:
+                break
+            centres = new
+        fits.append((sum(round(gap(z[i], centres[own[i]]) / kmeans.COST_UNIT) for i in own), run, own, centres))
+    best = min(fits, key=lambda f: f[:2])
+    assert (got.cost, got.restart, got.centres) == (best[0], best[1], best[3])
+    assert {r.id: r.cluster for r in got.assigned.collect()} == best[2]
+
+
+def test_fit_of_equal_rows_and_of_few_rows(spark):
+    from curbscope.operators import kmeans
+
+    same = spark.createDataFrame([(str(i), 1.0) for i in range(5)], "id string, a double")
+    assert {r.cluster for r in kmeans.fit(same, "id", ["a"], k=3, restarts=2).assigned.collect()} == {0}
+    assert kmeans.fit(same.limit(1), "id", ["a"], k=3) is None and kmeans.fit(same.limit(0), "id", ["a"], k=3) is None
+
+
+def test_an_iteration_is_one_aggregation_of_all_restarts(spark):
+    from curbscope.operators import kmeans
+
+    rows = drawn_cells(spark, 300)
+    spark.sparkContext.setJobGroup("kmeans", "count jobs")
+    found = kmeans.fit(rows, "hex_id", ["junction_fraction", "growth_rate"], k=4, restarts=10)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("kmeans")
+    spark.sparkContext.setJobGroup("", "")
+    # A pass is at most two jobs (shuffle stages of one adaptive plan).
+    assert found.iterations > 2 and len(jobs) <= 2 * (1 + 4 + found.iterations) + 4
 
 
 def test_invariants_of_right_and_wrong_tiers(spark):
