@@ -66,65 +66,62 @@ def spreads(rows: DataFrame, features: list[str]) -> tuple[int, dict[str, tuple[
     return n, out
 
 
-def _draw(row_id: str, restart: Column, step: int) -> Column:
+# The passes are written as SQL text: one iteration is a handful of calls to
+# the driver's JVM, not one for each of some hundred terms.
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _draw(row_id: str, seed: int, step: int) -> str:
     """A number in (0, 1] from the row, the restart and the step."""
-    text = F.concat_ws(":", F.col(row_id).cast("string"), restart.cast("string"), F.lit(str(step)))
-    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + 1).cast("double") / F.lit(float(1 << 52))
+    text = f"concat_ws(':', cast({_quoted(row_id)} as string), cast(restart + {seed} as string), '{step}')"
+    return (f"cast(cast(conv(substring(md5(cast({text} as binary)), 1, 13), 16, 10) as bigint) + 1 as double)"
+            f" / {float(1 << 52)!r}D")
 
 
-def _distances(features: list[str], centres: list[list[list[float]]], slots: list[int], k: int) -> list[Column]:
-    """Squared distances of a row to the centres 0..k-1 of the restart at
-    place ``slot``: the centres are one array constant, so the expressions
-    (and their compiled code) are the same in every iteration."""
-    flat = F.split(F.lit(",".join(repr(float(x)) for s in slots for c in centres[s][:k] for x in c)), ",").cast("array<double>")
-    m = len(features)
-    out = []
-    for j in range(k):
-        total = None
-        for d, f in enumerate(features):
-            gap = F.col(f).cast("double") - F.get(flat, F.col("slot") * F.lit(k * m) + F.lit(j * m + d))
-            total = gap * gap if total is None else total + gap * gap
-        out.append(total)
-    return out
+def _by_restart(rows: DataFrame, centres: list[list[list[float]]], restarts: list[int]) -> DataFrame:
+    """Every row once for each restart: its place (slot) and number. The
+    centres of all of them are one array constant (_c)."""
+    flat = ",".join(repr(float(x)) for r in restarts for c in centres[r] for x in c)
+    places = ", ".join(f"struct({i} as slot, {r} as restart)" for i, r in enumerate(restarts))
+    return rows.selectExpr("*", f"inline(array({places}))", f"cast(split('{flat}', ',') as array<double>) as _c")
 
 
-def _by_restart(rows: DataFrame, restarts: list[int]) -> DataFrame:
-    """Every row once for each restart: its place (slot) and number."""
-    places = F.arrays_zip(F.array(*[F.lit(i) for i in range(len(restarts))]).alias("slot"),
-                          F.array(*[F.lit(r) for r in restarts]).alias("restart"))
-    return rows.select("*", F.inline(places))
+def _distance(features: list[str], k: int, j: int) -> str:
+    """Squared distance of a row to centre ``j`` of its restart's ``k``."""
+    m = len(features)
+    gaps = [f"(cast({_quoted(f)} as double) - get(_c, slot * {k * m} + {j * m + d}))" for d, f in enumerate(features)]
+    return " + ".join(f"{g} * {g}" for g in gaps)
 
 
-def _nearest(d2: list[Column]) -> tuple[Column, Column]:
-    """(number of the nearest centre, lowest first; its distance)."""
-    least = F.least(*d2) if len(d2) > 1 else d2[0]
-    which = F.lit(0)
-    for j in range(len(d2) - 1, -1, -1):
-        which = F.when(F.col("_least") == F.col(f"_d{j}"), F.lit(j)).otherwise(which)
-    return which, least
+def _least(names: list[str]) -> str:
+    return f"least({', '.join(names)})" if len(names) > 1 else names[0]
 
 
 def _assigned(rows: DataFrame, features: list[str], centres, restarts: list[int], k: int) -> DataFrame:
-    d2 = _distances(features, centres, restarts, k)
-    out = _by_restart(rows, restarts).withColumns({f"_d{j}": d for j, d in enumerate(d2)})
-    which, least = _nearest([F.col(f"_d{j}") for j in range(k)])
-    return out.withColumn("_least", least).withColumn("cluster", which)
+    """Rows by restart with the number of the nearest centre, the lowest
+    first (cluster), and its squared distance (_least)."""
+    names = [f"_d{j}" for j in range(k)]
+    out = _by_restart(rows, centres, restarts).selectExpr(
+        "*", *[f"{_distance(features, k, j)} as {n}" for j, n in enumerate(names)])
+    out = out.selectExpr("*", f"{_least(names)} as _least")
+    which = " ".join(f"when _least = {n} then {j}" for j, n in enumerate(names))
+    return out.selectExpr("*", f"case {which} else 0 end as cluster")
 
 
 def kmeans_pp(rows: DataFrame, row_id: str, features: list[str], k: int, restarts: int, seed: int) -> list[list[list[float]]]:
     """Initial centres of every restart: one aggregation per centre."""
-    every = list(range(restarts))
-    centres: list[list[list[float]]] = [[] for _ in every]
+    centres: list[list[list[float]]] = [[] for _ in range(restarts)]
+    columns = ", ".join(map(_quoted, features))
     for step in range(k):
-        spread = _by_restart(rows, every)
-        u = _draw(row_id, F.col("restart") + F.lit(seed), step)
+        key = _draw(row_id, seed, step)
+        spread = _by_restart(rows, centres, list(range(restarts)))
         if step:
-            d2 = _distances(features, centres, every, step)
-            near = F.least(*d2) if step > 1 else d2[0]
-            u = F.when(near > 0, -F.ln(u) / near).otherwise(F.lit(float("inf")))
-        found = spread.select("restart", u.alias("u"), F.col(row_id).alias("id"), *features).groupBy("restart").agg(
-            F.min(F.struct("u", "id", *features)).alias("best")).collect()
-        for r in found:
+            near = _least([f"({_distance(features, step, j)})" for j in range(step)])
+            spread = spread.selectExpr("*", f"{near} as _near")
+            key = f"case when _near > 0 then -ln({key}) / _near else double('inf') end"
+        found = spread.selectExpr("restart", f"struct({key} as _key, {_quoted(row_id)} as _id, {columns}) as best")
+        for r in found.groupBy("restart").agg(F.min("best").alias("best")).collect():
             centres[r.restart].append([float(r.best[f]) for f in features])
     return centres
 
@@ -147,14 +144,14 @@ def fit(df: DataFrame, row_id: str, features: list[str], k: int, restarts: int =
         if k < 2:
             return None
         rows = standardised(raw, features, spread).persist()
+        sums_of = [F.expr("count(1) as n"), *[F.expr(f"sum({_quoted(f)}) as {_quoted(f)}") for f in features],
+                   F.expr(f"sum(cast(rint(_least / {COST_UNIT!r}D) as bigint)) as cost")]
         centres = kmeans_pp(rows, row_id, features, k, restarts, seed)
         costs: dict[int, int] = {}
         moving, turns = list(range(restarts)), 0
         while moving:
             turns += 1
-            sums = _assigned(rows, features, centres, moving, k).groupBy("restart", "cluster").agg(
-                F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in features],
-                F.sum(F.rint(F.col("_least") / F.lit(COST_UNIT)).cast("long")).alias("cost")).collect()
+            sums = _assigned(rows, features, centres, moving, k).groupBy("restart", "cluster").agg(*sums_of).collect()
             still = set()
             for r in moving:
                 costs[r] = sum(x.cost for x in sums if x.restart == r)
