@@ -486,16 +486,16 @@ def q_quality_counts(spark, sf_dir):
     return quality_counts(violations_raw(spark, sf_dir))
 
 
-def written_raw(spark, sf_dir, parts: int = 3) -> str:
-    """Raw records as CSV files in the shared folder, by id, in ``parts``
-    files of consecutive ids."""
+def written_raw(spark, sf_dir) -> str:
+    """Raw records as CSV files in the shared folder, by id: files of
+    consecutive ids, as many as the session's shuffle partitions give."""
     import uuid
 
     from curbscope.session import ensure_checkpoint_dir
 
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/ordered-csv-{uuid.uuid4().hex}"
     raw = violations_raw(spark, sf_dir)
-    (raw.repartitionByRange(parts, F.col("id").cast("long")).sortWithinPartitions(F.col("id").cast("long"))
+    (raw.repartitionByRange(F.col("id").cast("long")).sortWithinPartitions(F.col("id").cast("long"))
      .write.option("header", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path

@@ -10,6 +10,11 @@ the null filter.
 
 from __future__ import annotations
 
+import csv
+import re
+from collections.abc import Callable
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,15 +43,59 @@ def _project(df: DataFrame, more: list[Column] = ()) -> DataFrame:
     return df.select(*cols)
 
 
-def _headers(spark: SparkSession, files: list[str]) -> list[list[str]]:
-    """Column names of each file, read side by side (one short job each)."""
-    from concurrent.futures import ThreadPoolExecutor
+def _files(df: DataFrame) -> list[str]:
+    """Files of a scan in the order of their paths."""
+    return sorted(unquote(f) for f in df.inputFiles())
+
+
+def _same(path: str) -> str:
+    """One spelling of a file's path: listings write file:/// where a scan's
+    metadata write file:/."""
+    return re.sub("^([^:/]+):/+", r"\1:/", unquote(path))
 
-    def one(path: str) -> list[str]:
-        return spark.read.option("header", True).option("escape", '"').csv(path).columns
 
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        return list(pool.map(one, files))
+def headers(spark: SparkSession, paths: list[str]) -> dict[tuple, list[str]]:
+    """The different headers of the CSV files of some paths, each with its
+    files in order.
+
+    One query, however many files there are: lines of the files' first blocks
+    are read as text, the first line of each file is taken, and files are
+    grouped by it. A file without a line has no header and is left out.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"), "value").where("start = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    found = first.groupBy("line").agg(F.collect_list("file").alias("files")).collect()
+    out: dict[tuple, list[str]] = {}
+    for r in found:
+        header = tuple(next(csv.reader([r.line.removeprefix("\ufeff").rstrip("\r")]), ()))
+        out.setdefault(header, []).extend(unquote(f) for f in r.files)
+    return {h: sorted(own) for h, own in sorted(out.items(), key=lambda x: min(x[1]))}
+
+
+def _one_header(spark: SparkSession, path: str) -> tuple:
+    return tuple(spark.read.option("header", True).option("escape", '"').csv(path).columns)
+
+
+def first_files(scan: Callable[[list[str]], DataFrame], files: list[str], nrows: int) -> list[str]:
+    """The first files that hold ``nrows`` rows together (all, if fewer).
+
+    Files are counted in order, one job for 1, 2, 4, ... of them, until there
+    are enough, so what is read follows ``nrows`` and not the folder.
+    """
+    done, rows, step = 0, 0, 1
+    while done < len(files):
+        some = files[done:done + step]
+        counts = {_same(r.file): r["count"] for r in
+                  scan(some).groupBy(F.col("_metadata.file_path").alias("file")).count().collect()}
+        for f in some:
+            done += 1
+            rows += counts.get(_same(f), 0)
+            if rows >= nrows:
+                return files[:done]
+        step *= 2
+    return files
 
 
 def header_schema(header: list[str]) -> T.StructType:
@@ -59,22 +108,29 @@ def read_violations_csv(spark: SparkSession, path: str, multi_line: bool = False
                         nrows: int | None = None, same_header: bool = False) -> DataFrame:
     """Read header CSV files holding (at least) the 10 raw columns.
 
-    Columns are bound by name in every file: the headers are read first, and
+    Columns are bound by name in every file: one job reads the headers, and
     files of one header are one typed scan (no type inference pass, extra
-    columns are pruned). ``same_header=True`` reads one header only, for
-    folders of very many files; a file with another header is then an error,
-    never a wrong binding. ``multi_line=True`` is only needed when quoted
+    columns are pruned). ``same_header=True`` reads one header only and saves
+    that job; a file with another header is then an error, never a wrong
+    binding. ``multi_line=True`` is only needed when quoted
     fields contain line breaks; it stops Spark from splitting a large file
     across tasks, so it is off by default. ``nrows`` keeps the first rows in
-    file order.
+    file order and reads only the first files, as many as hold them.
     """
-    files = sorted(spark.read.schema("x string").csv(path).inputFiles())
-    groups: dict[tuple, list[str]] = {}
+    files = _files(spark.read.schema("x string").csv(path))
+    some = files
+    if nrows is not None:
+        plain = (spark.read.schema("x string").option("header", True).option("multiLine", bool(multi_line))
+                 .option("escape", '"'))
+        some = first_files(lambda own: plain.csv(own), files, nrows)
     if same_header or len(files) <= 1:
-        groups[tuple(_headers(spark, [path])[0])] = [path]
+        groups = {_one_header(spark, some[0] if some else path): some if len(some) < len(files) else [path]}
     else:
-        for file, header in zip(files, _headers(spark, files)):
-            groups.setdefault(tuple(header), []).append(file)
+        groups = headers(spark, some if len(some) < len(files) else [path])
+        if len(groups) == 1 and len(some) == len(files):
+            groups = dict.fromkeys(groups, [path])
+    if not groups:
+        _check_columns([], path)
     for header, own in groups.items():
         _check_columns(list(header), own[0])
     scans = [
@@ -93,6 +149,11 @@ def read_violations_csv(spark: SparkSession, path: str, multi_line: bool = False
 def read_violations_parquet(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     _check_columns(df.columns, path)
+    if nrows is not None:
+        files = _files(df)
+        inside = spark.read.schema(df.schema).option("basePath", path)
+        some = first_files(lambda own: inside.parquet(*own), files, nrows) if len(files) > 1 else files
+        df = inside.parquet(*some) if len(some) < len(files) else df
     return _scan([df], nrows)
 
 

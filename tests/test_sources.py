@@ -165,3 +165,64 @@ def test_export_keeps_blanks_and_quotes(spark, tmp_path):
     assert '" PS ""1"" ,x "' in text and text.index("9:0:1") < text.index("9:0:0")
     back = read_hotspots_csv(spark, str(tmp_path / "out"), df)
     assert ' PS "1" ,x ' in {r.dominant_station for r in back.collect()}
+
+
+def _jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_headers_of_many_files_are_one_query(spark, tmp_path):
+    counts = {}
+    for n in (3, 240):
+        folder = tmp_path / f"of{n}"
+        folder.mkdir()
+        for k in range(n):
+            _write(folder / f"{k:04d}.csv", RAW if k % 3 else ["extra", *reversed(RAW)], [k])
+        (folder / "none.csv").write_text("")
+        df, counts[n] = _jobs(spark, f"headers{n}", lambda folder=folder: read_violations_csv(spark, str(folder)))
+        rows = df.collect()
+        assert sorted(r.id for r in rows) == [f"V{k:05d}" for k in range(n)]
+        assert {(r.latitude, r.police_station) for r in rows} == {(12.9, "PS")}
+    # Beyond 32 paths Spark lists the files of a scan in a job of its own.
+    assert counts[240] <= counts[3] + 2
+
+
+def test_headers_by_file(spark, tmp_path):
+    from curbscope.sources.violations import headers
+
+    _write(tmp_path / "b c.csv", RAW, range(2))
+    _write(tmp_path / "a.csv", ["extra", *RAW], range(2))
+    (tmp_path / "d.csv").write_text('id,"x, ""y"""\n1,2\n')
+    (tmp_path / "e.csv").write_text("")
+    found = {h: [f.rsplit("/", 1)[1] for f in files] for h, files in headers(spark, [str(tmp_path)]).items()}
+    assert found == {("extra", *RAW): ["a.csv"], tuple(RAW): ["b c.csv"], ("id", 'x, "y"'): ["d.csv"]}
+
+
+def test_no_header_at_all_is_an_error(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.csv").write_text("")
+    with pytest.raises(MissingColumnsError):
+        read_violations_csv(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_first_rows_read_the_first_files_only(spark, tmp_path, fmt):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(100):
+        _write(folder / f"{k:03d}.csv", RAW if k != 1 else list(reversed(RAW)), range(k * 50, k * 50 + 50))
+    path = str(folder)
+    if fmt == "parquet":
+        path = str(tmp_path / "pq")
+        whole = read_violations_csv(spark, str(folder))
+        whole.repartitionByRange(100, "id").sortWithinPartitions("id").write.parquet(path)
+    for n, most in ((1, 1), (50, 1), (60, 3), (120, 4), (9999, 100)):
+        df, jobs = _jobs(spark, f"first{fmt}{n}", lambda n=n: read_violations(spark, path, fmt=fmt, nrows=n))
+        assert len(df.inputFiles()) <= most and jobs <= 24
+        assert sorted(r.id for r in df.collect()) == [f"V{k:05d}" for k in range(min(n, 5000))]
+
