@@ -17,6 +17,7 @@ nearest centre so far, which draws rows with odds d2. Hashes are MD5 of
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,8 +67,8 @@ def spreads(rows: DataFrame, features: list[str]) -> tuple[int, dict[str, tuple[
     return n, out
 
 
-# The passes are written as SQL text: one iteration is a handful of calls to
-# the driver's JVM, not one for each of some hundred terms.
+# A pass is one SQL text over a view of the rows: one call to the driver's JVM
+# instead of one for each of some hundred terms.
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -79,12 +80,12 @@ def _draw(row_id: str, seed: int, step: int) -> str:
             f" / {float(1 << 52)!r}D")
 
 
-def _by_restart(rows: DataFrame, centres: list[list[list[float]]], restarts: list[int]) -> DataFrame:
+def _by_restart(view: str, centres: list[list[list[float]]], restarts: list[int]) -> str:
     """Every row once for each restart: its place (slot) and number. The
     centres of all of them are one array constant (_c)."""
     flat = ",".join(repr(float(x)) for r in restarts for c in centres[r] for x in c)
     places = ", ".join(f"struct({i} as slot, {r} as restart)" for i, r in enumerate(restarts))
-    return rows.selectExpr("*", f"inline(array({places}))", f"cast(split('{flat}', ',') as array<double>) as _c")
+    return f"(select *, inline(array({places})), cast(split('{flat}', ',') as array<double>) as _c from {view})"
 
 
 def _distance(features: list[str], k: int, j: int) -> str:
@@ -94,77 +95,89 @@ def _distance(features: list[str], k: int, j: int) -> str:
     return " + ".join(f"{g} * {g}" for g in gaps)
 
 
-def _least(names: list[str]) -> str:
-    return f"least({', '.join(names)})" if len(names) > 1 else names[0]
+def _least(terms: list[str]) -> str:
+    return f"least({', '.join(terms)})" if len(terms) > 1 else terms[0]
 
 
-def _assigned(rows: DataFrame, features: list[str], centres, restarts: list[int], k: int) -> DataFrame:
+def _assigned(view: str, features: list[str], centres, restarts: list[int], k: int) -> str:
     """Rows by restart with the number of the nearest centre, the lowest
     first (cluster), and its squared distance (_least)."""
     names = [f"_d{j}" for j in range(k)]
-    out = _by_restart(rows, centres, restarts).selectExpr(
-        "*", *[f"{_distance(features, k, j)} as {n}" for j, n in enumerate(names)])
-    out = out.selectExpr("*", f"{_least(names)} as _least")
+    gaps = ", ".join(f"{_distance(features, k, j)} as {n}" for j, n in enumerate(names))
     which = " ".join(f"when _least = {n} then {j}" for j, n in enumerate(names))
-    return out.selectExpr("*", f"case {which} else 0 end as cluster")
+    return (f"(select *, case {which} else 0 end as cluster from (select *, {_least(names)} as _least from "
+            f"(select *, {gaps} from {_by_restart(view, centres, restarts)})))")
 
 
-def kmeans_pp(rows: DataFrame, row_id: str, features: list[str], k: int, restarts: int, seed: int) -> list[list[list[float]]]:
+def _sums(view: str, features: list[str], centres, restarts: list[int], k: int) -> str:
+    """Rows, exact sums and cost of each cluster of each restart."""
+    totals = ", ".join(f"sum({_quoted(f)}) as {_quoted(f)}" for f in features)
+    return (f"select restart, cluster, count(1) as n, {totals}, sum(cast(rint(_least / {COST_UNIT!r}D) as bigint)) as cost "
+            f"from {_assigned(view, features, centres, restarts, k)} group by restart, cluster")
+
+
+def kmeans_pp(rows: DataFrame, view: str, row_id: str, features: list[str], k: int, restarts: int,
+              seed: int) -> list[list[list[float]]]:
     """Initial centres of every restart: one aggregation per centre."""
     centres: list[list[list[float]]] = [[] for _ in range(restarts)]
     columns = ", ".join(map(_quoted, features))
     for step in range(k):
-        key = _draw(row_id, seed, step)
-        spread = _by_restart(rows, centres, list(range(restarts)))
+        key, source = _draw(row_id, seed, step), _by_restart(view, centres, list(range(restarts)))
         if step:
             near = _least([f"({_distance(features, step, j)})" for j in range(step)])
-            spread = spread.selectExpr("*", f"{near} as _near")
+            source = f"(select *, {near} as _near from {source})"
             key = f"case when _near > 0 then -ln({key}) / _near else double('inf') end"
-        found = spread.selectExpr("restart", f"struct({key} as _key, {_quoted(row_id)} as _id, {columns}) as best")
-        for r in found.groupBy("restart").agg(F.min("best").alias("best")).collect():
+        for r in rows.sparkSession.sql(f"select restart, min(struct({key} as _key, {_quoted(row_id)} as _id, {columns})) as best "
+                                       f"from {source} group by restart").collect():
             centres[r.restart].append([float(r.best[f]) for f in features])
     return centres
 
 
 def fit(df: DataFrame, row_id: str, features: list[str], k: int, restarts: int = 10, seed: int = 42,
-        max_iter: int = 300) -> Fit | None:
-    """The restart of least cost (ties: the lowest number) after each has run
-    until its centres stay (or ``max_iter`` iterations); ``None`` for fewer
-    than two rows or clusters.
+        max_iter: int = 300, tol: float = 1e-4) -> Fit | None:
+    """The restart of least cost (ties: the lowest number); ``None`` for
+    fewer than two rows or clusters.
 
+    A restart ends with the first iteration that would move its centres by a
+    summed squared distance of at most ``tol`` (of standardised features), or
+    with ``max_iter``; it keeps the centres its last cost belongs to.
     ``row_id`` must be unique. Features are standardised; a null counts as 0.
     A cluster that loses all its rows keeps its centre. Rows at equal
     distance go to the lower cluster number.
     """
+    spark = df.sparkSession
     raw = df.select(row_id, *[units(F.coalesce(F.col(f).cast("double"), F.lit(0.0))).alias(f) for f in features]).persist()
-    rows = None
+    rows, view = None, f"kmeans_{uuid.uuid4().hex}"
     try:
         n, spread = spreads(raw, features)
         k = min(k, n)
         if k < 2:
             return None
         rows = standardised(raw, features, spread).persist()
-        sums_of = [F.expr("count(1) as n"), *[F.expr(f"sum({_quoted(f)}) as {_quoted(f)}") for f in features],
-                   F.expr(f"sum(cast(rint(_least / {COST_UNIT!r}D) as bigint)) as cost")]
-        centres = kmeans_pp(rows, row_id, features, k, restarts, seed)
-        costs: dict[int, int] = {}
+        rows.createTempView(view)
+        centres = kmeans_pp(rows, view, row_id, features, k, restarts, seed)
+        costs = dict.fromkeys(range(restarts), 0)
         moving, turns = list(range(restarts)), 0
         while moving:
             turns += 1
-            sums = _assigned(rows, features, centres, moving, k).groupBy("restart", "cluster").agg(*sums_of).collect()
-            still = set()
-            for r in moving:
-                costs[r] = sum(x.cost for x in sums if x.restart == r)
-            for x in sums:
-                new = [float(x[f]) / float(x.n) for f in features]
-                if new != centres[x.restart][x.cluster]:
-                    centres[x.restart][x.cluster] = new
-                    still.add(x.restart)
-            moving = sorted(still) if turns < max_iter else []
+            found: dict[int, list] = {r: [] for r in moving}
+            for x in spark.sql(_sums(view, features, centres, moving, k)).collect():
+                found[x.restart].append(x)
+            still = []
+            for r, sums in found.items():
+                costs[r] = sum(x.cost for x in sums)
+                new = {x.cluster: [float(x[f]) / float(x.n) for f in features] for x in sums}
+                shift = sum((a - b) * (a - b) for c in sorted(new) for a, b in zip(new[c], centres[r][c]))
+                if shift > tol * SCALE * SCALE and turns < max_iter:
+                    still.append(r)
+                    for c, place in new.items():
+                        centres[r][c] = place
+            moving = still
         best = min(range(restarts), key=lambda r: (costs[r], r))
-        assigned = _assigned(rows, features, centres, [best], k).select(row_id, "cluster").checkpoint(eager=True)
-        return Fit(assigned, centres[best], best, costs[best], turns)
+        assigned = spark.sql(f"select {_quoted(row_id)}, cluster from {_assigned(view, features, centres, [best], k)}")
+        return Fit(assigned.checkpoint(eager=True), centres[best], best, costs[best], turns)
     finally:
-        raw.unpersist()
         if rows is not None:
+            spark.catalog.dropTempView(view)
             rows.unpersist()
+        raw.unpersist()

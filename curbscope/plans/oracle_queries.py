@@ -356,12 +356,13 @@ def _kmeans_sql(features: list[str], k: int, restarts: int, seed: int) -> list[t
     chosen = " UNION ALL ".join(f"SELECT * FROM kc{j}" for j in range(k))
     nearest = lambda table, more="": f"""SELECT * FROM (SELECT p.*, c.run, c.cluster, {d2} AS d2,
     row_number() OVER (PARTITION BY c.run, hex_id ORDER BY {d2}, c.cluster) AS rn FROM {table} c, kz p {more}) WHERE rn = 1"""
-    moved = " OR ".join(f"coalesce(w.{f}, o.{f}) <> o.{f}" for f in features)
+    shift = " + ".join(f"(w.{f} - o.{f}) * (w.{f} - o.{f})" for f in features)
+    far = f"coalesce(sum({shift}) OVER (PARTITION BY o.run) > {O.d(1e-4)} * {scale} * {scale}, FALSE)"
     ctes += [
         ("lloyd", f"""SELECT 0 AS i, run, cluster, {every}, TRUE AS moved FROM ({chosen})
 UNION ALL
-SELECT o.i + 1, o.run, o.cluster, {', '.join(f'coalesce(w.{f}, o.{f})' for f in features)},
-  bool_or({moved}) OVER (PARTITION BY o.run)
+SELECT o.i + 1, o.run, o.cluster, {', '.join(f'CASE WHEN {far} THEN coalesce(w.{f}, o.{f}) ELSE o.{f} END' for f in features)},
+  {far}
 FROM lloyd o LEFT JOIN (
   SELECT run, cluster, {', '.join(f'CAST(sum({f}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS {f}' for f in features)}
   FROM ({nearest('lloyd', 'WHERE c.moved')}) GROUP BY run, cluster) w ON w.run = o.run AND w.cluster = o.cluster

@@ -137,7 +137,7 @@ def test_fit_against_lloyd_by_hand(spark):
         while True:
             own = {i: min(range(3), key=lambda c: (gap(v, centres[c]), c)) for i, v in z.items()}
             new = [[sum(z[i][d] for i in own if own[i] == c) / sum(own[i] == c for i in own) for d in range(2)] for c in range(3)]
-            if new == centres:
+            if sum(gap(a, b) for a, b in zip(new, centres)) <= 1e-4 * kmeans.SCALE ** 2:
                 break
             centres = new
         fits.append((sum(round(gap(z[i], centres[own[i]]) / kmeans.COST_UNIT) for i in own), run, own, centres))
