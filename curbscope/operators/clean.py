@@ -26,6 +26,9 @@ def clean_violations(raw: DataFrame) -> DataFrame:
     planning time on every query)."""
     df = with_tags(raw, "violation_type", "tags",
                    extra={"created_ist": ist_timestamp(F.col("created_datetime"))})
+    # Out of a generator of its own the severity is computed once a record;
+    # as a plain column it would stand in the filter and in the projection.
+    df = df.select("*", F.inline(F.array(F.struct(record_severity(F.col("tags")).alias("severity")))))
     junction = F.coalesce(F.col("junction_name"), F.lit(NO_JUNCTION))
     df = df.select(
         "id", "latitude", "longitude", "location",
@@ -33,7 +36,7 @@ def clean_violations(raw: DataFrame) -> DataFrame:
         "violation_type", "offence_code", "created_datetime",
         F.coalesce(F.col("police_station"), F.lit(UNKNOWN)).alias("police_station"),
         junction.alias("junction_name"),
-        "tags", record_severity(F.col("tags")).alias("severity"), "created_ist",
+        "tags", "severity", "created_ist",
         F.hour("created_ist").alias("hour"), F.weekday("created_ist").alias("weekday"),
         F.to_date("created_ist").alias("date"),
         (F.lower(strip_ws(junction)) != F.lit("no junction")).alias("at_junction"),

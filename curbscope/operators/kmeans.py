@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 #: Features are kept in units of 1 / SCALE.
 SCALE = float(1 << 20)
 
+#: Rows of a task, if the input has not more partitions than that gives.
+TASK_ROWS = 50_000
+
 #: Distances add up to the cost in whole units.
 COST_UNIT = SCALE
 
@@ -153,7 +156,8 @@ def fit(df: DataFrame, row_id: str, features: list[str], k: int, restarts: int =
         k = min(k, n)
         if k < 2:
             return None
-        rows = standardised(raw, features, spread).persist()
+        # Few rows in many tasks cost more to start than to read.
+        rows = standardised(raw, features, spread).coalesce(-(-n // TASK_ROWS)).persist()
         rows.createTempView(view)
         centres = kmeans_pp(rows, view, row_id, features, k, restarts, seed)
         costs = dict.fromkeys(range(restarts), 0)

@@ -2,11 +2,12 @@
 -> scores -> tiers -> impact -> cost. The table itself is not sorted: views
 and sinks sort what they show.
 
-Materialisation points (reliable checkpoints in ``spark.checkpoint.dir``,
-so a lost executor never sends the job back to the raw scan):
+Materialisation points (written to ``spark.checkpoint.dir``, so a lost
+executor never sends the job back to the raw scan):
 
 * the cell rollup -- every later shuffle moves rollup rows (bounded by
-  cells x keys), never records;
+  cells x keys), never records. It is dealt out by cell once: features,
+  weekly trend and tag map aggregate and join where their rows lie;
 * the feature table, which the rank helpers read several times;
 * the scored table, which tiers and every view read: the rank joins run
   once, however many consumers there are.
@@ -29,6 +30,7 @@ from curbscope.operators.rollup import cell_rollup
 from curbscope.operators.score import score_hotspots
 from curbscope.operators.tier import threshold_tiers, tier_hotspots
 from curbscope.operators.trend import growth_trend
+from curbscope.plans.tables import bucketed
 from curbscope.session import ensure_checkpoint_dir
 
 HOTSPOT_COLUMNS = [
@@ -46,12 +48,11 @@ HOTSPOT_COLUMNS = [
 class HotspotBuild:
     hotspots: DataFrame      # one row per cell, in no order
     busy: DataFrame          # (hour, n, cum_share)
-    rollup: DataFrame        # the cell rollup (checkpointed)
+    rollup: DataFrame        # the cell rollup (written by cell)
 
 
 def materialise_rollup(hexed: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(hexed.sparkSession)
-    return cell_rollup(hexed).checkpoint(eager=True)
+    return bucketed(cell_rollup(hexed), "hex_id")
 
 
 def scored_cells(rollup: DataFrame, coverage: float = 0.5, min_weeks: int = 3,

@@ -55,3 +55,36 @@ def test_rollup_aggregates_before_the_shuffle(spark):
 def test_patrol_by_station_limits_before_shuffle(spark):
     plan = plan_of(P.patrol_by_station(R.hot(spark, SF001)))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_the_rollup_is_dealt_out_by_cell_once(spark, monkeypatch):
+    """Features, weekly trend and tag map aggregate and join the written
+    rollup where its rows lie: no exchange by cell after it."""
+    from curbscope.operators.features import hotspot_features, tag_breakdown_map
+    from curbscope.operators.trend import growth_trend
+    from curbscope.operators.busy import weekly_counts
+    from curbscope.plans import build as B
+
+    rollup = R.rollup(spark, SF001)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for one in (hotspot_features(rollup), growth_trend(weekly_counts(rollup)), tag_breakdown_map(rollup)):
+            plan = plan_of(one)
+            assert "Bucketed: true" in plan and "hashpartitioning(hex_id" not in plan
+        monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: self)
+        plan = plan_of(B.scored_cells(rollup))
+        assert "SortMergeJoin [hex_id" in plan and "hashpartitioning(hex_id" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_bucketed_table_outlives_its_name(spark):
+    from curbscope.plans.tables import bucketed
+
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = spark.range(100).selectExpr("id", "cast(id % 7 as string) as `key`")
+    out = bucketed(rows, "key", buckets=3)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.collect()))
+    assert out.groupBy("key").count().collect() and "Exchange" not in plan_of(out.groupBy("key").count())
