@@ -20,8 +20,10 @@ from curbscope.schema import DEFAULT_CENTER, NO_JUNCTION, UNKNOWN
 CLEAN_EXTRA = ["tags", "severity", "created_ist", "hour", "weekday", "date", "at_junction"]
 
 
-def clean_violations(raw: DataFrame) -> DataFrame:
-    """Few, wide projections (each DataFrame step is analysed eagerly on the
+def clean_violations(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """The clean records; ``keep`` columns of ``raw`` come first.
+
+    Few, wide projections (each DataFrame step is analysed eagerly on the
     driver, so a long ``withColumn`` chain over large expressions costs
     planning time on every query)."""
     df = with_tags(raw, "violation_type", "tags",
@@ -31,7 +33,7 @@ def clean_violations(raw: DataFrame) -> DataFrame:
     df = df.select("*", F.inline(F.array(F.struct(record_severity(F.col("tags")).alias("severity")))))
     junction = F.coalesce(F.col("junction_name"), F.lit(NO_JUNCTION))
     df = df.select(
-        "id", "latitude", "longitude", "location",
+        *keep, "id", "latitude", "longitude", "location",
         F.coalesce(F.col("vehicle_type"), F.lit(UNKNOWN)).alias("vehicle_type"),
         "violation_type", "offence_code", "created_datetime",
         F.coalesce(F.col("police_station"), F.lit(UNKNOWN)).alias("police_station"),

@@ -69,9 +69,10 @@ def _tag_keys(tags: Column) -> Column:
 KINDS = ("day", "slot", "station", "vehicle", "tag")
 
 
-def cell_rollup(hexed: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def cell_rollup(hexed: DataFrame, kinds: tuple[str, ...] = KINDS, more: list[str] = ()) -> DataFrame:
     """The rollup, of the given ``kinds`` only: a query that reads one kind
-    makes one row per record of it instead of all."""
+    makes one row per record of it instead of all. ``more`` columns of the
+    records become keys too (partial rollups, which ``merged`` sums)."""
     own = {
         "day": lambda: _key("day", date=F.col("date")),
         "slot": lambda: _key("slot", weekday=F.col("weekday"), hour=F.col("hour")),
@@ -83,11 +84,11 @@ def cell_rollup(hexed: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     arrays += [_tag_keys(F.col("tags"))] if "tag" in kinds else []
     keys = F.concat(*arrays)
     exploded = hexed.select(
-        "hex_id", F.explode(keys).alias("k"), "severity",
+        *more, "hex_id", F.explode(keys).alias("k"), "severity",
         F.col("at_junction").cast("long").alias("jct"),
         e7(F.col("latitude")).alias("lat7"), e7(F.col("longitude")).alias("lon7"),
-    ).select("hex_id", "k.*", "severity", "jct", "lat7", "lon7")
-    return exploded.groupBy(*KEY_COLUMNS).agg(
+    ).select(*more, "hex_id", "k.*", "severity", "jct", "lat7", "lon7")
+    return exploded.groupBy(*more, *KEY_COLUMNS).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("severity").alias("sev_sum"),
         F.sum("jct").alias("jct_n"),
@@ -96,6 +97,11 @@ def cell_rollup(hexed: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     )
 
 
+def merged(parts: DataFrame) -> DataFrame:
+    """One rollup from the rows of several."""
+    return parts.groupBy(*KEY_COLUMNS).agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+
 def kind(rollup: DataFrame, name: str) -> DataFrame:
     return rollup.filter(F.col("kind") == name)
 

@@ -256,19 +256,46 @@ def filter_options(hotspots: DataFrame) -> DataFrame:
     return tiers.unionByName(stations).unionByName(weights)
 
 
+PROFILE_COLUMNS = ("severity", "hour", "weekday", "at_junction")
+
+
+def value_histogram(records: DataFrame) -> DataFrame:
+    """(column, x, n): how often each value of the profile's columns occurs.
+
+    Records are counted once by all four together, a table bounded by the
+    product of their few values; each column's histogram is summed over it."""
+    joint = records.groupBy(
+        F.col("severity").cast("double").alias("severity"), F.col("hour").cast("double").alias("hour"),
+        F.col("weekday").cast("double").alias("weekday"),
+        F.col("at_junction").cast("int").cast("double").alias("at_junction")).agg(F.count(F.lit(1)).alias("n"))
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in PROFILE_COLUMNS]))
+    return joint.select(kv.alias("kv"), "n").groupBy("kv.column", "kv.x").agg(F.sum("n").alias("n"))
+
+
 def profile_clean(records: DataFrame) -> DataFrame:
     """count, mean, std (sample), min, quartiles (linear), max of severity,
-    hour, weekday and at_junction (as 0/1). Exact ``percentile`` keeps one
-    counter per distinct value, and these columns have at most 24."""
-    cols = {"severity": F.col("severity").cast("double"),
-            "hour": F.col("hour").cast("double"),
-            "weekday": F.col("weekday").cast("double"),
-            "at_junction": F.col("at_junction").cast("int").cast("double")}
-    long = records.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("column"), v.alias("x")) for k, v in cols.items()])).alias("kv")
-    ).select("kv.*")
-    return long.groupBy("column").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
-        F.percentile("x", 0.25).alias("p25"), F.percentile("x", 0.5).alias("p50"),
-        F.percentile("x", 0.75).alias("p75"), F.max("x").alias("max"))
+    hour, weekday and at_junction (as 0/1), from their value histograms: sums
+    weighted by count, and quartiles by running counts over the sorted
+    values (at most 24 a column)."""
+    own = Window.partitionBy("column")
+    upto = own.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    hist = value_histogram(records).where(F.col("x").isNotNull()).select(
+        "column", "x", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(own).alias("total"),
+        (F.sum(F.col("x") * F.col("n")).over(own) / F.sum("n").over(own)).alias("mean"))
+
+    def at(place: Column) -> Column:   # value at a 0-based place among the sorted records
+        return F.min(F.when(F.col("upto") > place, F.col("x")))
+
+    def quantile(p: float) -> Column:
+        place = (F.col("total") - 1) * F.lit(p)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        return F.when(part == 0, low).otherwise((F.lit(1.0) - part) * low + part * high)
+
+    gap = F.col("x") - F.col("mean")
+    n = F.sum("n")
+    return hist.groupBy("column").agg(
+        n.alias("count"), F.max("mean").alias("mean"),
+        F.when(n > 1, F.sqrt(F.sum(gap * gap * F.col("n")) / (n - 1))).alias("std"),
+        F.min("x").alias("min"), quantile(0.25).alias("p25"), quantile(0.5).alias("p50"),
+        quantile(0.75).alias("p75"), F.max("x").alias("max"))

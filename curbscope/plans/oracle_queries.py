@@ -381,3 +381,60 @@ FROM kdone d JOIN kbest USING (run) JOIN hot h USING (hex_id)"""),
 SQL["tier_hotspots"] = _on_hot(
     "SELECT hex_id, cluster, tier, congestion_impact_score FROM kcell JOIN ktier USING (cluster)",
     _kmeans_sql(S.TIER_FEATURES, 4, 10, 42)).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# ---------------------------------------------------------------------------
+# records of a part of the span
+# ---------------------------------------------------------------------------
+_week = "date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'"
+SQL["period_hours"] = O.with_(_base([("week", f"SELECT * FROM hexed WHERE {_week}"), *[
+    (n, q.replace("FROM hexed", "FROM week")) for n, q in O.busy_ctes()]]), "SELECT hour, n, cum_share FROM busy")
+SQL["period_cells"] = O.with_(_base(), f"""SELECT hex_id, count(*) AS violation_count, sum(severity) AS severity_weighted_count,
+  count(DISTINCT date) AS active_days, CAST(sum(CAST(at_junction AS BIGINT)) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS junction_fraction
+FROM hexed WHERE {_week} GROUP BY hex_id""")
+SQL["peak_day_slots"] = O.with_(_base([("top", """SELECT date, count(*) AS total FROM hexed GROUP BY date
+ORDER BY total DESC, date LIMIT 3""")]), """SELECT date, hour, count(*) AS n, CAST(count(*) AS DOUBLE) / CAST(any_value(total) AS DOUBLE) AS share
+FROM hexed JOIN top USING (date) GROUP BY date, hour""")
+SQL["period_change"] = O.with_(_base([("two", """SELECT hex_id,
+  count(*) FILTER (date BETWEEN DATE '2024-01-01' AND DATE '2024-01-07') AS before,
+  count(*) FILTER (date BETWEEN DATE '2024-01-22' AND DATE '2024-01-28') AS after FROM hexed GROUP BY hex_id""")]),
+                               "SELECT hex_id, before, after, after - before AS change FROM two WHERE before + after > 0")
+SQL["cached_refresh"] = _on_hot(
+    "SELECT hex_id, violation_count, congestion_impact_score, TRUE AS only_new, TRUE AS reused FROM hot")
+
+
+# ---------------------------------------------------------------------------
+# cells by search: the nearest of all hexagon centres near a point, without
+# the formula of functions/grid.py
+# ---------------------------------------------------------------------------
+def _cells_by_search(cities: list[tuple[str, float, float]], resolution: int, points: str) -> list[tuple[str, str]]:
+    """``searched``: each different point of ``points`` (latitude, longitude)
+    with the nearest city by haversine and the nearest centre of its grid of
+    pointy-top hexagons of the resolution's mean area."""
+    names = ", ".join(f"({O.q(n)}, {O.d(a)}, {O.d(b)})" for n, a, b in cities)
+    area = O.d(S.HEX_AREA_KM2[resolution])
+    return [
+        ("city", f"SELECT * FROM (VALUES {names}) AS v(city, lat0, lon0)"),
+        ("point", f"SELECT DISTINCT latitude, longitude FROM {points}"),
+        ("at_city", """SELECT latitude, longitude, city, lat0, lon0 FROM (
+  SELECT *, row_number() OVER (PARTITION BY latitude, longitude ORDER BY
+    asin(sqrt(pow(sin(radians(latitude - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(latitude)) * pow(sin(radians(longitude - lon0) / 2), 2)))) AS rn
+  FROM point, city) WHERE rn = 1"""),
+        ("km", f"""SELECT *, (longitude - lon0) * {O.d(S.KM_PER_DEG_LON_EQUATOR)} * cos(radians(lat0)) AS x,
+  (latitude - lat0) * {O.d(S.KM_PER_DEG_LAT)} AS y, sqrt(2 * {area} / (3 * sqrt({O.d(3.0)}))) AS side FROM at_city"""),
+        ("centre", """SELECT *, side * sqrt(CAST(3 AS DOUBLE)) * (q + r / CAST(2 AS DOUBLE)) AS cx, side * 1.5 * r AS cy
+FROM (SELECT *, unnest(generate_series(CAST(floor(x / (side * sqrt(3)) - r / 2.0) AS BIGINT) - 1,
+                                       CAST(floor(x / (side * sqrt(3)) - r / 2.0) AS BIGINT) + 2)) AS q
+      FROM (SELECT *, unnest(generate_series(CAST(floor(y / (side * 1.5)) AS BIGINT) - 1, CAST(floor(y / (side * 1.5)) AS BIGINT) + 2)) AS r FROM km))"""),
+        ("searched", f"""SELECT latitude, longitude, city, {resolution} || ':' || q || ':' || r AS cell FROM (
+  SELECT *, row_number() OVER (PARTITION BY latitude, longitude ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy)) AS rn FROM centre)
+WHERE rn = 1"""),
+    ]
+
+
+SQL["hex_bin_cities"] = O.with_(_base(_cells_by_search(
+    [("north", 13.02, 77.60), ("west", 12.93, 77.54), ("south", 12.90, 77.66)], 8, "clean")),
+    """SELECT city || ':' || cell AS hex_id, count(*) AS n FROM clean JOIN searched USING (latitude, longitude) GROUP BY ALL""")
+SQL["hex_bin"] = O.with_(_base(_cells_by_search([("origin", *S.DEFAULT_CENTER)], 9, "clean")),
+                         "SELECT cell AS hex_id, count(*) AS n FROM clean JOIN searched USING (latitude, longitude) GROUP BY ALL")
+SQL["stream_hex_counts"] = SQL["hex_bin"]

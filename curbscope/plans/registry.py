@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curbscope.functions.grid import City, add_city_cells
 from curbscope.functions.numeric import rint_round
 from curbscope.functions.tags import parse_tags, record_severity
 from curbscope.operators import busy as B
 from curbscope.operators import features as FT
 from curbscope.operators import patrol as P
+from curbscope.operators import periods as PD
 from curbscope.operators import score as SC
 from curbscope.operators import trend as TR
 from curbscope.operators import views as V
@@ -24,6 +26,7 @@ from curbscope.operators.clean import add_hex_id, clean_violations, quality_coun
 from curbscope.operators.rollup import cell_rollup
 from curbscope.operators.tier import label_clusters, tier_invariants
 from curbscope.plans.build import HOTSPOT_COLUMNS, build_hotspot_table, materialise_rollup
+from curbscope.sources.clean_table import read_clean
 from curbscope.sources.events import violations_raw
 from curbscope.sources.violations import limit_rows, read_violations
 
@@ -525,3 +528,86 @@ def q_cached_build(spark, sf_dir):
     first, second = (cache.cached_build(spark, path) for _ in range(2))
     cells = second.hotspots.select("hex_id", "violation_count", "congestion_impact_score")
     return cells.withColumn("reused", F.lit(first is second))
+
+
+# ---------------------------------------------------------------------------
+# records in folders by date
+# ---------------------------------------------------------------------------
+PERIOD = ("2024-01-08", "2024-01-14")
+BEFORE, AFTER = ("2024-01-01", "2024-01-07"), ("2024-01-22", "2024-01-28")
+PEAK_DAYS = 3
+
+
+def dated(spark, sf_dir) -> str:
+    """The clean records, written by date to the shared folder."""
+    import uuid
+
+    from curbscope.session import ensure_checkpoint_dir
+    from curbscope.sources.clean_table import write_clean
+
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/clean-{uuid.uuid4().hex}"
+    write_clean(records(spark, sf_dir), path)
+    return path
+
+
+@register("period_hours")
+def q_period_hours(spark, sf_dir):
+    """Busy hours of one week; only its seven folders are read."""
+    return PD.period_hours(read_clean(spark, dated(spark, sf_dir), *PERIOD))
+
+
+@register("period_cells")
+def q_period_cells(spark, sf_dir):
+    return PD.period_cells(read_clean(spark, dated(spark, sf_dir), *PERIOD))
+
+
+@register("peak_day_slots")
+def q_peak_day_slots(spark, sf_dir):
+    """Hourly course of the busiest days, found by the query itself."""
+    return PD.peak_day_slots(read_clean(spark, dated(spark, sf_dir)), PEAK_DAYS)
+
+
+@register("period_change")
+def q_period_change(spark, sf_dir):
+    return PD.period_change(read_clean(spark, dated(spark, sf_dir)), BEFORE, AFTER)
+
+
+@register("cached_refresh")
+def q_cached_refresh(spark, sf_dir):
+    """The cached build of a folder that gains files between two requests:
+    the second reads the new ones only, a third none."""
+    import uuid
+
+    from curbscope.plans import cache
+    from curbscope.session import ensure_checkpoint_dir
+
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/growing-{uuid.uuid4().hex}"
+    raw = violations_raw(spark, sf_dir)
+    late = F.col("id").cast("long") % 5 == 0
+
+    def add(rows: DataFrame) -> None:
+        rows.write.mode("append").option("header", True).option("escape", '"').option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+    add(raw.where(~late))
+    cache.cached_build(spark, path)
+    own = cache.source(spark, path)
+    old = set(own.known)
+    add(raw.where(late))
+    build = cache.cached_build(spark, path)
+    opened = set(own.last_read)
+    again = cache.cached_build(spark, path)
+    cells = build.hotspots.select("hex_id", "violation_count", "congestion_impact_score")
+    only_new = bool(opened) and not opened & old
+    return cells.withColumns({"only_new": F.lit(only_new), "reused": F.lit(again is build and not own.last_read)})
+
+
+#: Three origins over the span of the records, for cells around several cities.
+CITIES = [City("north", 13.02, 77.60), City("west", 12.93, 77.54), City("south", 12.90, 77.66)]
+
+
+@register("hex_bin_cities")
+def q_hex_bin_cities(spark, sf_dir):
+    """Records per cell on the grid of the nearest of several cities."""
+    return (add_city_cells(clean_violations(violations_raw(spark, sf_dir)), CITIES, 8).groupBy("hex_id")
+            .agg(F.count(F.lit(1)).alias("n")))

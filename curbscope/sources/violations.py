@@ -104,9 +104,11 @@ def header_schema(header: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, typed.get(c, T.StringType())) for c in header])
 
 
-def read_violations_csv(spark: SparkSession, path: str, multi_line: bool = False,
-                        nrows: int | None = None, same_header: bool = False) -> DataFrame:
-    """Read header CSV files holding (at least) the 10 raw columns.
+def read_violations_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False,
+                        nrows: int | None = None, same_header: bool = False,
+                        file_col: str | None = None) -> DataFrame:
+    """Read header CSV files (a path or some) holding (at least) the 10 raw
+    columns; ``file_col`` names a first column for each row's file.
 
     Columns are bound by name in every file: one job reads the headers, and
     files of one header are one typed scan (no type inference pass, extra
@@ -117,20 +119,21 @@ def read_violations_csv(spark: SparkSession, path: str, multi_line: bool = False
     across tasks, so it is off by default. ``nrows`` keeps the first rows in
     file order and reads only the first files, as many as hold them.
     """
-    files = _files(spark.read.schema("x string").csv(path))
+    paths = [path] if isinstance(path, str) else list(path)
+    files = _files(spark.read.schema("x string").csv(paths))
     some = files
     if nrows is not None:
         plain = (spark.read.schema("x string").option("header", True).option("multiLine", bool(multi_line))
                  .option("escape", '"'))
         some = first_files(lambda own: plain.csv(own), files, nrows)
     if same_header or len(files) <= 1:
-        groups = {_one_header(spark, some[0] if some else path): some if len(some) < len(files) else [path]}
+        groups = {_one_header(spark, some[0] if some else path): some if len(some) < len(files) else paths}
     else:
-        groups = headers(spark, some if len(some) < len(files) else [path])
+        groups = headers(spark, some if len(some) < len(files) else paths)
         if len(groups) == 1 and len(some) == len(files):
-            groups = dict.fromkeys(groups, [path])
+            groups = dict.fromkeys(groups, paths)
     if not groups:
-        _check_columns([], path)
+        _check_columns([], str(path))
     for header, own in groups.items():
         _check_columns(list(header), own[0])
     scans = [
@@ -143,27 +146,30 @@ def read_violations_csv(spark: SparkSession, path: str, multi_line: bool = False
          .csv(own))
         for header, own in groups.items()
     ]
-    return _scan(scans, nrows)
+    return _scan(scans, nrows, file_col)
 
 
-def read_violations_parquet(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    _check_columns(df.columns, path)
-    if nrows is not None:
+def read_violations_parquet(spark: SparkSession, path: str | list[str], nrows: int | None = None,
+                            file_col: str | None = None) -> DataFrame:
+    df = spark.read.parquet(*([path] if isinstance(path, str) else path))
+    _check_columns(df.columns, str(path))
+    if nrows is not None and isinstance(path, str):
         files = _files(df)
         inside = spark.read.schema(df.schema).option("basePath", path)
         some = first_files(lambda own: inside.parquet(*own), files, nrows) if len(files) > 1 else files
         df = inside.parquet(*some) if len(some) < len(files) else df
-    return _scan([df], nrows)
+    return _scan([df], nrows, file_col)
 
 
-def _scan(scans: list[DataFrame], nrows: int | None) -> DataFrame:
+def _scan(scans: list[DataFrame], nrows: int | None, file_col: str | None = None) -> DataFrame:
     place = [] if nrows is None else _place()
+    if file_col:
+        place = [F.col("_metadata.file_path").alias(file_col), *place]
     parts = [_project(df, place) for df in scans]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out if nrows is None else first_rows(out, nrows)
+    return out if nrows is None else first_rows(out, nrows, [file_col] if file_col else [])
 
 
 def _place() -> list[Column]:
@@ -174,7 +180,7 @@ def _place() -> list[Column]:
             F.monotonically_increasing_id().alias("_mid")]
 
 
-def first_rows(placed: DataFrame, nrows: int) -> DataFrame:
+def first_rows(placed: DataFrame, nrows: int, more: list[str] = ()) -> DataFrame:
     """First ``nrows`` rows in file order (files by path, rows as they stand
     in them) of a scan with the ``_place`` columns. Splits are counted, a
     running sum over the splits (one row each) gives where each one starts,
@@ -186,18 +192,18 @@ def first_rows(placed: DataFrame, nrows: int) -> DataFrame:
     wanted = splits.filter(F.col("_before") < nrows).drop("_n")
     number = F.col("_before") + F.col("_mid") - F.col("_first")
     return (placed.join(wanted, ["_file", "_start"]).filter(number < nrows)
-            .select(*RAW_COLUMNS))
+            .select(*more, *RAW_COLUMNS))
 
 
-def read_violations(spark: SparkSession, path: str, fmt: str = "csv",
-                    nrows: int | None = None, order_by=None) -> DataFrame:
-    """Scan raw records; ``nrows`` keeps the first *n* raw rows before any
+def read_violations(spark: SparkSession, path: str | list[str], fmt: str = "csv",
+                    nrows: int | None = None, order_by=None, file_col: str | None = None) -> DataFrame:
+    """Scan raw records of a path or of some; ``nrows`` keeps the first *n* raw rows before any
     cleaning, in file order, or by ``order_by`` if it is given."""
     in_order = nrows if order_by is None else None
     if fmt == "csv":
-        df = read_violations_csv(spark, path, nrows=in_order)
+        df = read_violations_csv(spark, path, nrows=in_order, file_col=file_col)
     else:
-        df = read_violations_parquet(spark, path, nrows=in_order)
+        df = read_violations_parquet(spark, path, nrows=in_order, file_col=file_col)
     return df if order_by is None else limit_rows(df, nrows, order_by)
 
 

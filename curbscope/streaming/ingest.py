@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from curbscope.operators.clean import add_hex_id, clean_violations
-from curbscope.operators.rollup import KEY_COLUMNS, cell_rollup
+from curbscope.operators.rollup import cell_rollup, merged
 from curbscope.schema import RAW_SCHEMA
 from curbscope.sources.events import violations_from_events
 from curbscope.sources.violations import _check_columns, _project, header_schema
@@ -73,8 +73,4 @@ def start_rollup_stream(raw_stream: DataFrame, rollup_path: str, checkpoint_loca
 
 def combined_rollup(spark: SparkSession, rollup_path: str) -> DataFrame:
     """Sum the partial rollups of all batches into one cell rollup."""
-    parts = spark.read.parquet(rollup_path)
-    return parts.groupBy(*KEY_COLUMNS).agg(
-        F.sum("n").alias("n"), F.sum("sev_sum").alias("sev_sum"),
-        F.sum("jct_n").alias("jct_n"), F.sum("lat_e7").alias("lat_e7"),
-        F.sum("lon_e7").alias("lon_e7"))
+    return merged(spark.read.parquet(rollup_path))

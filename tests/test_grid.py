@@ -44,3 +44,44 @@ def test_cell_area_matches_resolution():
         assert 3 * math.sqrt(3) / 2 * g.size ** 2 == pytest.approx(area)
     with pytest.raises(ValueError):
         hex_grid_constants(16)
+
+
+def test_cells_around_several_cities(spark):
+    """Every point lies in a cell of its nearest city, on that city's grid."""
+    import math
+    import random
+
+    from curbscope.functions.grid import City, add_city_cells, hex_cell_id
+    from pyspark.sql import functions as F
+
+    cities = [City("a", 12.97, 77.59), City("b", 28.61, 77.21), City("c", -33.87, 151.21), City("d", 64.15, -21.94)]
+    rng = random.Random(5)
+    points = [(c.lat + rng.uniform(-3, 3), c.lon + rng.uniform(-3, 3)) for c in cities for _ in range(60)]
+    points += [(rng.uniform(-80, 80), rng.uniform(-180, 180)) for _ in range(60)] + [(None, 1.0), (1.0, None)]
+    df = spark.createDataFrame(points, "latitude double, longitude double")
+    own = [hex_cell_id(F.col("latitude"), F.col("longitude"), 7, (c.lat, c.lon)).alias(c.name) for c in cities]
+    got = add_city_cells(df, cities, 7).select("*", *own).collect()
+    assert len(got) == len(points)
+
+    def far(r, c):
+        a, b = math.radians(r.latitude), math.radians(c.lat)
+        half = math.radians(r.longitude - c.lon) / 2
+        return math.sin((a - b) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(half) ** 2
+
+    for r in got:
+        if r.latitude is None or r.longitude is None:
+            assert r.hex_id is None
+        else:
+            c = min(cities, key=lambda c: far(r, c))
+            assert r.hex_id == f"{c.name}:{r[c.name]}"
+
+
+def test_city_list_is_bounded(spark):
+    import pytest
+
+    from curbscope.functions.grid import City, nearest_city
+    from pyspark.sql import functions as F
+
+    for n in (0, 1001):
+        with pytest.raises(ValueError):
+            nearest_city(F.lit(1.0), F.lit(1.0), [City(str(i), 0.0, 0.0) for i in range(n)])

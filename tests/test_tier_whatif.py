@@ -178,3 +178,23 @@ def test_invariants_of_right_and_wrong_tiers(spark):
     assert not tier_invariants(moved.withColumn("tier", F.col("cluster").cast("string")).withColumn("tier", F.lit("Low"))).first().nearest
     one = tier_hotspots(df.limit(1))
     assert tuple(tier_invariants(one).first()) == (1, 1, True, True, True)
+
+
+def test_first_rows_by_counting_equal_the_full_ranking(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from curbscope.operators.score import whatif_first
+    from tests.test_plans import plan_of
+
+    cells_ = scored(spark)
+    cells_ = cells_.unionByName(cells_.withColumn("hex_id", F.concat(F.lit("z"), "hex_id")))   # ties in every score
+    few = cells_.where("hex_id < 'h09'")
+    for rows_, top, weights in ((cells_, 25, (40, 20, 20, 20)), (cells_, 10, (0, 100, 0, 0)), (few, 25, (10, 40, 30, 20))):
+        ranked = whatif_top(whatif_ranks(rows_, *weights), top)
+        found = whatif_first(rows_, *weights, top=top)
+        assert found.columns == ranked.columns
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, ranked.collect()))
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: pytest.fail("a rank was checkpointed"))
+    plan = plan_of(whatif_first(cells_, 10, 40, 30, 20))
+    assert "rangepartitioning" not in plan and "TakeOrderedAndProject" in plan
+    assert whatif_first(cells_.limit(0), 10, 40, 30, 20).count() == 0

@@ -77,3 +77,33 @@ def test_empty_input(spark):
     k = V.kpis(b.hotspots, b.rollup, b.busy).first()
     assert k.violations == 0 and k.hotspots == 0 and k.avg_cis is None and k.busy_hours == ""
     assert V.weekday_hour_pivot(b.rollup).count() == 0
+
+
+def test_profile_from_the_histogram(spark):
+    """Against pandas, with nulls, ties and a single value; records are
+    counted before anything is exploded."""
+    import numpy as np
+    import pandas as pd
+
+    from curbscope.operators.views import profile_clean
+    from tests.test_plans import plan_of
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"severity": rng.choice([1.0, 1.5, 3.0], 501), "hour": rng.integers(0, 24, 501),
+                        "weekday": 3, "at_junction": rng.random(501) < 0.3})
+    df = spark.createDataFrame(pdf).withColumn("hour", F.when(F.col("hour") != 5, F.col("hour")))
+    out = profile_clean(df)
+    got = {r["column"]: r for r in out.collect()}
+    pdf["hour"] = pdf["hour"].where(pdf["hour"] != 5)
+    for c in pdf:
+        want = pdf[c].astype(float).describe()
+        r = got[c]
+        assert r["count"] == want["count"]
+        for a, b in (("mean", "mean"), ("std", "std"), ("min", "min"), ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")):
+            assert r[a] == pytest.approx(want[b]), (c, a)
+    lines = plan_of(out).splitlines()
+    explode = next(i for i, x in enumerate(lines) if "Generate explode" in x)
+    assert any("HashAggregate" in x for x in lines[explode + 1:])
+    one = profile_clean(df.limit(1)).collect()
+    assert {r["count"] for r in one} <= {0, 1} and all(r["std"] is None for r in one)
+    assert profile_clean(df.limit(0)).count() == 0
