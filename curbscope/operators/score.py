@@ -70,26 +70,25 @@ def whatif_first(hotspots: DataFrame, w_sev: float, w_jct: float, w_bh: float, w
                  top: int = 25) -> DataFrame:
     """``whatif_top`` without ranking all cells: a top-k by score picks the
     ``top`` rows (ties in CIS order), and one aggregate counts for each of
-    them the cells ahead of it by CIS, which is its original rank. The rows
-    reach the aggregate as one array of ``top`` entries."""
+    them the cells ahead of it by CIS, which is its original rank. The
+    ``top`` rows are fetched when the plan is built."""
     ws, wj, wb, wp = normalise_weights(w_sev, w_jct, w_bh, w_per)
     cols = ["hex_id", "dominant_station", "tier", "congestion_impact_score"]
     base = hotspots.select(*cols, weighted_score(ws, wj, wb, wp).alias("whatif_cis"))
-    order = [F.col("whatif_cis").desc(), *cis_order()]
-    first = base.orderBy(*order).limit(top)
-    entry = F.struct(F.row_number().over(Window.orderBy(*order)).cast("long").alias("new_rank"), *cols, "whatif_cis")
-    picked = first.select(entry.alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows")).scalar()
-    score, cell = F.col("congestion_impact_score"), F.col("hex_id")
-
-    def ahead(i: int) -> Column:
-        row = F.get(picked, F.lit(i))
-        own = row["congestion_impact_score"]
-        return F.count_if((score > own) | ((score == own) & (cell < row["hex_id"])))
-
-    counts = hotspots.agg(F.array(*[ahead(i) for i in range(top)]).alias("ahead"))
-    rows = counts.select(F.arrays_zip(picked.alias("row"), F.slice("ahead", 1, F.size(picked)).alias("ahead")).alias("z"))
-    rows = rows.select(F.inline("z")).select("row.*", (F.col("ahead") + 1).alias("original_rank"))
-    return whatif_top(rows.withColumn("rank_change", F.col("original_rank") - F.col("new_rank")), top)
+    picked = base.orderBy(F.col("whatif_cis").desc(), *cis_order()).limit(top)
+    rows = [(i + 1, *r) for i, r in enumerate(picked.collect())]
+
+    def ahead(cell: str, score: float) -> str:
+        text = cell.replace("\\", "\\\\").replace("'", "\\'")
+        own = f"double('{float(score)!r}')"
+        return (f"count_if(congestion_impact_score > {own} or "
+                f"(congestion_impact_score = {own} and hex_id < '{text}'))")
+
+    counts = hotspots.agg(F.expr(f"array({', '.join(ahead(r[1], r[4]) for r in rows)})").alias("ahead"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    first = hotspots.sparkSession.createDataFrame(rows, f"new_rank long, {kinds}")
+    first = first.withColumn("original_rank", F.get(counts.scalar(), (F.col("new_rank") - 1).cast("int")) + 1)
+    return whatif_top(first.withColumn("rank_change", F.col("original_rank") - F.col("new_rank")), top)
 
 
 def whatif_top(ranked: DataFrame, top: int = 25) -> DataFrame:

@@ -196,5 +196,5 @@ def test_first_rows_by_counting_equal_the_full_ranking(spark, monkeypatch):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, ranked.collect()))
     monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: pytest.fail("a rank was checkpointed"))
     plan = plan_of(whatif_first(cells_, 10, 40, 30, 20))
-    assert "rangepartitioning" not in plan and "TakeOrderedAndProject" in plan
+    assert "rangepartitioning" not in plan and "Subquery" in plan
     assert whatif_first(cells_.limit(0), 10, 40, 30, 20).count() == 0
