@@ -101,9 +101,11 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def ranked(rows: DataFrame) -> DataFrame:
         odds = F.col("u") / (F.lit(1.0) - F.col("u"))
         q = F.when(F.col("p") > 0, odds / (F.col("p") / (F.lit(1.0) - F.col("p"))))
-        joined = rows.join(
-            goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
-        ).drop("_source")
+        # The sources' table is counted and goes to the rows, whose texts stay
+        # where they are; only beyond ``common.SMALL_ROWS`` sources rows move.
+        own = goal.withColumnRenamed("source", "_source")
+        own = F.broadcast(own) if goal.count() <= common.SMALL_ROWS else own
+        joined = rows.join(own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         return joined.withColumn("q", q)
 
     bucket = F.floor(F.col("q") / (F.col("q") + 1) * BUCKETS)

@@ -74,3 +74,27 @@ def test_weights_and_empty(make_docs):
     assert mixing.mix_plan(make_docs([])).count() == 0
     got = mixing.with_copies(make_docs(drawn_rows(90)), weights=(1.0,), max_copies=2).collect()
     assert max(r.copies for r in got) <= 2
+
+
+@pytest.mark.parametrize("limit", ["-1", "100m"])
+def test_no_text_is_shuffled_or_broadcast(spark, tmp_path, make_docs, limit):
+    make_docs(drawn_rows(300)).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        mixed = mixing.mix(docs)
+        plan = mixed._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert mixed.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    exchanges = [k for k, x in enumerate(plan) if "Exchange" in x]
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    assert exchanges
+    for k in exchanges:
+        below = []
+        for x in plan[k + 1:]:
+            if depth(x) <= depth(plan[k]):
+                break
+            below.append(x)
+        assert not any("FileScan" in x and "text" in x for x in below), plan[k]
