@@ -199,33 +199,37 @@ FROM hot""")
 
 
 def _patrol_sql(budget: int, partition: str | None, pool: str = "hot") -> list[tuple[str, str]]:
-    part = f"PARTITION BY {partition} " if partition else ""
+    """``sched`` by the greedy scan itself, cell after cell: a recursion that
+    carries the hours left, for the whole pool or for each partition."""
+    own = partition or "'all'"
     key = f"{partition}, " if partition else ""
     return [
-        ("pc", f"""SELECT *, CASE WHEN tier = 'Critical' THEN 2 ELSE 1 END AS cost,
-  row_number() OVER ({part}{_by_cis}) AS pos FROM {pool}"""),
-        ("pc2", f"""SELECT *, sum(cost) OVER ({part}{_by_cis}
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM pc"""),
-        ("pc3", f"""SELECT *, min(CASE WHEN cum > {budget} THEN pos END) OVER ({part.strip()}) AS j,
-  max(CASE WHEN cum > {budget} THEN {budget} - (cum - cost) END) OVER ({part.strip()}) AS left_over
-FROM pc2"""),
-        ("pc4", f"""SELECT *, min(CASE WHEN pos > j AND cost = 1 AND left_over = 1 THEN pos END)
-  OVER ({part.strip()}) AS extra FROM pc3"""),
-        ("sched", f"""SELECT {key}CAST(row_number() OVER ({part}{_by_cis}) AS INTEGER) AS priority,
+        ("pc", f"""SELECT *, CASE WHEN tier = 'Critical' THEN 2 ELSE 1 END AS cost, {own} AS own,
+  row_number() OVER (PARTITION BY {own} {_by_cis}) AS pos FROM {pool}"""),
+        ("walk", f"""SELECT own, CAST(0 AS BIGINT) AS pos, CAST({budget} AS BIGINT) AS hours_left, FALSE AS took
+FROM (SELECT DISTINCT own FROM pc)
+UNION ALL
+SELECT w.own, p.pos, w.hours_left - CASE WHEN p.cost <= w.hours_left THEN p.cost ELSE 0 END, p.cost <= w.hours_left
+FROM walk w JOIN pc p ON p.own IS NOT DISTINCT FROM w.own AND p.pos = w.pos + 1 WHERE w.hours_left > 0"""),
+        ("pc4", "SELECT pc.* FROM pc JOIN walk w ON w.own IS NOT DISTINCT FROM pc.own AND w.pos = pc.pos WHERE w.took"),
+        ("sched", f"""SELECT {key}CAST(row_number() OVER (PARTITION BY own {_by_cis}) AS INTEGER) AS priority,
   hex_id, dominant_station AS station, tier,
   {O.rint_round('congestion_impact_score', 1)} AS cis,
   CAST(cost AS INTEGER) AS officers, CAST(cost AS INTEGER) AS hours,
   {O.rint_round('coalesce(capacity_loss_pct, 0.0)', 1)} AS lane_loss_pct,
-  CAST(coalesce(daily_delay_cost_inr, 0) AS BIGINT) AS est_daily_cost_inr
-FROM pc4 WHERE cum <= {budget} OR pos = extra"""),
+  CAST(coalesce(daily_delay_cost_inr, 0) AS BIGINT) AS est_daily_cost_inr FROM pc4"""),
     ]
 
 
+def _walked(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 _budget = 5 * 8
-SQL["patrol_schedule"] = _on_hot("SELECT * FROM sched", _patrol_sql(_budget, None))
-SQL["patrol_by_station"] = _on_hot("SELECT * EXCLUDE (dominant_station) FROM sched",
-                                   _patrol_sql(_budget, "dominant_station"))
-SQL["patrol_summary"] = _on_hot(f"""SELECT assigned, total_cis, daily_cost_prevented, {_budget} AS budget,
+SQL["patrol_schedule"] = _walked(_on_hot("SELECT * FROM sched", _patrol_sql(_budget, None)))
+SQL["patrol_by_station"] = _walked(_on_hot("SELECT * EXCLUDE (dominant_station) FROM sched",
+                                           _patrol_sql(_budget, "dominant_station")))
+SQL["patrol_summary"] = _walked(_on_hot(f"""SELECT assigned, total_cis, daily_cost_prevented, {_budget} AS budget,
   {_stable('random_cis')} AS random_cis,
   {_stable(f'CASE WHEN random_cis > 0 THEN (total_cis - random_cis) / random_cis * {O.d(100.0)} END')}
     AS pct_better
@@ -234,7 +238,7 @@ FROM (SELECT CAST(count(*) AS BIGINT) AS assigned,
         CAST(coalesce(sum(est_daily_cost_inr), 0) AS BIGINT) AS daily_cost_prevented,
         (SELECT avg(congestion_impact_score) FROM hot)
           * CAST(least({_budget}, (SELECT count(*) FROM hot)) AS DOUBLE) AS random_cis
-      FROM sched)""", _patrol_sql(_budget, None))
+      FROM sched)""", _patrol_sql(_budget, None)))
 
 SQL["tier_labels"] = _on_hot(f"""SELECT cluster, {_stable('mean_cis')} AS mean_cis,
   CAST(cluster_rank AS INTEGER) AS cluster_rank,
@@ -295,9 +299,9 @@ SQL["forecast_reference_labels"] = O.with_(_base(O.weekly_ctes(), O.forecast_cte
 
 SQL["hotspot_view_stations"] = _on_hot("""SELECT hex_id, dominant_station, tier, violation_count,
   congestion_impact_score FROM hot WHERE dominant_station IN ('PS-1', 'PS-2')""")
-SQL["patrol_station_pool"] = _on_hot("SELECT * FROM sched", [("pool", """SELECT * FROM hot
+SQL["patrol_station_pool"] = _walked(_on_hot("SELECT * FROM sched", [("pool", """SELECT * FROM hot
 WHERE dominant_station IN ('PS-1', 'PS-2') AND tier IN ('Critical', 'High')""")],
-                                     _patrol_sql(_budget, None, "pool"))
+                                     _patrol_sql(_budget, None, "pool")))
 
 # ---------------------------------------------------------------------------
 # data quality, first rows, tiers, cached build
