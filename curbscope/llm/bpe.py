@@ -280,7 +280,9 @@ def bpe_decode(docs: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
 def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded and
     its ids decoded again, as hashes of the comma-joined ids and of the text
-    in UTF-8. Null and empty texts: 0 tokens, hashes of the empty string."""
+    in UTF-8. Null and empty texts: 0 tokens, hashes of the empty string.
+    Texts of any length are streamed whole. Repeated rows give repeated rows,
+    an empty table none; further columns are not read."""
     return _mapped(docs, path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string",
                    lambda t, x: t.digest(x or ""), ["n_tokens", "ids_sha256", "decoded_sha256"],
                    [pa.int64(), pa.string(), pa.string()])

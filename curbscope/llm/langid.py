@@ -89,7 +89,8 @@ class Model:
         """(language, score); ("und", 0.0) for texts without a letter or a
         model without languages."""
         counts = Counter(words(text))
-        if not counts or not self.languages:
+        # Words can hold other numerals (a fraction, a circled digit) alone.
+        if not self.languages or not any(any(map(str.isalpha, w)) for w in counts):
             return "und", 0.0
         sums = [0.0] * len(self.languages)
         known, word = self.logs[0].get, self.word
@@ -239,7 +240,18 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                    **limits) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language: those
-    predicted ``und`` go. The lang column of the rows is left as it is."""
+    predicted ``und`` go (null texts and texts without a letter). A row
+    without a language gets the predicted one; other rows keep theirs.
+
+    Where no row has a language to learn from, every text with a letter
+    stays, its language null. Repeated rows stay repeated; an empty table
+    gives an empty result."""
     key = col(id_col)
     model = train(docs.where(key.isNotNull() & ~held_out(key)), text_col, lang_col, id_col, **limits)
-    return predict(docs, model, text_col).where("lang_pred <> 'und'").select("row.*")
+    if not model.languages:
+        return docs.where(col(text_col).cast("string").rlike(r"\p{L}"))
+    found = predict(docs, model, text_col).where("lang_pred <> 'und'")
+    own = lambda c: F.col("row").getField(c)
+    kind = dict(docs.dtypes)[lang_col]
+    return found.select(*[
+        (F.coalesce(own(c), F.col("lang_pred").cast(kind)) if c == lang_col else own(c)).alias(c) for c in docs.columns])

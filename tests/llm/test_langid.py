@@ -84,3 +84,27 @@ def test_odd_rows(make_docs):
     assert kept.columns == make_docs(rows).columns
     want = [t for _, t, _, _ in rows if t and langid.words(t)]
     assert sorted(r.text for r in kept.collect()) == sorted(want)
+
+
+def test_numerals_are_no_letters():
+    model = langid.Model(["en"], {0: {"the": [5.0]}})
+    assert model.predict("½ ① ² 12") == ("und", 0.0)
+    assert model.predict("½ x²")[0] == "en" and model.predict("日本")[0] == "en"
+
+
+def test_the_stage_keeps_texts_with_letters_when_nothing_can_be_learned(make_docs):
+    rows = [(1, "words here", None, "s"), (2, "日本", None, "s"), (3, "12 ½", None, "s"), (4, None, None, "s"), (5, "", None, "s")]
+    docs = make_docs(rows)
+    out = langid.known_language(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
+def test_the_stage_names_the_language_of_rows_without_one(make_docs):
+    words = {"en": "the house and the garden are green", "de": "das haus und der garten sind gruen"}
+    rows = [(i, words["en" if i % 2 else "de"] + f" w{i}", "en" if i % 2 else "de", "s") for i in range(80)]
+    rows += [(100, "the garden and the house", None, "s"), (101, "der garten und das haus", None, "s"), (102, "...", None, "s")]
+    docs = make_docs(rows)
+    out = langid.known_language(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = {r.doc_id: r.lang for r in out.collect()}
+    assert got == {**{r[0]: r[2] for r in rows[:80]}, 100: "en", 101: "de"}
