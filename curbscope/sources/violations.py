@@ -58,9 +58,11 @@ def headers(spark: SparkSession, paths: list[str]) -> dict[tuple, list[str]]:
     """The different headers of the CSV files of some paths, each with its
     files in order.
 
-    One query, however many files there are: lines of the files' first blocks
-    are read as text, the first line of each file is taken, and files are
-    grouped by it. A file without a line has no header and is left out.
+    One query, however many files there are: the files are read as text, of
+    the lines of first blocks the first of each file is taken, and files are
+    grouped by it. (Spark prunes no blocks by this condition, so the text
+    passes the scan once, unparsed; ``same_header`` reads spare it.) A file
+    without a line has no header and is left out.
     """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
