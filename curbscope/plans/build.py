@@ -80,7 +80,7 @@ def build_hotspot_table(records: DataFrame, resolution: int = 9, k_tiers: int =
                         hexed: bool = False) -> HotspotBuild:
     """Build the ranked cell table from clean records.
 
-    ``tiering='kmeans'`` (default) clusters cells with MLlib KMeans;
+    ``tiering='kmeans'`` (default) clusters cells with ``operators.kmeans``;
     ``'threshold'`` uses the deterministic CIS bands of ``threshold_tiers``.
     """
     hx = records if hexed else add_hex_id(records, resolution)
