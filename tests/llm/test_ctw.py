@@ -124,3 +124,36 @@ def test_probabilities_sum_to_one():
     for context in (b"the", b"zzz", b" ca"):
         every = np.array([int.from_bytes(context, "big") << 8 | b for b in range(256)], dtype=np.uint64)
         assert (10 ** model.lengths(every)).sum() == pytest.approx(1.0)
+
+
+class WholeTree(SlowTree):
+    """Without small nodes left out; remembers what it has computed."""
+
+    def __init__(self, texts, depth):
+        super().__init__(texts, depth, 1)
+        self.below, self.known = {}, {}
+        for c, node in {(c, node) for c, node, _ in self.n if c}:
+            self.below.setdefault((c[1:], node), []).append(c)
+
+    def children(self, c, node):
+        return self.below.get((c, node), [])
+
+    def weighted(self, c, node):
+        if (c, node) not in self.known:
+            self.known[c, node] = super().weighted(c, node)
+        return self.known[c, node]
+
+
+@pytest.mark.parametrize("depth,head_grams", [(1, 5), (2, 40), (4, 0), (4, 1 << 20)])
+def test_whole_tree_equals_brute_force(make_docs, depth, head_grams):
+    """By default no context is dropped, however rare: texts not learned from
+    and grams that are not broadcast included."""
+    rows = [*corpus(24, 2), (900, "rare quux quux", "en", "s"), (901, "unseen ZEBRA ø", "en", "s"), (901, "unseen ZEBRA ø", "en", "s"), (None, "rare", None, None)]
+    got = ctw.lm_scores(make_docs(rows), depth=depth, head_words=20, head_grams=head_grams)
+    learn = [t for i, t, _, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(learn) < len(rows) - 1
+    tree = WholeTree(learn, depth)
+    found = sorted((repr(r.doc_id), r.score) for r in got.collect())
+    want = sorted((repr(i), tree.score(t)) for i, t, _, _ in rows)
+    assert [i for i, _ in found] == [i for i, _ in want]
+    assert [s for _, s in found] == pytest.approx([s for _, s in want], rel=1e-8)
